@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language
+from tidemark.llm import language, pieces, scratch, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,36 @@ def remainder(key: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as WARC records, read back and assembled."""
+    path = scratch.new_path(spark, "warc")
+    warc.write_archives(warc.plan_captures(_table(spark, sf_dir, "pages")), path)
+    return warc.digest(warc.assemble(warc.read_archives(spark, path, payloads=False)))
+
+
+OP2_SQL = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram piece count and best score of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.token_counts(docs).drop("text")
+
+
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reproducible sampled segmentation of every document, and whether it decodes to the same bytes."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_sampled(docs, digest=True).drop("text")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose remainder by 3 is not 1."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -28,7 +58,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
+    "op3_token_counts": op3_token_counts,
     "op7_language_id": op7_language_id,
+    "op10_sampled_pieces": op10_sampled_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL}
