@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, pieces, scratch, warc
+from tidemark.llm import language, media, pieces, scratch, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(docs).drop("text")
 
 
+def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as lossless WebP, read back from the stored table."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored, _ = scratch.written(media.to_webp(docs), "webp")
+    return media.read_webp(stored)
+
+
 def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reproducible sampled segmentation of every document, and whether it decodes to the same bytes."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
     "op7_language_id": op7_language_id,
+    "op9_webp": op9_webp,
     "op10_sampled_pieces": op10_sampled_pieces,
 }
 
