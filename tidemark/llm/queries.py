@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, media, pieces, scratch, warc
+from tidemark.llm import language, licenses, media, pieces, scratch, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(docs).drop("text")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as lossless WebP, read back from the stored table."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
     "op7_language_id": op7_language_id,
+    "op8_licenses": op8_licenses,
     "op9_webp": op9_webp,
     "op10_sampled_pieces": op10_sampled_pieces,
 }
