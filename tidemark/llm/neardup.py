@@ -9,7 +9,7 @@ count can still reach `T` (the skip), and pairs that reach it are confirmed on t
 
 A pair of Jaccard similarity 0.75 shares 48 of 64 coordinates on average, with a deviation of 3.5, so T = 29 loses
 one in about 10^7 such pairs. Components do not need all pairs of a group: a first round confirms each node against one
-hub, and the second looks only at pairs that this left in different components.
+or a few hubs, and the second looks only at pairs that this left in different components, whose sets share enough with any other.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
@@ -130,12 +130,13 @@ def _token(place: F.Column, value: F.Column) -> F.Column:
 
 
 def prefixes(nodes: DataFrame) -> DataFrame:
-    """(id, n, sig, token): the posted coordinates of each node that can have a partner, rarest first."""
+    """(id, n, sig, m, token): the posted coordinates of each node that can have a partner, rarest first; m is how many
+    of its K coordinates it shares with any other node."""
     postings = nodes.select("id", F.posexplode("sig").alias("place", "value")).select("id", _token(F.col("place"), F.col("value")).alias("token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     held = postings.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df")).filter(F.size("by_df") >= T)
-    posted = held.select("id", F.explode(F.slice("by_df", F.lit(1), F.size("by_df") - (T - 1))).alias("p")).select("id", F.col("p.token").alias("token"))
-    return posted.join(nodes.select("id", "n", "sig"), "id")
+    posted = held.select("id", F.size("by_df").alias("m"), F.explode(F.slice("by_df", F.lit(1), F.size("by_df") - (T - 1))).alias("p"))
+    return posted.select("id", "m", F.col("p.token").alias("token")).join(nodes.select("id", "n", "sig"), "id")
 
 
 def _plausible(numerator: int, denominator: int) -> F.Column:
@@ -145,6 +146,26 @@ def _plausible(numerator: int, denominator: int) -> F.Column:
     return sizes & (matches >= T)
 
 
+def _reach(ids: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(id, reach): how many shingles of each set stand in any other of these sets, which no overlap can exceed. Sets
+    whose reach is below numerator / denominator of their size have no partner and are left out."""
+    held = sets.join(ids, "id", "left_semi")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in tb.splits_by(batch.column(0), 256):
+                part = batch.slice(begin, end - begin)
+                values = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                rows = np.repeat(np.arange(len(part)), [len(v) for v in values])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate(values))], names=["id", "shingle"])
+
+    each, _ = written(held.mapInArrow(split, "id long, shingle long"), "open-shingles")
+    common = each.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1").select("shingle")
+    size = held.select("id", (F.length("shingles") / 8).cast("long").alias("size"))
+    reach = each.join(common, "shingle").groupBy("id").agg(F.count("*").alias("reach")).join(size, "id")
+    return reach.filter(F.col("reach") * denominator >= F.col("size") * numerator).select("id", "reach")
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = 75, denominator: int = 100) -> DataFrame:
     """(key, n_shingles, component_id, kept): one row a row of docs.
 
@@ -164,25 +185,34 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: in
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sets, sets_path = written(_sets(rows.join(wanted, "id", "left_semi")), "shingles")
 
-    # First round: each node against the hub that it shares most posted coordinates with.
-    hubs = posted.groupBy("token").agg(F.min_by(F.struct("id", "n", "sig"), F.col("id")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
+    # First round: each node against up to three hubs. A token's hub is the node with most shared coordinates, which in
+    # a group of edited copies is one of the least edited ones.
+    best = F.struct(F.col("m"), -F.col("id"))
+    hubs = posted.groupBy("token").agg(F.max_by(F.struct("id", "n", "sig"), best).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
     star = posted.join(hubs, "token").filter(F.col("hub.id") != F.col("id"))
-    star = star.groupBy("id").agg(F.min_by(F.struct(F.col("hub.id").alias("hub"), F.col("hub.n").alias("nb"), F.col("hub.sig").alias("gb"), F.col("n").alias("na"), F.col("sig").alias("ga")), F.col("hub.id")).alias("s"))
-    star = star.select(F.col("id").alias("a"), "s.*").filter(_plausible(numerator, denominator)).select("a", F.col("hub").alias("b"))
+    star = star.groupBy(F.col("id").alias("a"), F.col("hub.id").alias("b")).agg(
+        F.count("*").alias("met"), F.first("n").alias("na"), F.first("sig").alias("ga"), F.first("hub.n").alias("nb"), F.first("hub.sig").alias("gb"),
+    )
+    star = star.filter(_plausible(numerator, denominator)).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b")))
+    star, star_path = written(star.filter("nth <= 3").select("a", "b"), "star")
     first, first_path = written(confirm(star, sets, numerator, denominator), "links")
     labels = connected_components(first)
 
     # Second round: pairs that share a posted coordinate and are still apart.
-    labelled = posted.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = posted.drop("sig").join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     labelled, labelled_path = written(labelled, "labelled")
     apart = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     open_, open_path = written(labelled.join(apart, "token"), "open")
-    small = open_.select("token", "id", "label", "n")
-    a = small.select("token", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    b = small.select("token", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    reach, reach_path = written(_reach(open_.select("id").distinct(), sets, numerator, denominator), "reach")
+    small = open_.join(reach, "id").select("token", "id", "label", "n", "reach")
+    a = small.select("token", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("reach").alias("ra"))
+    b = small.select("token", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("reach").alias("rb"))
+    # Overlap that the similarity needs, and what either set can give.
+    needed = F.least("ra", "rb") * (numerator + denominator) >= (F.col("na") + F.col("nb")) * numerator
     sizes = F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator
-    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes).select("a", "b").distinct()
-    signed = open_.select("id", "n", "sig").dropDuplicates(["id"])
+    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes & needed).select("a", "b").distinct()
+    met = met.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    signed = nodes.join(reach.select("id"), "id", "left_semi")
     met = met.join(signed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga")), "a")
     met = met.join(signed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb")), "b")
     met = met.filter(_plausible(numerator, denominator)).select("a", "b")
@@ -192,7 +222,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: in
     tied = sketches.filter("set_id is not null and id is not null").groupBy("id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo <> hi").select("id")
     tied = sketches.join(tied, "id").join(groups.select("set_id", "rep"), "set_id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found, _ = written(connected_components(first.union(second).union(tied)), "components")
-    remove(spark, posted_path, sets_path, first_path, labelled_path, open_path, second_path)
+    remove(spark, posted_path, sets_path, star_path, first_path, labelled_path, open_path, reach_path, second_path)
     by_set = groups.select("set_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n_shingles", "set_id").join(by_set, "set_id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
