@@ -43,10 +43,7 @@ TRIGRAMS = 1 << 15
 
 
 def _folded(buf: np.ndarray) -> np.ndarray:
-    out = _FOLD[buf]
-    accent = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)) + 1
-    out[accent] += 0x20
-    return out
+    return _FOLD[tb.lower_latin(buf)]
 
 
 def _grams(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

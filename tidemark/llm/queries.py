@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, licenses, media, neardup, pieces, scratch, warc
+from tidemark.llm import decontaminate, language, licenses, linededup, media, neardup, pieces, scratch, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,22 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_sampled(docs, digest=True).drop("text")
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, wherever in the text it stands."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 5-word shingles, Jaccard similarity 0.75."""
     return neardup.link(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rid of lines that repeat, or nearly repeat, a line elsewhere."""
+    return linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose remainder by 3 is not 1."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -77,7 +88,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
+    "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_licenses": op8_licenses,
     "op9_webp": op9_webp,

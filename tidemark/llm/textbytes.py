@@ -78,6 +78,19 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
+#: ASCII letters and digits, and every byte beyond ASCII.
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def lower_latin(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the accented capitals of Latin-1 lower-cased."""
+    out = _LOWER[buf]
+    accent = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)) + 1
+    out[accent] += 32
+    return out
+
+
 def spans(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of `inside` bytes, and for each row the index of its first run (n + 1 values)."""
     held = np.zeros(len(buf) + 2, dtype=np.int8)
