@@ -13,21 +13,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
 from tidemark.llm.components import connected_components
+from tidemark.llm.neardup import pairs_apart, reach_of
 from tidemark.llm.scratch import remove, written
 
 SHINGLE, BANDS, ROWS = 9, 10, 4
 THRESHOLD = 0.85
+#: Coordinates of the whole signature in which a pair at the threshold agrees, but for one in about 10^6.
+AGREE = 22
 
 _rng = np.random.default_rng(20240301)
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BAND = tb.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def character_shingles(points: np.ndarray) -> np.ndarray:
@@ -53,8 +55,8 @@ def _lines(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, row_hash, line_no, line, bands) for each line that has a character other than white space. line is a 64-bit
-    hash of its bytes, bands are hashes of the signature's bands."""
+    """(id, row_hash, line_no, line, sig) for each line that has a character other than white space. line is a 64-bit
+    hash of its bytes, sig its signature of BANDS * ROWS minima."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("row_hash"), F.col(text).alias("text"))
     id_type = docs.schema[key].dataType.simpleString()
 
@@ -75,19 +77,28 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 counts = np.maximum(1, last - first - SHINGLE + 1)
                 low = (tb.mix(values) >> np.uint64(32)).astype(np.uint32)[tb.ranges(first, counts)]
                 at = np.concatenate(([0], np.cumsum(counts)[:-1]))
-                bands = np.zeros((len(starts), BANDS), np.uint64)
+                sig = np.zeros((len(starts), BANDS * ROWS), np.uint32)
                 for k in range(BANDS * ROWS):
-                    bands[:, k // ROWS] += np.minimum.reduceat((low ^ _XOR[k]) * _ODD[k], at).astype(np.uint64) * _BAND[k]
-                bands = tb.mix(bands + np.arange(BANDS, dtype=np.uint64) * _STEP)
-                band_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
+                    sig[:, k] = np.minimum.reduceat((low ^ _XOR[k]) * _ODD[k], at)
+                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * (BANDS * ROWS)), pa.array(sig.ravel().view(np.int32)))
                 part = batch.slice(begin, end - begin)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(tb.span_hash(buf, starts, ends).view(np.int64)), band_lists],
-                    names=["id", "row_hash", "line_no", "line", "bands"],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(tb.span_hash(buf, starts, ends).view(np.int64)), sigs],
+                    names=["id", "row_hash", "line_no", "line", "sig"],
                 )
 
-    return rows.mapInArrow(run, f"id {id_type}, row_hash long, line_no int, line long, bands array<long>")
+    return rows.mapInArrow(run, f"id {id_type}, row_hash long, line_no int, line long, sig array<int>")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles) of (line, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([line_sets(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+
+    return texts.select("line", "text").mapInArrow(run, "id long, shingles binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -127,11 +138,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     docs = docs.drop("n_lines", "n_kept")
     spots, spots_path = written(sketch(docs, key, text), "lines")
     place = F.struct("id", "row_hash", "line_no")
-    lines, lines_path = written(spots.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("bands").alias("bands")), "distinct-lines")
-    postings = lines.select("line", F.explode("bands").alias("band"))
-    buckets = postings.groupBy("band").agg(F.min("line").alias("hub"), F.max("line").alias("other")).filter("hub <> other").select("band", "hub")
+    lines, lines_path = written(spots.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "distinct-lines")
+    band = lambda i: F.xxhash64(F.lit(i), *[F.col("sig")[ROWS * i + r] for r in range(ROWS)])
+    postings = lines.select("line", "copies", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("band"))
+    # A band's hub is its line of most copies, which in a group of edited lines is likely the original.
+    buckets = postings.groupBy("band").agg(F.max_by("line", F.struct("copies", "line")).alias("hub"), F.min("line").alias("lo"), F.max("line").alias("hi")).filter("lo <> hi").select("band", "hub")
     # Only lines that share a band with another line go on.
-    posted, posted_path = written(postings.join(buckets, "band"), "bands")
+    posted, posted_path = written(postings.join(buckets, "band").select("band", "line", "hub"), "bands")
 
     wanted = posted.select("line").distinct()
     at = lines.join(wanted, "line").select("line", "first.*")
@@ -141,18 +154,21 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     texts = texts.select("line", F.element_at(F.split("text", "\n"), F.col("line_no") + 1).alias("text")).dropDuplicates(["line"])
     texts, texts_path = written(texts, "line-texts")
 
-    # First round: each line against one hub. Second: pairs in one band that are still apart.
-    star = posted.filter("hub <> line").groupBy("line").agg(F.min("hub").alias("b")).withColumnRenamed("line", "a")
+    # First round: each line against up to three hubs. Second: pairs in one band that are still apart.
+    star = posted.filter("hub <> line").groupBy(F.col("line").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("met"))
+    star = star.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).filter("nth <= 3").select("a", "b")
+    star, star_path = written(star, "star")
     first, first_path = written(confirm(star, texts, threshold), "links")
     labels = connected_components(first)
-    labelled = posted.join(labels.withColumnRenamed("id", "line"), "line", "left").select("band", "line", F.coalesce("component", "line").alias("label"))
+    labelled = posted.join(labels.withColumnRenamed("id", "line"), "line", "left").select(F.col("band").alias("token"), F.col("line").alias("id"), F.coalesce("component", "line").alias("label"))
     labelled, labelled_path = written(labelled, "labelled")
-    apart = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    open_ = labelled.join(apart, "band")
-    met = open_.select("band", F.col("line").alias("a"), F.col("label").alias("la")).join(open_.select("band", F.col("line").alias("b"), F.col("label").alias("lb")), "band")
-    met = met.filter("a < b and la <> lb").select("a", "b").distinct()
-    tried = star.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    met = met.join(tried, ["a", "b"], "left_anti")
+    apart = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+    open_, open_path = written(labelled.join(apart, "token"), "open")
+    share = round(threshold * 1000)
+    open_labels = open_.select("id", "label").distinct()
+    reach = reach_of(_sets(texts.join(open_labels.select(F.col("id").alias("line")), "line", "left_semi")), open_labels, share, 1000)
+    met = pairs_apart(open_, lines.select(F.col("line").alias("id"), "sig"), reach, share, 1000, AGREE)
+    met = met.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second, second_path = written(confirm(met, texts, threshold), "links")
     components, components_path = written(connected_components(first.union(second)), "line-components")
 
@@ -164,7 +180,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     gone = spots.select("id", "row_hash", "line_no", "line").join(linked.union(alone), "line").filter(~place.eqNullSafe(F.col("keep")))
     gone = gone.groupBy(F.col("id").alias("_id"), F.col("row_hash").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     gone, _ = written(gone, "dropped-lines")
-    remove(spark, spots_path, lines_path, posted_path, texts_path, first_path, labelled_path, second_path, components_path)
+    remove(spark, spots_path, lines_path, posted_path, texts_path, star_path, first_path, labelled_path, open_path, second_path, components_path)
 
     rows = docs.withColumn("_row_hash", F.xxhash64(text))
     rows = rows.join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_row")), "left")

@@ -146,10 +146,13 @@ def _plausible(numerator: int, denominator: int) -> F.Column:
     return sizes & (matches >= T)
 
 
-def _reach(ids: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(id, reach): how many shingles of each set stand in any other of these sets, which no overlap can exceed. Sets
-    whose reach is below numerator / denominator of their size have no partner and are left out."""
-    held = sets.join(ids, "id", "left_semi")
+def reach_of(sets: DataFrame, labels: DataFrame, numerator: int, denominator: int, rounds: int = 5) -> DataFrame:
+    """(id, n, reach) of (id, shingles) and (id, label): the set's size and how many of its shingles stand in a set of
+    another label, which no overlap with one can exceed.
+
+    Sets whose reach is below numerator / denominator of their size have no partner of another label; they are left
+    out, which lowers the reach of others, for up to `rounds` rounds.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,11 +162,43 @@ def _reach(ids: DataFrame, sets: DataFrame, numerator: int, denominator: int) ->
                 rows = np.repeat(np.arange(len(part)), [len(v) for v in values])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate(values))], names=["id", "shingle"])
 
-    each, _ = written(held.mapInArrow(split, "id long, shingle long"), "open-shingles")
-    common = each.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1").select("shingle")
-    size = held.select("id", (F.length("shingles") / 8).cast("long").alias("size"))
-    reach = each.join(common, "shingle").groupBy("id").agg(F.count("*").alias("reach")).join(size, "id")
-    return reach.filter(F.col("reach") * denominator >= F.col("size") * numerator).select("id", "reach")
+    spark = sets.sparkSession
+    each, path = written(sets.mapInArrow(split, "id long, shingle long").join(labels, "id"), "open-shingles")
+    reach, reach_path = None, None
+    left = None
+    for _ in range(rounds):
+        held = each if reach is None else each.join(reach.select("id"), "id", "left_semi")
+        common = held.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shingle", F.lit(1).alias("held"))
+        following = held.join(common, "shingle", "left").groupBy("id").agg(F.count("*").alias("n"), F.count("held").alias("reach"))
+        following, next_path = written(following.filter(F.col("reach") * denominator >= F.col("n") * numerator), "reach")
+        if reach_path:
+            remove(spark, reach_path)
+        reach, reach_path = following, next_path
+        count = reach.count()
+        if left is not None and count > 0.98 * left:
+            break
+        left = count
+    remove(spark, path)
+    return reach
+
+
+def pairs_apart(posted: DataFrame, nodes: DataFrame, reach: DataFrame, numerator: int, denominator: int, least: int) -> DataFrame:
+    """(a, b) with a < b: nodes of different labels that share a token of (id, token, label), whose sizes and reach
+    (id, n, reach) allow the similarity and whose signatures (id, sig) agree in `least` coordinates or more.
+
+    A pair comes from the first token that both have alone, so it is looked at, and made, once.
+    """
+    tokens = posted.groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("tokens"))  # a bounded number a node
+    whole = reach.join(tokens, "id").join(nodes.select("id", "sig").dropDuplicates(["id"]), "id")
+    side = posted.select("id", "token", "label").join(whole, "id")
+    named = lambda x: side.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "label", "n", "reach", "tokens", "sig")])
+    needed = F.least("a_reach", "b_reach") * (numerator + denominator) >= (F.col("a_n") + F.col("b_n")) * numerator
+    sizes = F.least("a_n", "b_n") * denominator >= F.greatest("a_n", "b_n") * numerator
+    matches = F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda x, y: x == y), lambda x: x)) >= least
+    once = F.array_intersect("a_tokens", "b_tokens")[0] == F.col("a_token")
+    a, b = named("a").withColumnRenamed("token", "a_token"), named("b").withColumnRenamed("token", "b_token")
+    apart = (F.col("a_token") == F.col("b_token")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_label") != F.col("b_label"))
+    return a.join(b, apart & sizes & needed & once & matches).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = 75, denominator: int = 100) -> DataFrame:
@@ -203,26 +238,17 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: in
     labelled, labelled_path = written(labelled, "labelled")
     apart = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     open_, open_path = written(labelled.join(apart, "token"), "open")
-    reach, reach_path = written(_reach(open_.select("id").distinct(), sets, numerator, denominator), "reach")
-    small = open_.join(reach, "id").select("token", "id", "label", "n", "reach")
-    a = small.select("token", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("reach").alias("ra"))
-    b = small.select("token", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("reach").alias("rb"))
-    # Overlap that the similarity needs, and what either set can give.
-    needed = F.least("ra", "rb") * (numerator + denominator) >= (F.col("na") + F.col("nb")) * numerator
-    sizes = F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator
-    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sizes & needed).select("a", "b").distinct()
+    open_labels = open_.select("id", "label").distinct()
+    reach = reach_of(sets.join(open_labels, "id", "left_semi"), open_labels, numerator, denominator)
+    met = pairs_apart(open_, nodes, reach, numerator, denominator, T)
     met = met.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    signed = nodes.join(reach.select("id"), "id", "left_semi")
-    met = met.join(signed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga")), "a")
-    met = met.join(signed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb")), "b")
-    met = met.filter(_plausible(numerator, denominator)).select("a", "b")
     second, second_path = written(confirm(met, sets, numerator, denominator), "links")
 
     # A key that stands on rows of different sets ties them together.
     tied = sketches.filter("set_id is not null and id is not null").groupBy("id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo <> hi").select("id")
     tied = sketches.join(tied, "id").join(groups.select("set_id", "rep"), "set_id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found, _ = written(connected_components(first.union(second).union(tied)), "components")
-    remove(spark, posted_path, sets_path, star_path, first_path, labelled_path, open_path, reach_path, second_path)
+    remove(spark, posted_path, sets_path, star_path, first_path, labelled_path, open_path, second_path)
     by_set = groups.select("set_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n_shingles", "set_id").join(by_set, "set_id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
