@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
 from tidemark.llm.scratch import remove, written
+from tidemark.llm.vectors import added
 
 SIZE, STRIDE = 64, 32
 RANK = 64
@@ -159,21 +160,6 @@ def find_words(docs: DataFrame, features: Features, key: str, text: str) -> Data
     return rows.mapInArrow(run, f"id {id_type}, row_hash long, n_words long, at binary, feature binary, df binary, n_passages long")
 
 
-def _added(rows: DataFrame, kind: str) -> np.ndarray:
-    """The sum of the vectors in (part, value), part by part. Partial sums go through two levels, so no task
-    holds more than about the square root of their number."""
-    fan = max(1, int(np.sqrt(rows.rdd.getNumPartitions())))
-
-    def total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        sums = sum(np.frombuffer(x.as_buffer(), kind) for x in table["value"])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "value": pa.array([sums.tobytes()], pa.binary())})
-
-    salted = rows.withColumn("salt", F.spark_partition_id() % fan)
-    once = salted.groupBy("part", "salt").applyInArrow(total, "part int, value binary")
-    found = once.groupBy("part").applyInArrow(total, "part int, value binary").collect()  # a fixed number of parts
-    return np.concatenate([np.frombuffer(r["value"], kind) for r in sorted(found, key=lambda r: r["part"])]) if found else np.zeros(0)
-
-
 def _weigh(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Unit TF-IDF rows of a batch's passages: (passage, feature, value), each row's first passage, and row limits.
     A passage without a weighted word has no entries."""
@@ -239,7 +225,7 @@ def singular_vectors(hits: DataFrame, weights: np.ndarray, rank: int = RANK, see
                 total[f[order][opens]] += np.add.reduceat(spread, opens, axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([total[x].tobytes() for x in parts], pa.binary())], names=["part", "value"])
 
-    product = _added(hits.filter("n_words is not null").mapInArrow(run, "part int, value binary"), "<f8").reshape(m, rank)
+    product = added(hits.filter("n_words is not null").mapInArrow(run, "part int, value binary"), "<f8").reshape(m, rank)
     inner = gauss.astype(float).T @ product
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > 1e-9 * max(values.max(), 1e-300)
@@ -294,7 +280,7 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
     m = len(features.hashes)
     hits, hits_path = written(find_words(docs, features, key, text), "benchmark-words")
     totals = hits.filter("df is not null")
-    df = _added(totals.select(F.lit(0).alias("part"), F.col("df").alias("value")), "<i8").astype(float) if m else np.zeros(0)
+    df = added(totals.select(F.lit(0).alias("part"), F.col("df").alias("value")), "<i8").astype(float) if m else np.zeros(0)
     df = df if len(df) == m else np.zeros(m)
     whole = totals.agg(F.sum("n_passages")).first()[0] or 0
     weights = np.log((1 + whole) / (1 + df)) + 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, licenses, linededup, media, neardup, pieces, scratch, warc
+from tidemark.llm import decontaminate, language, licenses, linededup, lmscore, media, neardup, pieces, scratch, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def remainder(key: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of all documents, learned from those whose remainder by 10 is not 0."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 10) == 0
+    out = lmscore.score(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), *[c for c in out.columns if c != "doc_id"])
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as WARC records, read back and assembled."""
     path = scratch.new_path(spark, "warc")
@@ -86,6 +94,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
     "op4_benchmark_leaks": op4_benchmark_leaks,
