@@ -2,7 +2,7 @@
 
 Documents are cut into passages of `SIZE` words, one every `STRIDE` words, over their whole length. TF-IDF vectors of the
 passages over the benchmark's words (document frequencies are counted over all passages) go through a distributed
-randomised SVD; the latent space is spanned by the leading singular vectors and the items' own vectors, so that rare
+randomised SVD (every second passage: side by side they cover the texts); the latent space is spanned by the leading singular vectors and the items' own vectors, so that rare
 words of an item keep their weight. Passages of enough cosine to an item are candidates, which the longest common
 subsequence with the item and a check of its answer (the last sentence) confirm on the text around the passage.
 
@@ -26,7 +26,7 @@ from tidemark.llm.scratch import remove, written
 from tidemark.llm.vectors import added
 
 SIZE, STRIDE = 64, 32
-RANK = 64
+RANK = 32
 #: Words in more than this share of passages (and in more than 50) have no weight, unless an item has too few others.
 COMMON_SHARE, COMMON_LEAST = 0.02, 50
 
@@ -160,25 +160,25 @@ def find_words(docs: DataFrame, features: Features, key: str, text: str) -> Data
     return rows.mapInArrow(run, f"id {id_type}, row_hash long, n_words long, at binary, feature binary, df binary, n_passages long")
 
 
-def _weigh(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit TF-IDF rows of a batch's passages: (passage, feature, value), each row's first passage, and row limits.
-    A passage without a weighted word has no entries."""
+def _weigh(batch: pa.RecordBatch, weights: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit TF-IDF rows of a batch's passages: (passage, feature, value) and each row's first passage. With a stride of
+    SIZE the passages lie side by side. A passage without a weighted word has no entries."""
     count = batch.column(2).to_numpy()
     at = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in batch.column(3)), "<i4").astype(np.int64)
     feature = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in batch.column(4)), "<i4").astype(np.int64)
     sizes = np.array([len(x.as_buffer()) // 4 for x in batch.column(3)], np.int64)
-    limits = np.concatenate(([0], np.cumsum(sizes)))
     row = np.repeat(np.arange(len(count)), sizes)
-    many = passages(count)
+    many = passages(count) if stride == STRIDE else np.maximum(1, -(-count // SIZE))
     first = np.concatenate(([0], np.cumsum(many)))
-    keep = weights[feature] > 0
-    passage, index = _members(row[keep], at[keep], first[:-1], many)
+    keep = np.flatnonzero(weights[feature] > 0)
+    row, at, feature = row[keep], at[keep], feature[keep]
+    passage, index = _members(row, at, first[:-1], many) if stride == STRIDE else (first[row] + at // SIZE, slice(None))
     m = len(weights)
-    pairs = np.unique(passage * m + feature[keep][index])
+    pairs = np.unique(passage * m + feature[index])
     passage, feature = np.divmod(pairs, m)
     value = weights[feature]
     norm = np.sqrt(np.bincount(passage, weights=value**2, minlength=int(first[-1])))
-    return passage, feature, value / norm[passage], first, limits
+    return passage, feature, value / norm[passage], first
 
 
 def _project(passage: np.ndarray, feature: np.ndarray, value: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def singular_vectors(hits: DataFrame, weights: np.ndarray, rank: int = RANK, see
         weights, gauss = held.value
         total = np.zeros((m, rank))
         for batch in batches:
-            passage, feature, value, _, _ = _weigh(batch, weights)
+            passage, feature, value, _ = _weigh(batch, weights, SIZE)
             for begin, end in _sliced(passage):
                 p, f, v = passage[begin:end], feature[begin:end], value[begin:end]
                 present, made = _project(p, f, v, gauss)
@@ -248,9 +248,17 @@ def common_subsequence(text: list[int], item: tuple[int, ...]) -> int:
     return len(item) - row.bit_count()
 
 
+def closest(text: list[int], item: tuple[int, ...]) -> list[int]:
+    """The stretch of text, half as long again as the item, that has the longest common subsequence with it. Matches
+    strewn over a longer text say nothing."""
+    size, step = -(-3 * len(item) // 2), max(1, len(item) // 8)
+    starts = range(0, max(1, len(text) - size + step), step)
+    return max((text[a : a + size] for a in starts), key=lambda x: common_subsequence(x, item))
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    cosine: float = 0.35, lcs: float = 0.6, answer: float = 0.5, block: int = 256,
+    cosine: float = 0.4, lcs: float = 0.6, answer: float = 0.5, block: int = 256,
 ) -> DataFrame:
     """(key, item, cosine, lcs_share, answer_share): documents that hold an item, with each item's best passage.
 
@@ -305,8 +313,25 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, basis, targets, distinct, weightless, sizes = held.value
+        # Which items hold a feature: items_of[begins[f]:begins[f + 1]].
+        pairs = np.array(sorted((f, i) for i, words in enumerate(distinct) for f in words.tolist()), np.int64).reshape(-1, 2)
+        begins, items_of = np.searchsorted(pairs[:, 0], np.arange(len(weights) + 1)), pairs[:, 1]
+        many = len(sizes)
         for batch in batches:
-            passage, feature, value, first, limits = _weigh(batch, weights)
+            # A document that holds too few of every item's words, all places taken together, can't hold an item.
+            words = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in batch.column(4)), "<i4").astype(np.int64)
+            row = np.repeat(np.arange(len(batch)), [len(x.as_buffer()) // 4 for x in batch.column(4)])
+            keep = weights[words] > 0
+            row, words = np.divmod(np.unique(row[keep] * len(weights) + words[keep]), len(weights))
+            span = begins[words + 1] - begins[words]
+            both, count = np.unique(np.repeat(row, span) * many + items_of[tb.ranges(begins[words], span)], return_counts=True)
+            able = np.zeros(len(batch), bool)
+            able[both[count + weightless[both % many] >= lcs * sizes[both % many]] // many] = True
+            able |= bool((weightless >= lcs * sizes).any())
+            batch = batch.filter(pa.array(able))
+            if not len(batch):
+                continue
+            passage, feature, value, first = _weigh(batch, weights)
             at = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(3)]
             words = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(4)]
             found: list[tuple[int, int, int, float]] = []
@@ -353,6 +378,7 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
                         continue
                     n = len(item.words)
                     around = words[max(0, spot["start"] - n) : spot["start"] + SIZE + n].tolist()
+                    around = closest(around, item.words)
                     share = common_subsequence(around, item.words) / n
                     if share < lcs:
                         continue

@@ -77,10 +77,10 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 counts = np.maximum(1, last - first - SHINGLE + 1)
                 low = (tb.mix(values) >> np.uint64(32)).astype(np.uint32)[tb.ranges(first, counts)]
                 at = np.concatenate(([0], np.cumsum(counts)[:-1]))
-                sig = np.zeros((len(starts), BANDS * ROWS), np.uint32)
+                sig = np.zeros((len(starts), BANDS * ROWS), np.uint16)  # the minima's lower halves
                 for k in range(BANDS * ROWS):
                     sig[:, k] = np.minimum.reduceat((low ^ _XOR[k]) * _ODD[k], at)
-                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * (BANDS * ROWS)), pa.array(sig.ravel().view(np.int32)))
+                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * (BANDS * ROWS)), pa.array(sig.ravel().view(np.int16)))
                 part = batch.slice(begin, end - begin)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -88,7 +88,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                     names=["id", "row_hash", "line_no", "line", "sig"],
                 )
 
-    return rows.mapInArrow(run, f"id {id_type}, row_hash long, line_no int, line long, sig array<int>")
+    return rows.mapInArrow(run, f"id {id_type}, row_hash long, line_no int, line long, sig array<short>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -141,10 +141,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     lines, lines_path = written(spots.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "distinct-lines")
     band = lambda i: F.xxhash64(F.lit(i), *[F.col("sig")[ROWS * i + r] for r in range(ROWS)])
     postings = lines.select("line", "copies", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("band"))
-    # A band's hub is its line of most copies, which in a group of edited lines is likely the original.
-    buckets = postings.groupBy("band").agg(F.max_by("line", F.struct("copies", "line")).alias("hub"), F.min("line").alias("lo"), F.max("line").alias("hi")).filter("lo <> hi").select("band", "hub")
+    shared = postings.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     # Only lines that share a band with another line go on.
-    posted, posted_path = written(postings.join(buckets, "band").select("band", "line", "hub"), "bands")
+    posted, posted_path = written(postings.join(shared, "band", "left_semi"), "bands")
 
     wanted = posted.select("line").distinct()
     at = lines.join(wanted, "line").select("line", "first.*")
@@ -155,7 +154,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     texts, texts_path = written(texts, "line-texts")
 
     # First round: each line against up to three hubs. Second: pairs in one band that are still apart.
-    star = posted.filter("hub <> line").groupBy(F.col("line").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("met"))
+    # A band's hub is its line of most copies, which in a group of edited lines is likely the original.
+    hubs = posted.groupBy("band").agg(F.max_by("line", F.struct("copies", "line")).alias("hub"))
+    star = posted.join(hubs, "band").filter("hub <> line").groupBy(F.col("line").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("met"))
     star = star.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).filter("nth <= 3").select("a", "b")
     star, star_path = written(star, "star")
     first, first_path = written(confirm(star, texts, threshold), "links")

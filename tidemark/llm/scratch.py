@@ -25,11 +25,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
-    """df as a Parquet table read back from the shared folder, and its path (for `remove`)."""
+    """df as a Parquet table read back from the shared folder, and its path (for `remove`). The shuffle files behind it
+    go when the table stands, as nothing reads them again."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
