@@ -18,13 +18,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
 from tidemark.llm.components import connected_components
-from tidemark.llm.neardup import pairs_apart, reach_of
+from tidemark.llm.neardup import fine_bits, pairs_apart
 from tidemark.llm.scratch import remove, written
 
 SHINGLE, BANDS, ROWS = 9, 10, 4
 THRESHOLD = 0.85
-#: Coordinates of the whole signature in which a pair at the threshold agrees, but for one in about 10^6.
-AGREE = 22
 
 _rng = np.random.default_rng(20240301)
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -166,9 +164,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     apart = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     open_, open_path = written(labelled.join(apart, "token"), "open")
     share = round(threshold * 1000)
-    open_labels = open_.select("id", "label").distinct()
-    reach = reach_of(_sets(texts.join(open_labels.select(F.col("id").alias("line")), "line", "left_semi")), open_labels, share, 1000)
-    met = pairs_apart(open_, lines.select(F.col("line").alias("id"), "sig"), reach, share, 1000, AGREE)
+    fine, fine_path = written(fine_bits(_sets(texts.join(open_.select(F.col("id").alias("line")).distinct(), "line", "left_semi"))), "bits")
+    met = pairs_apart(open_, fine, share, 1000)
     met = met.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second, second_path = written(confirm(met, texts, threshold), "links")
     components, components_path = written(connected_components(first.union(second)), "line-components")
@@ -181,7 +178,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     gone = spots.select("id", "row_hash", "line_no", "line").join(linked.union(alone), "line").filter(~place.eqNullSafe(F.col("keep")))
     gone = gone.groupBy(F.col("id").alias("_id"), F.col("row_hash").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     gone, _ = written(gone, "dropped-lines")
-    remove(spark, spots_path, lines_path, posted_path, texts_path, star_path, first_path, labelled_path, open_path, second_path, components_path)
+    remove(spark, spots_path, lines_path, posted_path, texts_path, star_path, first_path, labelled_path, open_path, fine_path, second_path, components_path)
 
     rows = docs.withColumn("_row_hash", F.xxhash64(text))
     rows = rows.join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_row")), "left")

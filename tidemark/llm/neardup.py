@@ -9,7 +9,8 @@ count can still reach `T` (the skip), and pairs that reach it are confirmed on t
 
 A pair of Jaccard similarity 0.75 shares 48 of 64 coordinates on average, with a deviation of 3.5, so T = 29 loses
 one in about 10^7 such pairs. Components do not need all pairs of a group: a first round confirms each node against one
-or a few hubs, and the second looks only at pairs that this left in different components, whose sets share enough with any other.
+or a few hubs, and the second looks only at pairs that this left in different components, and of these at
+those whose sets share enough with any other and whose further `BITS` one-bit minima agree often enough.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ SHINGLE, K, T = 5, 64, 29
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**32, K, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**32, K, dtype=np.uint32) | np.uint32(1)
+BITS = 512
+_FINE_XOR = _rng.integers(0, 2**32, BITS, dtype=np.uint32)
+_FINE_ODD = _rng.integers(0, 2**32, BITS, dtype=np.uint32) | np.uint32(1)
 _PLACE = tb.mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -146,7 +150,7 @@ def _plausible(numerator: int, denominator: int) -> F.Column:
     return sizes & (matches >= T)
 
 
-def reach_of(sets: DataFrame, labels: DataFrame, numerator: int, denominator: int, rounds: int = 5) -> DataFrame:
+def reach_of(sets: DataFrame, labels: DataFrame, numerator: int, denominator: int, rounds: int = 2) -> DataFrame:
     """(id, n, reach) of (id, shingles) and (id, label): the set's size and how many of its shingles stand in a set of
     another label, which no overlap with one can exceed.
 
@@ -182,23 +186,49 @@ def reach_of(sets: DataFrame, labels: DataFrame, numerator: int, denominator: in
     return reach
 
 
-def pairs_apart(posted: DataFrame, nodes: DataFrame, reach: DataFrame, numerator: int, denominator: int, least: int) -> DataFrame:
-    """(a, b) with a < b: nodes of different labels that share a token of (id, token, label), whose sizes and reach
-    (id, n, reach) allow the similarity and whose signatures (id, sig) agree in `least` coordinates or more.
+def fine_bits(sets: DataFrame) -> DataFrame:
+    """(id, n, bits) of (id, shingles): the set's size and one bit of each of BITS further minima, in 64-bit words. Sets of
+    similarity s agree in a bit with probability (1 + s) / 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in tb.splits_by(batch.column(0), 64):
+                part = batch.slice(begin, end - begin)
+                values = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
+                sizes = np.array([len(v) for v in values], np.int64)
+                low = (np.concatenate(values) >> np.uint64(32)).astype(np.uint32)
+                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                bits = np.zeros((len(values), BITS), np.uint8)
+                for k in range(BITS):
+                    bits[:, k] = (np.minimum.reduceat((low ^ _FINE_XOR[k]) * _FINE_ODD[k], starts) >> np.uint32(5)) & np.uint32(1)
+                words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists], names=["id", "n", "bits"])
+
+    return sets.mapInArrow(run, "id long, n long, bits array<long>")
+
+
+def pairs_apart(posted: DataFrame, fine: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(a, b) with a < b: nodes of different labels that share a token of (id, token, label), whose sizes, and reach if
+    given, allow the similarity and whose bits (id, n, bits) agree as often as at the similarity, less 5.3 standard
+    deviations.
 
     A pair comes from the first token that both have alone, so it is looked at, and made, once.
     """
+    chance = (1 + numerator / denominator) / 2
+    least = int(BITS * chance - 5.3 * (BITS * chance * (1 - chance)) ** 0.5)
     tokens = posted.groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("tokens"))  # a bounded number a node
-    whole = reach.join(tokens, "id").join(nodes.select("id", "sig").dropDuplicates(["id"]), "id")
-    side = posted.select("id", "token", "label").join(whole, "id")
-    named = lambda x: side.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "label", "n", "reach", "tokens", "sig")])
-    needed = F.least("a_reach", "b_reach") * (numerator + denominator) >= (F.col("a_n") + F.col("b_n")) * numerator
+    words = [F.col("bits")[i].alias(f"w{i}") for i in range(BITS // 64)]
+    side = posted.select("id", "token", "label").join(fine.join(tokens, "id").select("id", "n", "tokens", *words, *(["reach"] if "reach" in fine.columns else [])), "id")
+    named = lambda x: side.select(*[F.col(c).alias(f"{x}_{c}") for c in side.columns])
     sizes = F.least("a_n", "b_n") * denominator >= F.greatest("a_n", "b_n") * numerator
-    matches = F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda x, y: x == y), lambda x: x)) >= least
+    if "reach" in fine.columns:
+        sizes &= F.least("a_reach", "b_reach") * (numerator + denominator) >= (F.col("a_n") + F.col("b_n")) * numerator
+    differ = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(BITS // 64)), F.lit(0))
     once = F.array_intersect("a_tokens", "b_tokens")[0] == F.col("a_token")
-    a, b = named("a").withColumnRenamed("token", "a_token"), named("b").withColumnRenamed("token", "b_token")
     apart = (F.col("a_token") == F.col("b_token")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_label") != F.col("b_label"))
-    return a.join(b, apart & sizes & needed & once & matches).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    met = named("a").join(named("b"), apart & sizes & (differ <= BITS - least) & once)
+    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = 75, denominator: int = 100) -> DataFrame:
@@ -240,7 +270,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: in
     open_, open_path = written(labelled.join(apart, "token"), "open")
     open_labels = open_.select("id", "label").distinct()
     reach = reach_of(sets.join(open_labels, "id", "left_semi"), open_labels, numerator, denominator)
-    met = pairs_apart(open_, nodes, reach, numerator, denominator, T)
+    fine, fine_path = written(fine_bits(sets.join(reach.select("id"), "id", "left_semi")).join(reach.select("id", "reach"), "id"), "bits")
+    met = pairs_apart(open_, fine, numerator, denominator)
     met = met.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second, second_path = written(confirm(met, sets, numerator, denominator), "links")
 
@@ -248,7 +279,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: in
     tied = sketches.filter("set_id is not null and id is not null").groupBy("id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo <> hi").select("id")
     tied = sketches.join(tied, "id").join(groups.select("set_id", "rep"), "set_id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found, _ = written(connected_components(first.union(second).union(tied)), "components")
-    remove(spark, posted_path, sets_path, star_path, first_path, labelled_path, open_path, second_path)
+    remove(spark, posted_path, sets_path, star_path, first_path, labelled_path, open_path, fine_path, second_path)
     by_set = groups.select("set_id", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n_shingles", "set_id").join(by_set, "set_id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
