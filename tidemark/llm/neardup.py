@@ -31,7 +31,7 @@ SHINGLE, K, T = 5, 64, 29
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**32, K, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**32, K, dtype=np.uint32) | np.uint32(1)
-BITS = 512
+BITS = 1024
 _FINE_XOR = _rng.integers(0, 2**32, BITS, dtype=np.uint32)
 _FINE_ODD = _rng.integers(0, 2**32, BITS, dtype=np.uint32) | np.uint32(1)
 _PLACE = tb.mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
