@@ -306,29 +306,26 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
     basis = basis[:, np.abs(np.diag(upper)) > 1e-9].astype(np.float32)
     targets = (queries @ basis).astype(np.float32)
     targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-30)
-    distinct = [np.array(sorted(w for w in set(i.words) if weights[w] > 0), np.int64) for i in items]
-    weightless = np.array([sum(weights[w] == 0 for w in i.words) + sum(weights[w] > 0 for w in i.words) - len(d) for i, d in zip(items, distinct, strict=True)])
     sizes = np.array([len(i.words) for i in items])
-    held = spark.sparkContext.broadcast((weights, basis, targets, distinct, weightless, sizes))
+    times = np.zeros((m, len(items)), np.uint16)  # how often each item holds each word
+    for i, item in enumerate(items):
+        np.add.at(times[:, i], list(item.words), 1)
+    held = spark.sparkContext.broadcast((weights, basis, targets, times, sizes))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, basis, targets, distinct, weightless, sizes = held.value
-        # Which items hold a feature: items_of[begins[f]:begins[f + 1]].
-        pairs = np.array(sorted((f, i) for i, words in enumerate(distinct) for f in words.tolist()), np.int64).reshape(-1, 2)
-        begins, items_of = np.searchsorted(pairs[:, 0], np.arange(len(weights) + 1)), pairs[:, 1]
-        many = len(sizes)
+        weights, basis, targets, times, sizes = held.value
+        least = np.ceil(lcs * sizes - 1e-9)
         for batch in batches:
-            # A document that holds too few of every item's words, all places taken together, can't hold an item.
+            # No more of an item's words can be in common than those that the document holds somewhere.
             words = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in batch.column(4)), "<i4").astype(np.int64)
             row = np.repeat(np.arange(len(batch)), [len(x.as_buffer()) // 4 for x in batch.column(4)])
-            keep = weights[words] > 0
-            row, words = np.divmod(np.unique(row[keep] * len(weights) + words[keep]), len(weights))
-            span = begins[words + 1] - begins[words]
-            both, count = np.unique(np.repeat(row, span) * many + items_of[tb.ranges(begins[words], span)], return_counts=True)
-            able = np.zeros(len(batch), bool)
-            able[both[count + weightless[both % many] >= lcs * sizes[both % many]] // many] = True
-            able |= bool((weightless >= lcs * sizes).any())
-            batch = batch.filter(pa.array(able))
+            row, words = np.divmod(np.unique(row * len(weights) + words), len(weights))
+            opens = np.searchsorted(row, np.arange(len(batch) + 1))
+            able = np.zeros((len(batch), len(sizes)), bool)
+            for a in range(0, len(batch), 256):
+                b = min(a + 256, len(batch))
+                able[a:b] = np.add.reduceat(times[words[opens[a] : opens[b]]], opens[a:b] - opens[a], axis=0) >= least
+            batch, able = batch.filter(pa.array(able.any(1))), able[able.any(1)]
             if not len(batch):
                 continue
             passage, feature, value, first = _weigh(batch, weights)
@@ -337,15 +334,14 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
             found: list[tuple[int, int, int, float]] = []
             for begin, end in _sliced(passage):
                 present, made = _project(passage[begin:end], feature[begin:end], value[begin:end], basis)
+                row = np.searchsorted(first, present, side="right") - 1
                 norm = np.linalg.norm(made, axis=1)
                 close = (made @ targets.T) / np.maximum(norm, 1e-30)[:, None]
-                for p, i in zip(*np.nonzero(close >= cosine), strict=True):
-                    row = int(np.searchsorted(first, present[p], side="right")) - 1
-                    start = int(present[p] - first[row]) * STRIDE
-                    near = slice(*np.searchsorted(at[row], (start - sizes[i], start + SIZE + sizes[i])))
-                    # No more of the item's words can be common than stand there, beside those without weight.
-                    if np.isin(distinct[i], words[row][near]).sum() + weightless[i] >= lcs * sizes[i]:
-                        found.append((row, start, int(i), float(close[p, i])))
+                for p, i in zip(*np.nonzero((close >= cosine) & able[row]), strict=True):
+                    start = int(present[p] - first[row[p]]) * STRIDE
+                    near = slice(*np.searchsorted(at[row[p]], (start - sizes[i], start + SIZE + sizes[i])))
+                    if times[np.unique(words[row[p]][near]), i].sum() >= least[i]:
+                        found.append((int(row[p]), start, int(i), float(close[p, i])))
             if found:
                 row, start, item, close = zip(*found, strict=True)
                 take = pa.array(row)
@@ -359,7 +355,11 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
     candidates, _ = written(candidates, "candidates")
     remove(spark, hits_path)
     source = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_row"), F.col(text).alias("text"))
-    joined = source.join(candidates, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_row") == F.col("row_hash"))).select("id", "text", "found")
+    # Texts are picked by the candidates' keys alone, which are few, so that other texts need not move.
+    same = lambda left, right: left["_id"].eqNullSafe(right["id"]) & (left["_row"] == right["row_hash"])
+    keys = candidates.select("id", "row_hash")
+    source = source.join(keys, same(source, keys), "left_semi")
+    joined = source.join(candidates, same(source, candidates)).select("id", "text", "found")
     held_items = spark.sparkContext.broadcast((features, items))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
