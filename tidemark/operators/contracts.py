@@ -9,12 +9,10 @@ from pyspark.sql import types as T
 from tidemark.operators.evidence import WIND_MAX, WIND_MIN, has_banned_language
 
 SUM_TOLERANCE = 1e-6
-POINT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
-RING = T.ArrayType(POINT)
-MANIFEST = T.StructType.fromDDL(
+MANIFEST = (
     "case_id string, seed long, t_start timestamp, t_obs timestamp, aoi struct<min_lon:double,min_lat:double,max_lon:double,max_lat:double>, scene struct<polarisation:string,product:string,pixel_spacing_m:double>"
 )
-FORCING = T.StructType.fromDDL("t_start timestamp, t_obs timestamp, working_crs string, includes_stokes boolean, wind_variables array<string>, currents_resolution_deg double, wind_resolution_deg double")
+FORCING = "t_start timestamp, t_obs timestamp, working_crs string, includes_stokes boolean, wind_variables array<string>, currents_resolution_deg double, wind_resolution_deg double"
 REQUIRED_LOG = ("timestamp", "mmsi", "lat", "lon", "sog_kn", "cog_deg")
 
 
