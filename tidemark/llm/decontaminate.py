@@ -157,7 +157,7 @@ def find_words(docs: DataFrame, features: Features, key: str, text: str) -> Data
                 pa.array([df.astype("<i8").tobytes()], pa.binary()), pa.array([seen], pa.int64()),
             ], names=names)
 
-    return rows.mapInArrow(run, f"id {id_type}, row_hash long, n_words long, at binary, feature binary, df binary, n_passages long")
+    return rows.mapInArrow(tb.lean(run), f"id {id_type}, row_hash long, n_words long, at binary, feature binary, df binary, n_passages long")
 
 
 def _weigh(batch: pa.RecordBatch, weights: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,6 +181,12 @@ def _weigh(batch: pa.RecordBatch, weights: np.ndarray, stride: int = STRIDE) ->
     return passage, feature, value / norm[passage], first
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, len(batch), rows):
+            yield batch.slice(begin, rows)
+
+
 def _project(passage: np.ndarray, feature: np.ndarray, value: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Passages that have entries, and their rows times the basis."""
     opens = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
@@ -214,7 +220,7 @@ def singular_vectors(hits: DataFrame, weights: np.ndarray, rank: int = RANK, see
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, gauss = held.value
         total = np.zeros((m, rank))
-        for batch in batches:
+        for batch in _parts(batches):
             passage, feature, value, _ = _weigh(batch, weights, SIZE)
             for begin, end in _sliced(passage):
                 p, f, v = passage[begin:end], feature[begin:end], value[begin:end]
@@ -225,7 +231,7 @@ def singular_vectors(hits: DataFrame, weights: np.ndarray, rank: int = RANK, see
                 total[f[order][opens]] += np.add.reduceat(spread, opens, axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([total[x].tobytes() for x in parts], pa.binary())], names=["part", "value"])
 
-    product = added(hits.filter("n_words is not null").mapInArrow(run, "part int, value binary"), "<f8").reshape(m, rank)
+    product = added(hits.filter("n_words is not null").mapInArrow(tb.lean(run), "part int, value binary"), "<f8").reshape(m, rank)
     inner = gauss.astype(float).T @ product
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > 1e-9 * max(values.max(), 1e-300)
@@ -315,7 +321,7 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, basis, targets, times, sizes = held.value
         least = np.ceil(lcs * sizes - 1e-9)
-        for batch in batches:
+        for batch in _parts(batches):
             # No more of an item's words can be in common than those that the document holds somewhere.
             words = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in batch.column(4)), "<i4").astype(np.int64)
             row = np.repeat(np.arange(len(batch)), [len(x.as_buffer()) // 4 for x in batch.column(4)])
@@ -348,7 +354,7 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(item, pa.int32()), pa.array(close)], names=["id", "row_hash", "start", "item", "cosine"])
 
     empty = not items
-    candidates = hits.filter("n_words is not null").mapInArrow(search, f"id {id_type}, row_hash long, start int, item int, cosine double")
+    candidates = hits.filter("n_words is not null").mapInArrow(tb.lean(search), f"id {id_type}, row_hash long, start int, item int, cosine double")
     if empty:
         candidates = candidates.limit(0)
     candidates = candidates.groupBy("id", "row_hash").agg(F.collect_list(F.struct("start", "item", "cosine")).alias("found"))  # at most a passage's items a passage
@@ -392,7 +398,7 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
                 columns = list(zip(*made, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=[key, "item", "cosine", "lcs_share", "answer_share"])
 
-    confirmed = joined.mapInArrow(verify, f"{key} {id_type}, item int, cosine double, lcs_share double, answer_share double")
+    confirmed = joined.mapInArrow(tb.lean(verify), f"{key} {id_type}, item int, cosine double, lcs_share double, answer_share double")
     found_ids = spark.createDataFrame([(n, item.item_id) for n, item in enumerate(items)], "item int, item_id long") if items else spark.createDataFrame([], "item int, item_id long")
     out = confirmed.join(F.broadcast(found_ids), "item")
     out = out.groupBy(key, F.col("item_id").alias(item_key)).agg(F.max_by(F.struct("cosine", "lcs_share", "answer_share"), F.struct("lcs_share", "answer_share", "cosine")).alias("b"))

@@ -153,7 +153,7 @@ def fit(
         if held:
             yield pa.RecordBatch.from_pydict({"lang": list(held), **{n: [v[i].tobytes() for v in held.values()] for i, n in enumerate(("two", "three", "script"))}})
 
-    found = sample.select("_lang", "_text").repartition(8).mapInArrow(count, schema).collect()  # at most 8 rows a language
+    found = sample.select("_lang", "_text").repartition(8).mapInArrow(tb.lean(count), schema).collect()  # at most 8 rows a language
     languages = tuple(sorted({r["lang"] for r in found}))
     sums = {n: np.zeros((size, len(languages))) for n, size in (("two", 65536), ("three", TRIGRAMS), ("script", len(SCRIPTS) + 1))}
     for r in found:
@@ -225,7 +225,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", spans: b
                 names.append("lang_spans")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(tb.lean(predict), schema)
 
 
 def _lettered(text: pa.Scalar) -> bool:

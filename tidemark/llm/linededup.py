@@ -86,7 +86,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                     names=["id", "row_hash", "line_no", "line", "sig"],
                 )
 
-    return rows.mapInArrow(run, f"id {id_type}, row_hash long, line_no int, line long, sig array<short>")
+    return rows.mapInArrow(tb.lean(run), f"id {id_type}, row_hash long, line_no int, line long, sig array<short>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def _sets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([line_sets(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    return texts.select("line", "text").mapInArrow(run, "id long, shingles binary")
+    return texts.select("line", "text").mapInArrow(tb.lean(run), "id long, shingles binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -121,7 +121,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(tb.lean(run), "a long, b long")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -93,7 +93,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(sizes), pa.array(ids, pa.binary()), sig], names=["id", "n_shingles", "set_id", "sig"])
 
-    return rows.mapInArrow(run, "id long, n_shingles long, set_id binary, sig array<int>")
+    return rows.mapInArrow(tb.lean(run), "id long, n_shingles long, set_id binary, sig array<int>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(buf, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(tb.lean(run), "id long, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -126,7 +126,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
                 keep.append(shared > 0 and denominator * shared >= numerator * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(tb.lean(run), "a long, b long")
 
 
 def _token(place: F.Column, value: F.Column) -> F.Column:
@@ -167,7 +167,7 @@ def reach_of(sets: DataFrame, labels: DataFrame, numerator: int, denominator: in
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate(values))], names=["id", "shingle"])
 
     spark = sets.sparkSession
-    each, path = written(sets.mapInArrow(split, "id long, shingle long").join(labels, "id"), "open-shingles")
+    each, path = written(sets.mapInArrow(tb.lean(split), "id long, shingle long").join(labels, "id"), "open-shingles")
     reach, reach_path = None, None
     left = None
     for _ in range(rounds):
@@ -205,7 +205,7 @@ def fine_bits(sets: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists], names=["id", "n", "bits"])
 
-    return sets.mapInArrow(run, "id long, n long, bits array<long>")
+    return sets.mapInArrow(tb.lean(run), "id long, n long, bits array<long>")
 
 
 def pairs_apart(posted: DataFrame, fine: DataFrame, numerator: int, denominator: int) -> DataFrame:

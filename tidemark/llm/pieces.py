@@ -321,7 +321,7 @@ def token_counts(docs: DataFrame, text: str = "text", model: str | None = None,
                 scores.append(np.diff(np.concatenate(([0.0], np.cumsum(best[seg.which])))[seg.first]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(counts)), pa.array(np.concatenate(scores))], names=[*batch.schema.names, "n_pieces", "best_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tb.lean(run), schema)
 
 
 def encode_sampled(
@@ -364,4 +364,4 @@ def encode_sampled(
                     new = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:width], *new], names=[f.name for f in schema.fields])
 
-    return seeded.mapInArrow(run, schema)
+    return seeded.mapInArrow(tb.lean(run), schema)

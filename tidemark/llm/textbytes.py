@@ -6,7 +6,9 @@ never runs over from one row to the next. Nulls count as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +124,28 @@ def span_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return buf[ranges(starts, lengths)], np.concatenate(([0], np.cumsum(lengths)))
 
 
+def _release() -> None:
+    """Give freed memory back to the system, as a worker process outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with the worker's freed memory given back at the end of a task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
 def splits_by(texts: pa.Array, max_rows: int) -> Iterator[tuple[int, int]]:
     for first in range(0, len(texts), max_rows):
         yield first, min(len(texts), first + max_rows)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import textbytes as tb
+
 END = "\r\n"
 HTTP_HEAD = END.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "", ""])
 
@@ -184,7 +186,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield batch_of(rows)
 
-    return files.mapInArrow(records, RECORD_SCHEMA)
+    return files.mapInArrow(tb.lean(records), RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:
