@@ -245,3 +245,31 @@ def test_planted_release_is_found(spark):
     p = pipelines.InversionParams(max_hypotheses=200, each=12)
     row = pipelines.calibration_trial(spark, field, field.x0 + 60_000, field.y0 + 70_000, 12 * 3600.0, 24 * 3600.0, p).first()
     assert row["area_95_km2"] >= row["area_50_km2"] > 0
+
+
+def test_stages_follow_their_inputs(spark, tmp_path):
+    import time
+
+    from tidemark.plans.stages import Runner, Stage
+
+    made = []
+
+    def stage(name, needs):
+        def make(spark, tables):
+            made.append(name)
+            return spark.range(1 + sum(t.count() for t in tables.values() if t is not None))
+
+        return Stage(name, needs, make)
+
+    stages = (stage("a", ()), stage("b", ("a",)), stage("c", ("b",)))
+    run = lambda only=None: Runner(spark, str(tmp_path / "case"), stages).run(only)
+    run({"b"})
+    assert made == ["a", "b"]
+    run()
+    assert made == ["a", "b", "c"]
+    time.sleep(1.1)
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "case/a"))
+    run()
+    assert made == ["a", "b", "c", "b", "c"]
+    with pytest.raises(ValueError, match="unknown"):
+        run({"x"})

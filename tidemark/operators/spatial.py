@@ -37,6 +37,17 @@ def bilinear(points: DataFrame, grid: DataFrame, values: list[str], x0: float, y
     return joined.select(*points.columns, *[mixed(v).alias(v) for v in values])
 
 
+def resample(points: DataFrame, grid: DataFrame, values: list[str], x0: float, y0: float, dx: float, dy: float, nx: int, ny: int) -> DataFrame:
+    """Like `bilinear`, but the outermost cells' planes go on beyond the grid."""
+    fx, fy = (F.col("x") - x0) / dx, (F.col("y") - y0) / dy
+    edge = lambda f, n: F.least(F.greatest(F.floor(f), F.lit(0)), F.lit(n - 2)).cast("int")
+    rows = points.withColumn("_fx", fx).withColumn("_fy", fy).withColumn("ix", edge(F.col("_fx"), nx)).withColumn("iy", edge(F.col("_fy"), ny))
+    joined = rows.join(corner_table(grid, values), ["iy", "ix"])
+    a, b = F.col("_fx") - F.col("ix"), F.col("_fy") - F.col("iy")
+    mixed = lambda v: (F.col(f"{v}00") * (1 - a) + F.col(f"{v}01") * a) * (1 - b) + (F.col(f"{v}10") * (1 - a) + F.col(f"{v}11") * a) * b
+    return joined.select(*points.columns, *[mixed(v).alias(v) for v in values])
+
+
 def time_bracket(points: DataFrame, t: str, t0: int, step: int, n: int) -> DataFrame:
     """k and share: the axis step at or before t and the part of the way to the next, clipped to the axis."""
     at = F.least(F.greatest((F.col(t) - t0) / step, F.lit(0.0)), F.lit(float(n - 1)))

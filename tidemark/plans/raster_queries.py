@@ -13,6 +13,7 @@ from tidemark.operators import contracts as C
 from tidemark.operators import evaluation as V
 from tidemark.operators import generate as G
 from tidemark.operators import raster as R
+from tidemark.operators import slick as K
 from tidemark.operators import transport as X
 from tidemark.plans.tables import EPOCH_US, PARAMS, POSITIONS_SQL, RASTER_SQL, RING, TRACKS_SQL, U_SQL, mask, patches, positions, raster, table
 from tidemark.plans.evidence_queries import PATCH_SQL, PROBABILITY_SQL, _probability
@@ -464,3 +465,53 @@ def pairs_by_stem(spark, sf_dir):
 def polygon_cells(spark, sf_dir):
     cells = spark.range(3000).select((F.col("id") % 60).alias("ix"), F.floor(F.col("id") / 60).alias("iy"))
     return R.rasterise(RING, cells, 10.0 + F.col("ix") * 0.05, 56.0 + F.col("iy") * 0.05).agg(F.count("*").alias("cells"))
+
+
+@query(f"""WITH {RASTER_SQL}, pc AS (SELECT row, col, row // 20 * 10 + col // 20 AS patch FROM ras WHERE value < 30), bx AS (SELECT patch, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM pc GROUP BY 1)
+    SELECT CAST(patch AS BIGINT) AS patch, round((max(value) - min(value)) / (greatest(max(r1) - max(r0), max(c1) - max(c0)) + 1) / 5e-1, 6) AS wind_gradient FROM bx JOIN ras ON row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1 GROUP BY 1""")
+def wind_spread(spark, sf_dir):
+    """Range of a field over each block of 20 by 20 cells that holds dark cells."""
+    base = raster(spark)
+    patch = (F.floor(F.col("row") / 20) * 10 + F.floor(F.col("col") / 20)).alias("patch")
+    out = K.wind_spread(base.filter("value < 30").select("row", "col", patch), base.withColumnRenamed("value", "wind"), 0.5)
+    return out.select("patch", F.round("wind_gradient", 6).alias("wind_gradient"))
+
+
+@query(f"""WITH {TRACKS_SQL}, ct AS (SELECT CAST(floor(lon / 25e-2) AS BIGINT) AS cx, CAST(floor(lat / 25e-2) AS BIGINT) AS cy, count(*) AS n FROM tr GROUP BY 1, 2), bz AS (SELECT cx, cy FROM ct WHERE n >= (SELECT quantile_cont(n, 7e-1) FROM ct))
+    SELECT cx, cy, round((SELECT min(sqrt(pow(ct.cx - bz.cx, 2) + pow(ct.cy - bz.cy, 2))) FROM bz WHERE pow(ct.cx - bz.cx, 2) + pow(ct.cy - bz.cy, 2) <= 9), 6) AS distance FROM ct""")
+def lane_distances(spark, sf_dir):
+    from tidemark.plans.track_queries import tracks_of
+
+    counts, busy = R.lane_distance(tracks_of(spark, sf_dir), 0.25)
+    return K.distance_to_busy(counts, busy, 3).select("cx", "cy", F.round("distance", 6).alias("distance"))
+
+
+@query("""SELECT o_custkey AS case_id, max(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END) AS area_50, max(CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice END) AS area_95 FROM orders GROUP BY 1""")
+def level_maps(spark, sf_dir):
+    """Areas keyed by level in a map, read back out of it."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderkey") % 2 == 0, 50).otherwise(95).alias("level"), "o_totalprice")
+    maps = K.level_map(rows.groupBy("case_id", "level").agg(F.max("o_totalprice").alias("area_km2")))
+    return maps.select("case_id", F.col("credible_regions")["50"].alias("area_50"), F.col("credible_regions")["95"].alias("area_95"))
+
+
+@query(f"""WITH gr AS (SELECT CAST(x.range AS INTEGER) AS ix, CAST(y.range AS INTEGER) AS iy, 2e0 * x.range - 3e0 * y.range + 1 AS u FROM range(12) x CROSS JOIN range(9) y)
+    SELECT s_suppkey AS id, round(2e0 * (s_suppkey % 23 - 5) / 1e0 - 3e0 * (s_suppkey % 17 - 4) + 1, 6) AS u FROM supplier""")
+def resample_plane(spark, sf_dir):
+    """A plane resampled inside and beyond its grid."""
+    from tidemark.operators.spatial import resample
+
+    grid = spark.range(108).select((F.col("id") % 12).cast("int").alias("ix"), F.floor(F.col("id") / 12).cast("int").alias("iy")).withColumn("u", 2.0 * F.col("ix") - 3.0 * F.col("iy") + 1)
+    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 23 - 5).cast("double").alias("x"), (F.col("s_suppkey") % 17 - 4).cast("double").alias("y"))
+    return resample(points, grid, ["u"], 0.0, 0.0, 1.0, 1.0, 12, 9).select("id", F.round("u", 6).alias("u"))
+
+
+@query()
+def injected_slick(spark, sf_dir):
+    """Particles drawn into a scene, and the patches that detection and truth share."""
+    i = F.col("id")
+    points = spark.range(4000).select((25 + F.round(2 * hash_normal(1, 1, i))).cast("int").alias("row"), (40 + F.round(6 * hash_normal(1, 2, i))).cast("int").alias("col"))
+    damping = K.render_damping(points, ROWS, COLS, 1e4)
+    scene = raster(spark).select("row", "col", F.lit(-18.0).alias("value"), (F.col("row") > 55).alias("land"))
+    drawn = K.inject(scene, damping)
+    patches_ = R.label_components(drawn.filter("value < -20").select("row", "col"), least=4)
+    return K.harvest(patches_, drawn.filter("truth").select("row", "col"), F.lit(6.0)).join(F.broadcast(K.peak_damping(damping)))  # one row

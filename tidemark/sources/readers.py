@@ -104,6 +104,17 @@ def inspect_tiles(pixels: DataFrame) -> DataFrame:
     return out.withColumn("looks_like_db", ~((F.col("p01") >= 0) & (F.col("p99") < 2))).withColumn("band_order_ok", F.col("vv") - F.col("vh") >= 3)
 
 
+def load_tile(pixels: DataFrame, tile: str, band: str = "vv") -> DataFrame:
+    """(row, col, value) of one band of (tile, band, row, col, value); a band that no tile has is refused when this is built."""
+    if band not in ("vv", "vh"):
+        raise ValueError(f"no band {band}")
+    return pixels.filter((F.col("tile") == tile) & (F.col("band") == band)).select("row", "col", "value")
+
+
+def load_mask(pixels: DataFrame, tile: str) -> DataFrame:
+    return pixels.filter((F.col("tile") == tile) & (F.col("value") > 0)).select("row", "col")
+
+
 def tile_problems(tiles: DataFrame, masks: DataFrame) -> DataFrame:
     """(tile, problem): every broken rule of every tile, as rows instead of errors."""
     found = [(~F.col("looks_like_db"), "values look linear"), (~F.col("band_order_ok"), "bands look swapped"), (F.col("vv").isNull() | F.col("vh").isNull(), "band missing")]
