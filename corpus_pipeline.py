@@ -15,8 +15,17 @@ from tidemark.llm.scratch import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """The stages follow one another on the same executors, whose Python workers and Arrow buffers keep what they once
+    took, so a batch of long texts is kept to 2,000 rows unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) == 10000:
+        spark.conf.set(name, "2000")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters; the others are in no language (`und`)."""
+    _small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = language.fit(docs.filter(queries.remainder("doc_id", 3) != 1))
     return language.identify(docs, model).filter(F.col("lang_pred") != "und").select(*COLUMNS)
@@ -25,12 +34,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents rid of lines that stand, or nearly stand, in an earlier one; n_chars follows the text. A document goes
     where none of its lines is left."""
+    _small_batches(spark)
     out = linededup.dedup(docs.select(*COLUMNS))
     return out.filter("n_lines = 0 or n_kept > 0").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest doc_id. Rows that share it are one document."""
+    _small_batches(spark)
     docs = docs.select(*COLUMNS)
     gone = neardup.link(docs).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -38,6 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _small_batches(spark)
     docs = docs.select(*COLUMNS)
     found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti").select(*COLUMNS)
@@ -45,6 +57,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with a reproducible sampled segmentation (piece_ids)."""
+    _small_batches(spark)
     return pieces.encode_sampled(docs.select(*COLUMNS))
 
 

@@ -326,7 +326,7 @@ def token_counts(docs: DataFrame, text: str = "text", model: str | None = None,
 
 def encode_sampled(
     docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, theta: float = 1.0, seed: int = 0,
-    digest: bool = False, max_bytes: int = 2 << 20,
+    digest: bool = False, max_bytes: int = 1 << 20,
 ) -> DataFrame:
     """All columns of docs, then piece_ids: one segmentation of each text, drawn by forward filtering and backward
     sampling with probability proportional to exp(theta * score).
