@@ -112,9 +112,7 @@ def containment_join(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATE
     # Of a line's words the vocabulary's alone can match, so `held` in global order is its side of the join.
     sides = blocks(docs, order, key, text, least)
     in_order = F.array_intersect(F.lit(order), F.col("held"))
-    probes = sides.select("key", F.monotonically_increasing_id().alias("block"), "n_words", in_order.alias("held")).select(
-        "key", "block", "n_words", "held", F.posexplode("held").alias("at", "word"),
-    )
+    probes = sides.select("key", "n_words", in_order.alias("held")).select("key", "n_words", "held", F.posexplode("held").alias("at", "word"))
     pairs = probes.join(F.broadcast(index), "word")
     pairs = pairs.filter((F.col("n_words") >= F.col("need")) & (F.size("held") >= F.col("need")))
     rest = F.least(F.col("size") - F.col("place"), F.size("held") - F.col("at"))

@@ -183,7 +183,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     rows = docs.withColumn("_row_hash", F.xxhash64(text))
     rows = rows.join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_row")), "left")
     parts = F.split(F.col(text), "\n")
-    count = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x00-\x20]")))
+    count = F.regexp_count(F.col(text), F.lit(r"(?:^|\n)[\x00-\x09\x0B-\x20]*+[^\x00-\x20]"))  # lines with more than white space
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     rest = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     names = [c for c in docs.columns if c != text]
