@@ -17,10 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _small_batches(spark: SparkSession) -> None:
     """The stages follow one another on the same executors, whose Python workers and Arrow buffers keep what they once
-    took, so a batch of long texts is kept to 2,000 rows unless the session says otherwise."""
+    took, so a batch of long texts is kept to 1,000 rows unless the session says otherwise."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) == 10000:
-        spark.conf.set(name, "2000")
+        spark.conf.set(name, "1000")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def joined(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf[at[0] : at[-1]], at - at[0]
 
 
-def runs(texts: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(texts: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, buffer, offsets) for consecutive rows of about max_bytes; a longer row comes alone."""
     if len(texts) == 0:
         return
