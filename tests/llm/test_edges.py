@@ -84,6 +84,23 @@ def test_fuzzy_lines_meet(spark):
     assert [got[i]["n_kept"] for i in (1, 2, 3)] == [1, 0, 1]
 
 
+def test_one_word_edits_meet(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    rows, pairs = [], 0
+    for size in range(40, 151, 2):
+        for _ in range(4):
+            left, right = (" ".join(word(5) for _ in range(size // 6 + 1))[: (size - 7) // 2] for _ in range(2))
+            rows += [f"{left} {word(5)} {right}", f"{left} {word(5)} {right}"]
+            pairs += 1
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in rows]
+    want = [len(p & q) >= 0.6 * len(p | q) for p, q in zip(sets[::2], sets[1::2], strict=True)]  # brute force
+    got = by_id(linededup.dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    met = [got[2 * i + 1]["n_kept"] == 0 for i in range(pairs)]
+    assert sum(want) >= 0.95 * pairs and not any(m and not w for m, w in zip(met, want, strict=True))
+    assert sum(met) >= 0.98 * sum(want)
+
+
 def test_near_duplicates(docs, none):
     out = neardup.link(docs)
     assert out.count() == len(ROWS)

@@ -1,9 +1,11 @@
 """Fuzzy line deduplication: character-shingle MinHash, banding, exact confirmation, union-find, one line kept a component.
 
-Equal lines become one node by their hash first. A node's signature has BANDS x ROWS minima over its distinct shingles of
-`SHINGLE` characters; nodes that agree in all rows of a band are candidates. At similarity 0.85 a pair is met in at
-least one of the ten bands with probability 0.9994; candidates are confirmed on their whole character-shingle sets. Long
-shingles keep unlike lines of one language apart, so bands stay selective.
+Equal lines become one node by their hash first. Lines are alike where their sets of distinct shingles of `SHINGLE`
+characters have a Jaccard similarity of THRESHOLD: one replaced word of five letters keeps a line of 40 characters linked.
+
+Candidates agree in all ROWS minima of one of BANDS bands. The minima run over longer shingles of `PROBE` characters, of which
+unlike lines share few, so bands stay selective. An edited line shares fewer of them too: with one word of five letters replaced,
+0.42 at 40 characters and 0.5 at 50, where a pair is met with probability 0.95 and 0.995; more beyond.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.neardup import fine_bits, pairs_apart
 from tidemark.llm.scratch import remove, written
 
-SHINGLE, BANDS, ROWS = 9, 10, 4
-THRESHOLD = 0.85
+SHINGLE, PROBE, BANDS, ROWS = 5, 9, 40, 3
+THRESHOLD = 0.6
 
 _rng = np.random.default_rng(20240301)
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -30,12 +32,14 @@ _ODD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def character_shingles(points: np.ndarray) -> np.ndarray:
-    """At each code point the hash of the SHINGLE points from there on (0 beyond the end), by doubling."""
+def character_shingles(points: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """At each code point the hash of the `size` points (SHINGLE or PROBE) from there on (0 beyond the end), by doubling."""
     ahead = lambda x, n: np.concatenate((x[n:], np.zeros(min(n, len(x)), np.uint64)))
     one = tb.mix(points.astype(np.uint64) + np.uint64(1))
     two = one * _STEP + ahead(one, 1)
     four = two * _STEP * _STEP + ahead(two, 2)
+    if size == SHINGLE:
+        return four * _STEP + ahead(one, 4)
     eight = four * _STEP * _STEP * _STEP * _STEP + ahead(four, 4)
     return eight * _STEP + ahead(one, 8)
 
@@ -54,7 +58,7 @@ def _lines(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, row_hash, line_no, line, sig) for each line that has a character other than white space. line is a 64-bit
-    hash of its bytes, sig its signature of BANDS * ROWS minima."""
+    hash of its bytes, sig its BANDS 32-bit hashes of ROWS minima each."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("row_hash"), F.col(text).alias("text"))
     id_type = docs.schema[key].dataType.simpleString()
 
@@ -71,14 +75,17 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 starts, ends, first, last, row, number = (x[held] for x in (starts, ends, first, last, row, number))
                 if not len(starts):
                     continue
-                values = character_shingles(points)
-                counts = np.maximum(1, last - first - SHINGLE + 1)
+                values = character_shingles(points, PROBE)
+                counts = np.maximum(1, last - first - PROBE + 1)
                 low = (tb.mix(values) >> np.uint64(32)).astype(np.uint32)[tb.ranges(first, counts)]
                 at = np.concatenate(([0], np.cumsum(counts)[:-1]))
-                sig = np.zeros((len(starts), BANDS * ROWS), np.uint16)  # the minima's lower halves
-                for k in range(BANDS * ROWS):
-                    sig[:, k] = np.minimum.reduceat((low ^ _XOR[k]) * _ODD[k], at)
-                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * (BANDS * ROWS)), pa.array(sig.ravel().view(np.int16)))
+                sig = np.zeros((len(starts), BANDS), np.uint32)
+                for k in range(BANDS):
+                    joint = np.zeros(len(starts), np.uint64)
+                    for r in range(ROWS * k, ROWS * (k + 1)):
+                        joint = tb.mix(joint * _STEP + np.minimum.reduceat((low ^ _XOR[r]) * _ODD[r], at))
+                    sig[:, k] = joint >> np.uint64(32)
+                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * BANDS), pa.array(sig.ravel().view(np.int32)))
                 part = batch.slice(begin, end - begin)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -86,7 +93,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                     names=["id", "row_hash", "line_no", "line", "sig"],
                 )
 
-    return rows.mapInArrow(tb.lean(run), f"id {id_type}, row_hash long, line_no int, line long, sig array<short>")
+    return rows.mapInArrow(tb.lean(run), f"id {id_type}, row_hash long, line_no int, line long, sig array<int>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -137,8 +144,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     spots, spots_path = written(sketch(docs, key, text), "lines")
     place = F.struct("id", "row_hash", "line_no")
     lines, lines_path = written(spots.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "distinct-lines")
-    band = lambda i: F.xxhash64(F.lit(i), *[F.col("sig")[ROWS * i + r] for r in range(ROWS)])
-    postings = lines.select("line", "copies", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("band"))
+    band = F.shiftleft(F.col("nth").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))
+    postings = lines.select("line", "copies", F.posexplode("sig").alias("nth", "value")).select("line", "copies", band.alias("band"))
     shared = postings.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     # Only lines that share a band with another line go on.
     posted, posted_path = written(postings.join(shared, "band", "left_semi"), "bands")
@@ -151,17 +158,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     texts = texts.select("line", F.element_at(F.split("text", "\n"), F.col("line_no") + 1).alias("text")).dropDuplicates(["line"])
     texts, texts_path = written(texts, "line-texts")
 
-    # First round: each line against up to three hubs. Second: pairs in one band that are still apart.
+    # First round: each line against up to three hubs, and both lines of a band of two, which needs no second look. Second:
+    # pairs in a larger band that are still apart.
     # A band's hub is its line of most copies, which in a group of edited lines is likely the original.
-    hubs = posted.groupBy("band").agg(F.max_by("line", F.struct("copies", "line")).alias("hub"))
-    star = posted.join(hubs, "band").filter("hub <> line").groupBy(F.col("line").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("met"))
-    star = star.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).filter("nth <= 3").select("a", "b")
+    hubs = posted.groupBy("band").agg(F.max_by("line", F.struct("copies", "line")).alias("hub"), (F.count("*") == 2).alias("two"))
+    star = posted.join(hubs, "band").filter("hub <> line").groupBy(F.col("line").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("met"), F.bool_or("two").alias("two"))
+    star = star.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).filter("nth <= 3 or two").select("a", "b")
     star, star_path = written(star, "star")
     first, first_path = written(confirm(star, texts, threshold), "links")
     labels = connected_components(first)
     labelled = posted.join(labels.withColumnRenamed("id", "line"), "line", "left").select(F.col("band").alias("token"), F.col("line").alias("id"), F.coalesce("component", "line").alias("label"))
     labelled, labelled_path = written(labelled, "labelled")
-    apart = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+    apart = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("token")
     open_, open_path = written(labelled.join(apart, "token"), "open")
     share = round(threshold * 1000)
     fine, fine_path = written(fine_bits(_sets(texts.join(open_.select(F.col("id").alias("line")).distinct(), "line", "left_semi"))), "bits")
