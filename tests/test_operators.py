@@ -273,3 +273,18 @@ def test_stages_follow_their_inputs(spark, tmp_path):
     assert made == ["a", "b", "c", "b", "c"]
     with pytest.raises(ValueError, match="unknown"):
         run({"x"})
+
+
+def test_hypotheses_around_the_proposal(spark):
+    points = spark.createDataFrame([(100.0, 100.0, 0.0)], "x double, y double, t0 double")
+    grid, cell = X.hypothesis_grid(points, 1000.0, 100, margin=2000.0)
+    assert cell == 1000.0 and {(r["ix"], r["iy"]) for r in grid.collect()} == {(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) <= 2}
+
+
+def test_planted_inversion_has_the_original_settings(spark, sf, monkeypatch):
+    asked = []
+    monkeypatch.setattr(pipelines, "synthetic_field", lambda s: X.Field(0.0, 0.0, 4000.0, 4000.0, 0.0, 3600.0, *[np.zeros((49, 60, 60))] * 4, np.zeros((60, 60), bool)))
+    monkeypatch.setattr(pipelines, "invert", lambda s, f, m, t, p: asked.append((t, p)) or m.withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0)).withColumn("weight", F.lit(1.0)))
+    pipelines.QUERIES["invert_planted"](spark, sf)
+    t, p = asked[0]
+    assert (p.lookback_h, p.bin_h, p.each, p.each_refined, p.max_hypotheses, p.proposal, p.margin_m) == (36.0, 1.0, 40, 110, 4096, 3000, 15_000.0) and t >= p.lookback_h * 3600

@@ -170,6 +170,30 @@ def simulate(seeds: DataFrame, field: Field, t_start: float, t_end: float, param
     return rows.mapInArrow(run, "particle_id long, origin long, x double, y double, status byte, alpha double, kh double")
 
 
+def history(seeds: DataFrame, field: Field, t_start: float, times: list[float], params: TransportParams = TransportParams()) -> DataFrame:
+    """(x, y, t0) of each usable particle of seeds, all released at t_start, at each of the times, which lead away from it. One that met
+    land stays where it was before. Without diffusion, as no step has noise of its own here."""
+    if params.diffusion:
+        raise ValueError("diffusion has no place in a history")
+    if not all(field.covers(t) for t in (t_start, *times)):
+        raise ValueError("the window is outside the forcing")
+    held = seeds.sparkSession.sparkContext.broadcast(field)
+    rows = with_parameters(seeds, params).select("particle_id", "x", "y", "alpha", "kh")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x, y, alpha, kh = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x, y, state, now = x.astype(float), y.astype(float), np.full(len(x), ACTIVE, np.int8), t_start
+            for t in times:
+                on = np.flatnonzero(state == ACTIVE)
+                x[on], y[on], state[on] = run_particles(held.value, x[on], y[on], np.full(len(on), now), alpha[on], kh[on], ids[on], now, t, params)
+                good = state != EXITED
+                now = t
+                yield pa.RecordBatch.from_arrays([pa.array(x[good]), pa.array(y[good]), pa.array(np.full(int(good.sum()), t))], names=["x", "y", "t0"])
+
+    return rows.mapInArrow(run, "x double, y double, t0 double")
+
+
 def outcomes(trajectories: DataFrame) -> DataFrame:
     return trajectories.groupBy("status").agg(F.count("*").alias("n"))
 
@@ -210,11 +234,17 @@ def accept_first(draws: DataFrame, n: int, key: str = "sample") -> DataFrame:
     return draws.orderBy(key).limit(n)
 
 
-def hypothesis_grid(proposal_points: DataFrame, cell: float, max_hypotheses: int, growth: float = 1.35) -> tuple[DataFrame, float]:
-    """Distinct cells (ix, iy, t0) of backward points (x, y, t0), widened until there are few enough. Scalars alone reach
-    the driver, once for each widening."""
+def hypothesis_grid(proposal_points: DataFrame, cell: float, max_hypotheses: int, growth: float = 1.35, margin: float = 0.0) -> tuple[DataFrame, float]:
+    """Distinct cells (ix, iy, t0) of backward points (x, y, t0), dilated by steps to the four sides as far as the margin, at least one,
+    as a source can lie outside what a run without diffusion passes; none without a margin. Widened until there are few enough.
+    Scalars alone reach the driver, once for each widening."""
     while True:
         found = proposal_points.select(F.floor(F.col("x") / cell).alias("ix"), F.floor(F.col("y") / cell).alias("iy"), "t0").distinct()
+        if margin > 0:
+            pad = max(1, round(margin / cell))
+            steps = [(i, j) for i in range(-pad, pad + 1) for j in range(abs(i) - pad, pad - abs(i) + 1)]
+            around = found.withColumn("_by", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])))
+            found = around.select((F.col("ix") + F.col("_by.i")).alias("ix"), (F.col("iy") + F.col("_by.j")).alias("iy"), "t0").distinct()
         if found.count() <= max_hypotheses:
             return found.withColumn("x", (F.col("ix") + 0.5) * cell).withColumn("y", (F.col("iy") + 0.5) * cell), cell
         cell *= growth

@@ -82,33 +82,36 @@ class InversionParams:
     lookback_h: float = 18.0
     bin_h: float = 3.0
     each: int = 24
+    each_refined: int = 24
     max_hypotheses: int = 800
+    proposal: int = 3000
+    margin_m: float = 15_000.0
     rounds: int = 2
     keep: float = 0.1
     correlation_m: float = 9000.0
 
 
+#: The original's settings.
+FULL_INVERSION = InversionParams(lookback_h=36.0, bin_h=1.0, each=40, each_refined=110, max_hypotheses=4096)
+
+
 def invert(spark: SparkSession, field: X.Field, mask: DataFrame, t_obs: float, p: InversionParams = InversionParams()) -> DataFrame:
     """(hyp, x, y, t0, log_lik, weight): source hypotheses of a mask, coarse to fine.
 
-    Points of the mask run backward; the cells they pass are the first hypotheses, each scored by particles run forward to
+    Points of the mask run backward; the cells they pass, and those within a margin of them, are the first hypotheses, each scored by particles run forward to
     the observation. The best tenth is split in four and scored again; a round's hypotheses are checkpointed.
     """
     oil = mask.filter("state = 'oil'")
     bins = [t_obs - h * 3600 for h in np.arange(p.bin_h, p.lookback_h + 1e-9, p.bin_h)]
-    points = X.sample_cells(oil, 40 * len(bins)).select("sample", ((F.col("ix") + F.col("dx")) * p.cell_m).alias("x"), ((F.col("iy") + F.col("dy")) * p.cell_m).alias("y"))
-    proposals = None
-    for k, t0 in enumerate(bins):
-        seeds = points.filter(F.col("sample") % len(bins) == k).select(F.col("sample").alias("particle_id"), F.lit(0).cast("long").alias("origin"), "x", "y", F.lit(float(t_obs)).alias("seed_time"))
-        back = X.usable(X.simulate(seeds, field, t_obs, t0, X.proposal())).select("x", "y", F.lit(float(t0)).alias("t0"))
-        proposals = back if proposals is None else proposals.unionByName(back)
-    grid, cell = X.hypothesis_grid(proposals, p.cell_m, p.max_hypotheses)
+    points = X.sample_cells(oil, p.proposal).select("sample", ((F.col("ix") + F.col("dx")) * p.cell_m).alias("x"), ((F.col("iy") + F.col("dy")) * p.cell_m).alias("y"))
+    proposals = R._checkpoint(X.history(points.withColumnRenamed("sample", "particle_id"), field, t_obs, [float(t) for t in bins], X.proposal()))
+    grid, cell = X.hypothesis_grid(proposals, p.cell_m, p.max_hypotheses, margin=p.margin_m)
     hypotheses = R._checkpoint(grid.select(F.col("x"), F.col("y"), "t0").withColumn("hyp", F.xxhash64("x", "y", "t0").bitwiseAND((1 << 40) - 1)))
     area = oil.count() * (p.cell_m / 1000) ** 2
     n_effective = min(max(area / (p.correlation_m / 1000) ** 2, 1.0), float(max(1, oil.count())))
     done = None
     for step in range(p.rounds):
-        seeds = X.hypothesis_seeds(hypotheses, p.each, cell)
+        seeds = X.hypothesis_seeds(hypotheses, p.each if step == 0 else p.each_refined, cell)
         forward = X.simulate(seeds, field, min(bins), t_obs, X.TransportParams(seed=step))
         scored = R._checkpoint(score(forward, mask, p.cell_m, n_effective).select("hyp", "log_lik").join(hypotheses, "hyp"))
         done = scored
@@ -217,9 +220,10 @@ def _case(spark):
 
 @query
 def invert_planted(spark, sf_dir):
-    """Posterior cells of a planted release."""
-    field, mask, t_obs, _, _ = _case(spark)
-    found = invert(spark, field, mask, t_obs, InversionParams(max_hypotheses=300, each=16))
+    """Posterior cells of a release planted 12 hours before the field's end, which leaves 36 hours to look back."""
+    field, t_obs = synthetic_field(spark), 48 * 3600.0
+    mask = planted_mask(field, spark, field.x0 + 60_000.0, field.y0 + 70_000.0, 36 * 3600.0, t_obs, 2000.0)
+    found = invert(spark, field, mask, t_obs, FULL_INVERSION)
     return Q.density(found.withColumn("ix", F.floor(F.col("x") / 4000.0)).withColumn("iy", F.floor(F.col("y") / 4000.0)), ["iy", "ix"])
 
 
