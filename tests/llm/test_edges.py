@@ -173,6 +173,17 @@ def test_licenses(docs, none):
     assert licenses.scan(docs).count() == len(ROWS) and licenses.scan(none).count() == 0
 
 
+def test_wrapped_notices(spark):
+    import textwrap
+
+    long_ones = [t for t in licenses.TEMPLATES if len(t.text) > 80]
+    rows = [(i, textwrap.fill("some words before it " + t.text + " and some after", width, initial_indent=" * ", subsequent_indent=" * ")) for i, (t, width) in enumerate((t, w) for t in long_ones for w in (40, 72, 80))]
+    rows.append((99, "Permission is\n\nnothing like a notice\nof any kind"))
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len(long_ones) >= 4 and all(long_ones[i // 3].label in got[i]["labels"].split(",") for i in range(3 * len(long_ones)))
+    assert (got[99]["labels"], got[99]["score"]) == ("", 0.0)
+
+
 def test_lm_scores(docs, none):
     out = lmscore.score(docs, F.col("doc_id") != 9, steps=5)
     got = by_id(out)

@@ -1,7 +1,7 @@
 """License scans with DataFrame functions alone.
 
 Two layers: places where a known phrase's words stand one after another, and an exact set-similarity join that finds
-every block (line) that holds at least a given share of a template's distinct words. The join orders words by how many
+every block (a line, or a run of lines over which a notice may be wrapped) that holds at least a given share of a template's distinct words. The join orders words by how many
 blocks hold them, posts each template under its rarest words only (prefix filter), and drops pairs that the block's
 number of words (length filter) or the matched word's place in both orders (positional filter) rules out.
 """
@@ -29,6 +29,9 @@ class Template:
         return sorted(set(self.text.split()))
 
 
+#: Lines of at most WRAPPED characters are held against the templates with the RUN - 1 lines after them too.
+WRAPPED, RUN = 100, 6
+
 #: Opening notices of public licenses, as words.
 TEMPLATES = (
     Template("mit-notice", "mit", "released under the mit license"),
@@ -89,9 +92,20 @@ def blocks(docs: DataFrame, vocabulary: list[str], key: str = "doc_id", text: st
     return held.select("key", F.size(F.array_distinct("words")).alias("n_words"), "held")
 
 
+def wrapped_blocks(docs: DataFrame, vocabulary: list[str], key: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
+    """(key, n_words, held) of each run of RUN consecutive lines, fewer at the text's end; lines longer than WRAPPED add no word. n_words
+    counts the vocabulary's words, as the others match nothing. Runs of fewer than `least` of them, or of one line's alone, are left out."""
+    lines = F.split(F.regexp_replace(_lowered(text), _GAPS, " "), "\n")
+    of_line = lambda x: F.when(F.length(x) <= WRAPPED, F.array_intersect(F.split(x, " "), F.lit(vocabulary))).otherwise(F.array().cast("array<string>"))
+    rows = docs.filter(F.contains(F.col(text), F.lit("\n"))).select(F.col(key).alias("key"), F.explode(F.array(F.transform(lines, of_line))).alias("lines"))  # a generator, so that the lines are made once
+    run = F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.struct(F.get("lines", i - 1).alias("one"), F.array_distinct(F.flatten(F.slice("lines", i, RUN))).alias("held")))
+    runs = rows.select("key", F.explode(run).alias("r")).select("key", "r.*").filter((F.size("held") >= least) & (F.size("held") > F.size("one")))
+    return runs.select("key", F.size("held").alias("n_words"), "held")
+
+
 def containment_join(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, template, label, containment) for every line and template with |line ∩ template| >= threshold * |template|,
-    over distinct words. A line stands once for each template it meets; null and empty texts meet none.
+    """(key, template, label, containment) for every block and template with |block ∩ template| >= threshold * |template|,
+    over distinct words. Blocks are lines and runs of wrapped lines; each stands once for each template it meets; null and empty texts meet none.
 
     The templates are a fixed list, so their words, posted prefixes and order are bounded and broadcast.
     """
@@ -110,7 +124,7 @@ def containment_join(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATE
             posted.append((word, t.name, t.label, place, len(by_rank), need[t.name], by_rank))
     index = spark.createDataFrame(posted, "word string, template string, label string, place int, size int, need int, words array<string>")
     # Of a line's words the vocabulary's alone can match, so `held` in global order is its side of the join.
-    sides = blocks(docs, order, key, text, least)
+    sides = blocks(docs, order, key, text, least).unionByName(wrapped_blocks(docs, order, key, text, least))
     in_order = F.array_intersect(F.lit(order), F.col("held"))
     probes = sides.select("key", "n_words", in_order.alias("held")).select("key", "n_words", "held", F.posexplode("held").alias("at", "word"))
     pairs = probes.join(F.broadcast(index), "word")
