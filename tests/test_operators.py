@@ -288,3 +288,12 @@ def test_planted_inversion_has_the_original_settings(spark, sf, monkeypatch):
     pipelines.QUERIES["invert_planted"](spark, sf)
     t, p = asked[0]
     assert (p.lookback_h, p.bin_h, p.each, p.each_refined, p.max_hypotheses, p.proposal, p.margin_m) == (36.0, 1.0, 40, 110, 4096, 3000, 15_000.0) and t >= p.lookback_h * 3600
+
+
+def test_session_stream_returns_the_last_sessions(spark, sf):
+    from tidemark.plans.tables import positions
+
+    log = positions(spark, sf).filter(P.valid_coordinate()).select("mmsi", F.timestamp_micros("t_us").alias("timestamp"))
+    want = log.groupBy("mmsi", F.session_window("timestamp", "24 hours")).agg(F.count("*").alias("n_fixes"), F.max("timestamp").alias("t_end"))
+    got = pipelines.QUERIES["session_stream"](spark, sf)
+    assert sorted(map(tuple, got.select("mmsi", "t_end", "n_fixes").collect())) == sorted(map(tuple, want.select("mmsi", "t_end", "n_fixes").collect()))

@@ -245,7 +245,8 @@ def forecast_mask(spark, sf_dir):
 
 @query
 def session_stream(spark, sf_dir):
-    """Sessions of the position log through Structured Streaming, over the files that are there."""
+    """Sessions of the position log through Structured Streaming, over the files that are there. A last row far beyond the log closes the sessions
+    that its end leaves open; its own session stays open and is not returned."""
     import uuid
 
     from tidemark.operators.raster import _checkpoint
@@ -258,5 +259,9 @@ def session_stream(spark, sf_dir):
     path = f"{base.rstrip('/')}/tidemark-stream-{uuid.uuid4().hex}"
     log.orderBy("timestamp").coalesce(1).write.parquet(f"{path}/in")
     source = spark.readStream.schema(log.schema).parquet(f"{path}/in")
-    stream.sessions(source, "24 hours").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    drain = lambda: stream.sessions(source, "24 hours").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    drain()
+    end = log.agg((F.max("timestamp") + F.expr("interval 30 days")).alias("timestamp")).filter("timestamp is not null")
+    end.select(F.lit("").alias("mmsi"), "timestamp", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat")).write.mode("append").parquet(f"{path}/in")
+    drain()
     return spark.read.schema("mmsi string, t_start timestamp, t_end timestamp, n_fixes long").parquet(f"{path}/out")
