@@ -24,7 +24,8 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has letters; the others are in no language (`und`)."""
+    """Documents whose text has letters; the others are in no language (`und`). That alone decides: the fitted model's labels and
+    scores reject nothing, as a document is kept in whatever language it is."""
     _small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = language.fit(docs.filter(queries.remainder("doc_id", 3) != 1))
