@@ -2,10 +2,13 @@
 
 Equal lines become one node by their hash first. Lines are alike where their sets of distinct shingles of `SHINGLE`
 characters have a Jaccard similarity of THRESHOLD: one replaced word of five letters keeps a line of 40 characters linked.
+Candidates agree in all ROWS minima of one of BANDS bands: a pair of similarity 0.42 (40 characters, one word) is met with
+probability 0.95, one of 0.5 with 0.995.
 
-Candidates agree in all ROWS minima of one of BANDS bands. The minima run over longer shingles of `PROBE` characters, of which
-unlike lines share few, so bands stay selective. An edited line shares fewer of them too: with one word of five letters replaced,
-0.42 at 40 characters and 0.5 at 50, where a pair is met with probability 0.95 and 0.995; more beyond.
+Most lines share no band with another. Which values are shared is found on packed arrays: texts are dealt into chunks of
+about `chunk_bytes`; each chunk asks for its distinct values in pieces of the hash range; one reduction a piece sorts a bounded
+number of values, of which a hot one counts once a chunk, and answers with those that two chunks or two lines have. Only lines
+with a shared value become rows.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,23 +25,23 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.neardup import fine_bits, pairs_apart
 from tidemark.llm.scratch import remove, written
 
-SHINGLE, PROBE, BANDS, ROWS = 5, 9, 40, 3
-THRESHOLD = 0.6
+SHINGLE, BANDS, ROWS = 9, 40, 3
+THRESHOLD = 0.4
 
 _rng = np.random.default_rng(20240301)
-_XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_TAG = _rng.integers(0, 2**63, BANDS + 1, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Notes on values, see `ask`.
+OWN, TWICE = 65534, 65535
 
 
-def character_shingles(points: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """At each code point the hash of the `size` points (SHINGLE or PROBE) from there on (0 beyond the end), by doubling."""
+def character_shingles(points: np.ndarray) -> np.ndarray:
+    """At each code point the hash of the SHINGLE points from there on (0 beyond the end), by doubling."""
     ahead = lambda x, n: np.concatenate((x[n:], np.zeros(min(n, len(x)), np.uint64)))
     one = tb.mix(points.astype(np.uint64) + np.uint64(1))
     two = one * _STEP + ahead(one, 1)
     four = two * _STEP * _STEP + ahead(two, 2)
-    if size == SHINGLE:
-        return four * _STEP + ahead(one, 4)
     eight = four * _STEP * _STEP * _STEP * _STEP + ahead(four, 4)
     return eight * _STEP + ahead(one, 8)
 
@@ -56,44 +58,182 @@ def _lines(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends, ends
 
 
-def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, row_hash, line_no, line, sig) for each line that has a character other than white space. line is a 64-bit
-    hash of its bytes, sig its BANDS 32-bit hashes of ROWS minima each."""
+def band_values(points: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A row of BANDS 64-bit values for each line [first, last) of code points, none of which is shorter than a shingle."""
+    counts = last - first - SHINGLE + 1
+    low = (tb.mix(character_shingles(points)) >> np.uint64(32)).astype(np.uint32)[tb.ranges(first, counts)]
+    at = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
+    out, turned = np.empty((len(first), BANDS), np.uint64), np.empty_like(low)
+    for k in range(BANDS if len(first) else 0):
+        joint = np.full(len(first), _TAG[k])
+        for r in range(ROWS * k, ROWS * (k + 1)):
+            np.multiply(low, _ODD[r], out=turned)  # multiplication by an odd number permutes the hashes
+            joint = tb.mix(joint * _STEP + np.minimum.reduceat(turned, at))
+        out[:, k] = joint
+    return out
+
+
+def _read(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of rows: (first row, rows' line counts, row, number, hash of each counted line, which of them have bands, their
+    values, the buffer, the lines' starts and ends in it). A line counts if it has a character other than white space."""
+    for begin, end, buf, offsets in tb.runs(texts):
+        starts, ends = _lines(buf)  # in bytes
+        row = np.searchsorted(offsets, starts, side="right") - 1
+        points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        first, last = _lines(points)  # the same lines in characters
+        solid = np.concatenate(([0], np.cumsum(points > 32)))
+        held = solid[last] > solid[first]
+        number = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1])[row]
+        starts, ends, first, last, row, number = (x[held] for x in (starts, ends, first, last, row, number))
+        long = np.flatnonzero(last - first >= SHINGLE)
+        yield begin, np.bincount(row, minlength=end - begin), row, number, tb.span_hash(buf, starts, ends), long, band_values(points, first[long], last[long]), buf, np.stack((starts, ends))
+
+
+def dealt(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> tuple[DataFrame, str, int]:
+    """(chunk, id, row_hash, text) as a table, its path, and the bytes of all texts. A chunk is a run of rows of one task, of
+    about chunk_bytes at the mean length of a text."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("row_hash"), F.col(text).alias("text"))
-    id_type = docs.schema[key].dataType.simpleString()
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    total = size["bytes"] or 0
+    each = max(1, chunk_bytes * size["n"] // max(1, total))
+    number = F.monotonically_increasing_id()
+    inside = number.bitwiseAND((1 << 33) - 1)
+    chunk = (number - inside).bitwiseOR(F.floor(inside / each).cast("long"))
+    table, path = written(rows.withColumn("chunk", chunk), "dealt-lines")
+    return table, path, total
+
+
+def ask(chunks: DataFrame, pieces: int) -> DataFrame:
+    """(piece, chunk, words, notes) of (chunk, text): a chunk's distinct values in a piece of the hash range, sorted, and a note
+    on each: TWICE where the chunk has it on two lines that differ, or, for a line's own value, in two places; OWN for another
+    line's own value; else 16 bits of the hash of its only line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        edges = np.array([i * -(-(1 << 64) // pieces) for i in range(1, pieces)], np.uint64)
+
+        def packed(chunk: int) -> pa.RecordBatch:
+            lines, places = np.unique(np.concatenate([h for h, _, _ in held]), return_counts=True)
+            own = tb.mix(lines ^ _TAG[BANDS])
+            banded, at = np.unique(np.concatenate([h[long] for h, long, _ in held]), return_index=True)
+            values = np.concatenate([v for _, _, v in held])[at].ravel()
+            held.clear()
+            notes = np.concatenate((np.where(places > 1, TWICE, OWN), np.repeat((banded % np.uint64(OWN)).astype(np.uint16), BANDS))).astype("<u2")
+            values = np.concatenate((own, values))
+            order = np.argsort(values, kind="stable")
+            values, notes = values[order], notes[order]
+            opens = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+            notes[opens[:-1][np.diff(opens) > 1]] = TWICE
+            if len(opens) and opens[-1] < len(values) - 1:
+                notes[opens[-1]] = TWICE
+            values, notes = values[opens], notes[opens]
+            cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
+            some = [i for i in range(pieces) if cuts[i + 1] > cuts[i]]
+            cut = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), cut(values), cut(notes)], names=["piece", "chunk", "words", "notes"])
+
+        chunk = None
         for batch in batches:
-            for begin, end, buf, offsets in tb.runs(batch.column(2)):
-                starts, ends = _lines(buf)  # in bytes
-                row = np.searchsorted(offsets, starts, side="right") - 1
-                points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-                first, last = _lines(points)  # the same lines in characters
-                solid = np.concatenate(([0], np.cumsum(points > 32)))
-                held = solid[last] > solid[first]
-                number = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1])[row]
-                starts, ends, first, last, row, number = (x[held] for x in (starts, ends, first, last, row, number))
-                if not len(starts):
-                    continue
-                values = character_shingles(points, PROBE)
-                counts = np.maximum(1, last - first - PROBE + 1)
-                low = (tb.mix(values) >> np.uint64(32)).astype(np.uint32)[tb.ranges(first, counts)]
-                at = np.concatenate(([0], np.cumsum(counts)[:-1]))
-                sig = np.zeros((len(starts), BANDS), np.uint32)
-                for k in range(BANDS):
-                    joint = np.zeros(len(starts), np.uint64)
-                    for r in range(ROWS * k, ROWS * (k + 1)):
-                        joint = tb.mix(joint * _STEP + np.minimum.reduceat((low ^ _XOR[r]) * _ODD[r], at))
-                    sig[:, k] = joint >> np.uint64(32)
-                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * BANDS), pa.array(sig.ravel().view(np.int32)))
+            chunks = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and chunks[begin] != chunk:
+                    yield packed(chunk)
+                chunk = int(chunks[begin])
+                held += [(hashes, long, values) for _, _, _, _, hashes, long, values, _, _ in _read(batch.column(1).slice(begin, end - begin)) if len(hashes)]
+        if held:
+            yield packed(chunk)
+
+    return chunks.select("chunk", "text").mapInArrow(tb.lean(run), "piece int, chunk long, words binary, notes binary")
+
+
+def answer(asked: DataFrame) -> DataFrame:
+    """(chunk, words): of each question the values of two lines that differ, and the own values of lines in two places."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        words = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["words"]]
+        notes = [np.frombuffer(x.as_buffer(), "<u2") for x in table["notes"]]
+        whole = np.sort(np.concatenate(words))
+        again = np.unique(whole[1:][whole[1:] == whole[:-1]])
+        del whole
+        least, most = np.full(len(again), OWN, np.uint16), np.zeros(len(again), np.uint16)
+        for w, n in zip(words, notes, strict=True) if len(again) else ():
+            at = np.minimum(np.searchsorted(again, w), len(again) - 1)
+            some = again[at] == w
+            least[at[some]] = np.minimum(least[at[some]], n[some])  # a question has a value once
+            most[at[some]] = np.maximum(most[at[some]], n[some])
+        shared = np.unique(np.concatenate([again[(least < most) | (most >= OWN)], *[w[n == TWICE] for w, n in zip(words, notes, strict=True)]]))
+        found = []
+        for w in words:
+            at = np.searchsorted(shared, w)
+            found.append(w[shared[np.minimum(at, len(shared) - 1)] == w].tobytes() if len(shared) else b"")
+        return pa.table({"chunk": table["chunk"], "words": pa.array(found, pa.binary())}).filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
+
+    return asked.groupBy("piece").applyInArrow(run, "chunk long, words binary")
+
+
+def spots_of(chunks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """(id, row_hash, n_lines) of each row, and (id, row_hash, line_no, line, bands, text) of each of its lines that has a shared
+    value. line is a 64-bit hash of its bytes; bands (its shared values) and text stand on a line's first place of a run."""
+    id_type = chunks.schema["id"].dataType.simpleString()
+    none = lambda kind: F.lit(None).cast(kind)
+    left = answers.select("chunk", F.lit(0).alias("kind"), "words", none(id_type).alias("id"), none("long").alias("row_hash"), none("string").alias("text"))
+    right = chunks.select("chunk", F.lit(1).alias("kind"), none("binary").alias("words"), "id", "row_hash", "text")
+    both = left.union(right).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
+    names = ["id", "row_hash", "n_lines", "line_no", "line", "bands", "text"]
+
+    def found(part: pa.RecordBatch, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+        is_shared = lambda v: shared[np.minimum(np.searchsorted(shared, v), len(shared) - 1)] == v if len(shared) else np.zeros(v.shape, bool)
+        for begin, counts, row, number, hashes, long, values, buf, spans in _read(part.column(4)):
+            rows = part.slice(begin, len(counts))
+            yield pa.RecordBatch.from_arrays([
+                rows.column(2), rows.column(3), pa.array(counts.astype(np.int64)), pa.nulls(len(counts), pa.int32()), pa.nulls(len(counts), pa.int64()),
+                pa.nulls(len(counts), pa.list_(pa.int64())), pa.nulls(len(counts), pa.string()),
+            ], names=names)
+            own = is_shared(tb.mix(hashes ^ _TAG[BANDS]))
+            hit = is_shared(values.ravel()).reshape(values.shape)
+            banded = np.zeros(len(hashes), bool)
+            banded[long] = hit.any(1)
+            first = np.zeros(len(hashes), bool)
+            first[np.unique(hashes, return_index=True)[1]] = True
+            spelled = banded & first
+            chosen = np.flatnonzero(own | banded)
+            if not len(chosen):
+                continue
+            spells = spelled[chosen]
+            at_long = np.searchsorted(long, chosen[spells])
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum(np.bincount(np.flatnonzero(spells), weights=hit[at_long].sum(1), minlength=len(chosen))))).astype(np.int32)),
+                pa.array(values[at_long][hit[at_long]].view(np.int64)), mask=pa.array(~spells),
+            )
+            body, offsets = tb.span_bytes(buf, *spans[:, chosen[spells]])
+            text = pa.StringArray.from_buffers(int(spells.sum()), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body))
+            slots = np.full(len(chosen), -1, np.int64)
+            slots[spells] = np.arange(spells.sum())
+            take = pa.array(row[chosen])
+            yield pa.RecordBatch.from_arrays([
+                rows.column(2).take(take), rows.column(3).take(take), pa.nulls(len(chosen), pa.int64()), pa.array(number[chosen].astype(np.int32)),
+                pa.array(hashes[chosen].view(np.int64)), lists, text.take(pa.array(slots, mask=slots < 0)),
+            ], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, parts, shared = None, [], None
+        for batch in batches:
+            chunks, is_answer = batch.column(0).to_numpy(), batch.column(1).to_numpy() == 0
+            cuts = [0, *(np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_answer[1:] != is_answer[:-1])) + 1).tolist(), len(chunks)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if chunks[begin] != chunk:
+                    chunk, parts, shared = chunks[begin], [], None
                 part = batch.slice(begin, end - begin)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(tb.span_hash(buf, starts, ends).view(np.int64)), sigs],
-                    names=["id", "row_hash", "line_no", "line", "sig"],
-                )
+                if is_answer[begin]:
+                    parts += [np.frombuffer(w.as_buffer().to_pybytes(), np.uint64) for w in part.column(2)]
+                    continue
+                if shared is None:
+                    shared, parts = np.sort(np.concatenate([np.zeros(0, np.uint64), *parts])), []
+                part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), part.column(4), part.column(5)], names=["chunk", "kind", "id", "row_hash", "text"])
+                yield from found(part, shared)
 
-    return rows.mapInArrow(tb.lean(run), f"id {id_type}, row_hash long, line_no int, line long, sig array<int>")
+    return both.mapInArrow(tb.lean(run), f"id {id_type}, row_hash long, n_lines long, line_no int, line long, bands array<long>, text string")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -131,73 +271,87 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(tb.lean(run), "a long, b long")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs with the text rid of repeated lines, then n_lines and n_kept.
+def linked(lines: DataFrame, threshold: float) -> DataFrame:
+    """(id, component) of the lines (line, copies, bands, text) that are alike with another.
 
-    Lines end at line feeds; those without a character other than white space are never dropped nor counted. Equal
-    lines, and lines linked through similarities of at least `threshold`, keep one occurrence: that of the smallest key,
-    row hash and line number; a null key comes first. n_lines counts a text's lines, n_kept those that stay. A null text stays null
-    with 0 lines. Identical rows are one document and get the same text. Columns named like an output give way to it.
+    A first round confirms each line against the hubs of its bands and both lines of a band of two; a band's hub is its line of
+    most copies, in a group of edited lines likely the original. The second looks at pairs that share a band and are still apart, of
+    which bits of further minima leave those near the threshold.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_kept")
-    spots, spots_path = written(sketch(docs, key, text), "lines")
-    place = F.struct("id", "row_hash", "line_no")
-    lines, lines_path = written(spots.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "distinct-lines")
-    band = F.shiftleft(F.col("nth").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))
-    postings = lines.select("line", "copies", F.posexplode("sig").alias("nth", "value")).select("line", "copies", band.alias("band"))
-    shared = postings.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    # Only lines that share a band with another line go on.
-    posted, posted_path = written(postings.join(shared, "band", "left_semi"), "bands")
-
-    wanted = posted.select("line").distinct()
-    at = lines.join(wanted, "line").select("line", "first.*")
-    source = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("row_hash"), F.col(text).alias("text"))
-    at = at.withColumnRenamed("id", "_id").withColumnRenamed("row_hash", "_row")
-    texts = source.join(at, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_row")))
-    texts = texts.select("line", F.element_at(F.split("text", "\n"), F.col("line_no") + 1).alias("text")).dropDuplicates(["line"])
-    texts, texts_path = written(texts, "line-texts")
-
-    # First round: each line against up to three hubs, and both lines of a band of two, which needs no second look. Second:
-    # pairs in a larger band that are still apart.
-    # A band's hub is its line of most copies, which in a group of edited lines is likely the original.
-    hubs = posted.groupBy("band").agg(F.max_by("line", F.struct("copies", "line")).alias("hub"), (F.count("*") == 2).alias("two"))
-    star = posted.join(hubs, "band").filter("hub <> line").groupBy(F.col("line").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("met"), F.bool_or("two").alias("two"))
-    star = star.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).filter("nth <= 3 or two").select("a", "b")
+    spark = lines.sparkSession
+    banded = lines.filter("bands is not null")
+    texts = banded.select("line", "text")
+    posted = banded.select("line", "copies", F.explode("bands").alias("band"))
+    hubs = posted.groupBy("band").agg(F.max_by("line", F.struct("copies", "line")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    star = posted.join(hubs, "band").filter("hub <> line").groupBy(F.col("line").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("met"), F.min("n").alias("n"))
+    star = star.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).filter("nth <= 3 or n = 2").select("a", "b")
     star, star_path = written(star, "star")
     first, first_path = written(confirm(star, texts, threshold), "links")
-    labels = connected_components(first)
+    labels, labels_path = written(connected_components(first), "labels")
     labelled = posted.join(labels.withColumnRenamed("id", "line"), "line", "left").select(F.col("band").alias("token"), F.col("line").alias("id"), F.coalesce("component", "line").alias("label"))
     labelled, labelled_path = written(labelled, "labelled")
     apart = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("token")
     open_, open_path = written(labelled.join(apart, "token"), "open")
-    share = round(threshold * 1000)
     fine, fine_path = written(fine_bits(_sets(texts.join(open_.select(F.col("id").alias("line")).distinct(), "line", "left_semi"))), "bits")
-    met = pairs_apart(open_, fine, share, 1000)
+    met = pairs_apart(open_, fine, round(threshold * 1000), 1000)
     met = met.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second, second_path = written(confirm(met, texts, threshold), "links")
-    components, components_path = written(connected_components(first.union(second)), "line-components")
+    # Of the second round's links only those between labels matter.
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"{side}_label"))
+    bridges = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    joint, joint_path = written(connected_components(bridges), "joint-labels")
+    joint = joint.select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    out = labels.join(joint, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    alone = joint.join(labels, joint["component"] == labels["id"], "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
+    out, _ = written(out.union(alone), "line-components")
+    remove(spark, star_path, first_path, labels_path, labelled_path, open_path, fine_path, second_path, joint_path)
+    return out
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, chunk_bytes: int = 8 << 20, piece_values: int = 1 << 22) -> DataFrame:
+    """All columns of docs with the text rid of repeated lines, then n_lines and n_kept.
+
+    Lines end at line feeds; those without a character other than white space are never dropped nor counted. Equal
+    lines, and lines linked through similarities of at least `threshold`, keep one occurrence: that of the smallest key,
+    row hash and line number; a null key comes first. A line of fewer than SHINGLE characters is like its equals alone. n_lines
+    counts a text's lines, n_kept those that stay. A null text stays null with 0 lines. Identical rows are one document and get
+    the same text. Columns named like an output give way to it; any other name may stand in docs. Keys may be of any type
+    that can be sorted.
+    """
+    spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_kept")
+    chunks, chunks_path, total = dealt(docs, key, text, chunk_bytes)
+    pieces = max(8, (BANDS + 1) * total // (128 * piece_values))  # lines are longer than that as a rule
+    answers, answers_path = written(answer(ask(chunks, pieces)), "shared-values")
+    parts = max(-(-total // chunk_bytes) // 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spots, spots_path = written(spots_of(chunks, answers, parts), "lines")
+    remove(spark, chunks_path, answers_path)
+
+    place = F.struct("id", "row_hash", "line_no")
+    some = spots.filter("line is not null")
+    spelled = lambda c: F.first(c, ignorenulls=True).alias(c)  # noqa: E731  the same wherever it stands
+    lines, lines_path = written(some.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"), spelled("bands"), spelled("text")), "distinct-lines")
+    components = linked(lines, threshold)
 
     # The occurrence that each repeated line keeps.
     joined = lines.join(components.withColumnRenamed("id", "line"), "line", "left").select("line", "first", "last", "component")
     kept = joined.filter("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
-    linked = joined.filter("component is not null").join(kept, "component").select("line", "keep")
+    kin = joined.filter("component is not null").join(kept, "component").select("line", "keep")
     alone = joined.filter("component is null and not (first <=> last)").select("line", F.col("first").alias("keep"))
-    gone = spots.select("id", "row_hash", "line_no", "line").join(linked.union(alone), "line").filter(~place.eqNullSafe(F.col("keep")))
-    gone = gone.groupBy(F.col("id").alias("_id"), F.col("row_hash").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
-    gone, _ = written(gone, "dropped-lines")
-    remove(spark, spots_path, lines_path, posted_path, texts_path, star_path, first_path, labelled_path, open_path, fine_path, second_path, components_path)
-
-    rows = docs.withColumn("_row_hash", F.xxhash64(text))
-    rows = rows.join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_row")), "left")
-    parts = F.split(F.col(text), "\n")
-    count = F.regexp_count(F.col(text), F.lit(r"(?:^|\n)[\x00-\x09\x0B-\x20]*+[^\x00-\x20]"))  # lines with more than white space
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    names = [c for c in docs.columns if c != text]
-    out = rows.select(
-        *names, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest).alias(text),
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(count).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("_n_gone"),
-    )
-    return out.select(*docs.columns, "n_lines", (F.col("n_lines") - F.when(F.col("_n_gone") > 0, F.col("_n_gone")).otherwise(0)).alias("n_kept"))
+    gone = some.select("id", "row_hash", "line_no", "line").join(kin.union(alone), "line").filter(~place.eqNullSafe(F.col("keep")))
+    gone = gone.groupBy("id", "row_hash").agg(F.collect_set("line_no").alias("gone"))
+    counted = spots.filter("line is null").groupBy("id", "row_hash").agg(F.max("n_lines").alias("n_lines"))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["row_hash"] == b["row_hash"])
+    known, _ = written(counted.join(gone, same(counted, gone), "left").select(counted["id"], counted["row_hash"], "n_lines", "gone"), "dropped-lines")
+    remove(spark, spots_path, lines_path)
+
+    # The columns of docs travel in a struct, so none of them can clash with one of these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("id"), F.xxhash64(text).alias("row_hash"))
+    rows = rows.join(known.hint("shuffle_hash"), same(rows, known), "left").select("doc", "n_lines", "gone")
+    body = F.col("doc")[text]
+    parts_ = F.split(body, "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts_) - 1), F.col("gone"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get(parts_, i)), "\n")
+    columns = [F.when(F.col("gone").isNull(), body).otherwise(rest).alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns]
+    n_kept = F.col("n_lines") - F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return rows.select(*columns, "n_lines", n_kept.alias("n_kept"))
