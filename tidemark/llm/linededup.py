@@ -252,18 +252,24 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     joined = joined.join(texts.select(F.col("line").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
             keep = []
-            known: dict[str, np.ndarray] = {}
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if len(known) > 512:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for n, (x, y) in enumerate(zip(a, b, strict=True)):
+                if len(known) > 2048:
                     known.clear()
-                for line in (x, y):
+                for line, column in ((x, 2), (y, 3)):
                     if line not in known:
-                        known[line] = line_sets(line)
-                p, q = sorted((known[x], known[y]), key=len)
+                        known[line] = line_sets(batch.column(column)[n].as_py())
+                p, q = known[x], known[y]
+                if len(p) > len(q):
+                    p, q = q, p
+                if len(p) < threshold * len(q):
+                    keep.append(False)
+                    continue
                 at = np.searchsorted(q, p)
-                shared = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+                shared = int(np.count_nonzero(q.take(at, mode="clip") == p))
                 keep.append(shared >= threshold * (len(p) + len(q) - shared))
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
@@ -274,38 +280,117 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def linked(lines: DataFrame, threshold: float) -> DataFrame:
     """(id, component) of the lines (line, copies, bands, text) that are alike with another.
 
-    A first round confirms each line against the hubs of its bands and both lines of a band of two; a band's hub is its line of
-    most copies, in a group of edited lines likely the original. The second looks at pairs that share a band and are still apart, of
-    which bits of further minima leave those near the threshold.
+    Hub rounds confirm lines against a few lines of each band, in a number that grows with the lines: first its line of most
+    copies (in a group of edited lines likely the original), and both lines of a band of two; then, in bands whose lines are still
+    apart, the shortest and the longest line, and the line of most copies outside the largest label. Last come the pairs that
+    share a band and are still apart, of which bits of further minima leave those near the threshold.
     """
     spark = lines.sparkSession
     banded = lines.filter("bands is not null")
     texts = banded.select("line", "text")
-    posted = banded.select("line", "copies", F.explode("bands").alias("band"))
+    posted, posted_path = written(banded.select("line", "copies", F.length("text").alias("size"), F.explode("bands").alias("band")), "bands")
     hubs = posted.groupBy("band").agg(F.max_by("line", F.struct("copies", "line")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
     star = posted.join(hubs, "band").filter("hub <> line").groupBy(F.col("line").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("met"), F.min("n").alias("n"))
     star = star.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).filter("nth <= 3 or n = 2").select("a", "b")
     star, star_path = written(star, "star")
     first, first_path = written(confirm(star, texts, threshold), "links")
     labels, labels_path = written(connected_components(first), "labels")
-    labelled = posted.join(labels.withColumnRenamed("id", "line"), "line", "left").select(F.col("band").alias("token"), F.col("line").alias("id"), F.coalesce("component", "line").alias("label"))
-    labelled, labelled_path = written(labelled, "labelled")
-    apart = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("token")
-    open_, open_path = written(labelled.join(apart, "token"), "open")
+    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    paths = [posted_path, star_path, first_path, labels_path]
+
+    def still_open(posted: DataFrame, labels: DataFrame) -> DataFrame:
+        """The postings of bands of three or more whose lines have several labels."""
+        labelled = posted.join(labels.withColumnRenamed("id", "line"), "line", "left").withColumn("label", F.coalesce("component", "line")).drop("component")
+        apart = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("band")
+        found, path = written(labelled.join(apart, "band"), "open")
+        paths.append(path)
+        return found
+
+    for _ in range(2):
+        open_ = still_open(posted, labels)
+        sizes = open_.groupBy("band", "label").agg(F.count("*").alias("n"), F.max(F.struct("copies", "line")).alias("most"))
+        largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("largest")).select("band", F.col("largest.label").alias("main"))
+        second = sizes.join(largest, "band").filter("label <> main").groupBy("band").agg(F.max("most").alias("most")).select("band", F.col("most.line").alias("hub"))
+        ends = open_.groupBy("band").agg(F.min(F.struct("size", "line")).alias("lo"), F.max(F.struct("size", "line")).alias("hi"))
+        hubs = second.union(ends.select("band", "lo.line")).union(ends.select("band", "hi.line")).distinct()
+        hubs = hubs.join(open_.select("band", F.col("line").alias("hub"), F.col("label").alias("hub_label")), ["band", "hub"])
+        more = open_.join(hubs, "band").filter("label <> hub_label").select(F.least("line", "hub").alias("a"), F.greatest("line", "hub").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
+        more, more_path = written(more, "star")
+        found, found_path = written(confirm(more, texts, threshold), "links")
+        seen = seen.union(more)
+        labels, path = written(_joined(labels, found), "labels")
+        paths += [more_path, found_path, path]
+    open_ = still_open(posted, labels).select(F.col("band").alias("token"), F.col("line").alias("id"), "label", "copies")
+    open_, core_path = written(_bounded(open_, texts, threshold), "open")
     fine, fine_path = written(fine_bits(_sets(texts.join(open_.select(F.col("id").alias("line")).distinct(), "line", "left_semi"))), "bits")
-    met = pairs_apart(open_, fine, round(threshold * 1000), 1000)
-    met = met.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    second, second_path = written(confirm(met, texts, threshold), "links")
-    # Of the second round's links only those between labels matter.
+    met = pairs_apart(open_, fine, round(threshold * 1000), 1000).join(seen, ["a", "b"], "left_anti")
+    last, last_path = written(confirm(met, texts, threshold), "links")
+    out, _ = written(_joined(labels, last), "line-components")
+    remove(spark, *paths, core_path, fine_path, last_path)
+    return out
+
+
+def _bounded(open_: DataFrame, texts: DataFrame, threshold: float, small: int = 32) -> DataFrame:
+    """(token, id, label, core, rest) of the postings that can be alike with one of another label.
+
+    In a band of more than `small` lines, core is how much of a line's set the set of the band's hub (the line of most copies)
+    has, and rest how many of its other shingles stand in another line around that hub. An overlap with another line of the band
+    is at most core + rest, which bounds the size of the partner; a line for which the band has none so short, and of another
+    label, has no partner there. Bands of up to `small` lines have no bounds (null): their pairs are a fixed number a posting.
+    """
+    bands = open_.groupBy("token").agg(F.max_by("id", F.struct("copies", "id")).alias("hub"), F.count("*").alias("n")).filter(F.col("n") > small).select("token", "hub")
+    around = open_.join(bands, "token")
+    members = around.select("id", "hub").distinct().join(texts.select(F.col("line").alias("id"), "text"), "id").join(texts.select(F.col("line").alias("hub"), F.col("text").alias("core")), "hub")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for begin, end in tb.splits_by(batch.column(0), 256):
+                part = batch.slice(begin, end - begin)
+                core, size, rest = [], [], []
+                for hub, text, spelled in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True):
+                    if hub not in known:
+                        if len(known) > 2048:
+                            known.clear()
+                        known[hub] = line_sets(spelled.as_py())
+                    mine = line_sets(text)
+                    other = mine[known[hub].take(np.searchsorted(known[hub], mine), mode="clip") != mine]
+                    core.append(len(mine) - len(other))
+                    size.append(len(mine))
+                    rest.append(other.view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rest)]).astype(np.int32)), pa.array(np.concatenate(rest)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(core, pa.int64()), lists], names=["id", "hub", "size", "core", "others"])
+
+    spark = open_.sparkSession
+    members, path = written(members.select("id", "hub", "text", "core").mapInArrow(tb.lean(split), "id long, hub long, size long, core long, others array<long>"), "cores")
+    each = members.select("id", "hub", F.explode("others").alias("shingle"))
+    common = each.groupBy("hub", "shingle").agg(F.count("*").alias("n")).filter("n > 1").select("hub", "shingle")
+    rest = each.join(common, ["hub", "shingle"]).groupBy("id", "hub").agg(F.count("*").alias("rest"))
+    known = members.select("id", "hub", "size", "core").join(rest, ["id", "hub"], "left").withColumn("rest", F.coalesce("rest", F.lit(0)))
+    rows = around.join(known, ["id", "hub"]).withColumn("most", (F.col("core") + F.col("rest")) * (1 + threshold) / threshold - F.col("size"))
+    # The two shortest sizes of different labels tell whether a posting has a partner of another label that is short enough.
+    shortest = rows.groupBy("token", "label").agg(F.min("size").alias("size")).groupBy("token").agg(F.min(F.struct("size", "label")).alias("one"))
+    rows = rows.join(shortest, "token")
+    others = rows.filter(F.col("label") != F.col("one.label")).groupBy("token").agg(F.min("size").alias("two"))
+    rows = rows.join(others, "token").filter(F.col("most") >= F.when(F.col("label") == F.col("one.label"), F.col("two")).otherwise(F.col("one.size")))
+    # Both of a pair must be left, and of different labels.
+    left = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+    large, large_path = written(rows.join(left, "token").select("token", "id", "label", "core", "rest"), "open")
+    remove(spark, path)
+    none = F.lit(None).cast("long")
+    return open_.join(bands.select("token"), "token", "left_anti").select("token", "id", "label", none.alias("core"), none.alias("rest")).union(large)
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component) after further links (a, b), of which only those between labels matter."""
     of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"{side}_label"))
-    bridges = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-    joint, joint_path = written(connected_components(bridges), "joint-labels")
-    joint = joint.select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    bridges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).filter("a <> b")
+    if bridges.isEmpty():
+        return labels
+    joint = connected_components(bridges).select(F.col("id").alias("component"), F.col("component").alias("whole"))
     out = labels.join(joint, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
-    alone = joint.join(labels, joint["component"] == labels["id"], "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
-    out, _ = written(out.union(alone), "line-components")
-    remove(spark, star_path, first_path, labels_path, labelled_path, open_path, fine_path, second_path, joint_path)
-    return out
+    alone = joint.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
+    return out.union(alone)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, chunk_bytes: int = 8 << 20, piece_values: int = 1 << 22) -> DataFrame:

@@ -213,18 +213,25 @@ def pairs_apart(posted: DataFrame, fine: DataFrame, numerator: int, denominator:
     given, allow the similarity and whose bits (id, n, bits) agree as often as at the similarity, less 5.3 standard
     deviations.
 
-    A pair comes from the first token that both have alone, so it is looked at, and made, once.
+    A pair comes from the first token that both have alone, so it is looked at, and made, once. Postings may have `core`, how
+    much of the set is in that of the token's hub, and `rest`, how much of what is not stands in another set around it: no overlap
+    exceeds the lesser core and the lesser rest together.
     """
     chance = (1 + numerator / denominator) / 2
     least = int(BITS * chance - 5.3 * (BITS * chance * (1 - chance)) ** 0.5)
     tokens = posted.groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("tokens"))  # a bounded number a node
     words = [F.col("bits")[i].alias(f"w{i}") for i in range(BITS // 64)]
-    side = posted.select("id", "token", "label").join(fine.join(tokens, "id").select("id", "n", "tokens", *words, *(["reach"] if "reach" in fine.columns else [])), "id")
+    bounds = [c for c in ("core", "rest") if c in posted.columns]
+    side = posted.select("id", "token", "label", *bounds).join(fine.join(tokens, "id").select("id", "n", "tokens", *words, *(["reach"] if "reach" in fine.columns else [])), "id")
     named = lambda x: side.select(*[F.col(c).alias(f"{x}_{c}") for c in side.columns])
     sizes = F.least("a_n", "b_n") * denominator >= F.greatest("a_n", "b_n") * numerator
     if "reach" in fine.columns:
         sizes &= F.least("a_reach", "b_reach") * (numerator + denominator) >= (F.col("a_n") + F.col("b_n")) * numerator
+    if bounds:
+        most = F.least("a_core", "b_core") + F.least("a_rest", "b_rest")
+        sizes &= F.coalesce(most * (numerator + denominator) >= (F.col("a_n") + F.col("b_n")) * numerator, F.lit(True))
     differ = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(BITS // 64)), F.lit(0))
+    # Sorted arrays meet in order; a pair that one token's hub rules out is ruled out, so any one token may be the one.
     once = F.array_intersect("a_tokens", "b_tokens")[0] == F.col("a_token")
     apart = (F.col("a_token") == F.col("b_token")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_label") != F.col("b_label"))
     met = named("a").join(named("b"), apart & sizes & (differ <= BITS - least) & once)
