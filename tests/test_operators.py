@@ -297,3 +297,41 @@ def test_session_stream_returns_the_last_sessions(spark, sf):
     want = log.groupBy("mmsi", F.session_window("timestamp", "24 hours")).agg(F.count("*").alias("n_fixes"), F.max("timestamp").alias("t_end"))
     got = pipelines.QUERIES["session_stream"](spark, sf)
     assert sorted(map(tuple, got.select("mmsi", "t_end", "n_fixes").collect())) == sorted(map(tuple, want.select("mmsi", "t_end", "n_fixes").collect()))
+
+
+def test_components_that_do_not_settle_raise(spark):
+    cells = spark.createDataFrame([(0, c) for c in range(200)], "row int, col int")
+    with pytest.raises(RuntimeError):
+        R.label_components(cells, max_rounds=2)
+
+
+def test_rebalance_is_case_by_case(spark):
+    rows = spark.createDataFrame([(1, 1, 0.5, 0.2), (1, 2, 0.2, 0.2), (2, 1, 0.6, 0.3)], "case_id int, rank int, probability double, dark_probability double")
+    got = {(r["case_id"], r["rank"]): r["probability"] for r in E.rebalance(rows, keys=["case_id"]).collect()}
+    assert got == pytest.approx({(1, 1): 0.6, (1, 2): 0.2, (2, 1): 0.7})
+
+
+def test_trails_are_one_run(spark):
+    from tidemark.plans.raster_queries import uniform_field
+
+    seeds = spark.createDataFrame([(i, 0, 430_000.0 + 100 * i, 6_230_000.0, 1800.0 * (i % 3)) for i in range(20)], "particle_id long, origin long, x double, y double, seed_time double")
+    whole = {r["particle_id"]: (r["x"], r["y"], r["status"]) for r in X.simulate(seeds, uniform_field(), 0.0, 21_600.0).collect()}
+    last = {r["particle_id"]: (r["x"], r["y"], r["status"]) for r in X.trails(seeds, uniform_field(), 0.0, [7200.0, 14_400.0, 21_600.0]).filter("t = 21600").collect()}
+    assert last == whole
+    assert X.trails(seeds, uniform_field(), 0.0, [900.0], first=3).count() == 6
+    with pytest.raises(ValueError):
+        X.trails(seeds, uniform_field(), 0.0, [1000.0])
+
+
+def test_dark_sources_keep_away_from_tracks(spark):
+    from tidemark.plans.pipelines import dark_sources
+
+    ring = [(10.0, 56.0), (10.4, 56.0), (10.4, 56.2), (10.0, 56.2), (10.0, 56.0)]
+    fixes = [("000000001", 0, k * 600_000_000, 10.2, 56.0 + 0.2 * k / 60, k) for k in range(61)]
+    tracks = spark.createDataFrame(fixes, "mmsi string, track long, t_us long, lon double, lat double, ord long")
+    got = dark_sources(tracks, ring, [0.0, 14_400.0], 7200.0, 0, 40, 3.0).collect()
+    assert 0 < len(got) <= 40
+    wide = 3.0 / (111.32 * np.cos(np.radians(56.1)))
+    for r in got:
+        at = 56.0 + 0.2 * r["t"] / 36_000
+        assert not (abs(r["lon"] - 10.2) < wide and abs(r["lat"] - at) < wide)

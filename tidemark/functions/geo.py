@@ -132,3 +132,8 @@ def distance_to_ring_m(x: Column, y: Column, ring: list[tuple[float, float]], mi
         d = F.sqrt(F.pow(px - t * dx, 2) + F.pow(py - t * dy, 2))
         best = d if best is None else F.least(best, d)
     return best
+
+
+def wind_from_deg(u: Column, v: Column) -> Column:
+    """Bearing that a wind of components toward east and north comes from, in [0, 360)."""
+    return F.pmod(F.degrees(F.atan2(-u, -v)), F.lit(360.0))

@@ -36,6 +36,21 @@ def box_ordered(b: str) -> Column:
     return (f("min_lon") < f("max_lon")) & (f("min_lat") < f("max_lat")) & f("min_lon").between(-180, 180) & f("max_lon").between(-180, 180) & f("min_lat").between(-90, 90) & f("max_lat").between(-90, 90)
 
 
+def box_centroid(b: str) -> tuple[Column, Column]:
+    """Longitude and latitude of a box's middle."""
+    f = lambda c: F.col(f"{b}.{c}")
+    return (f("min_lon") + f("max_lon")) / 2, (f("min_lat") + f("max_lat")) / 2
+
+
+def lookback_hours(a: str, b: str) -> Column:
+    return (F.unix_micros(F.col(b)) - F.unix_micros(F.col(a))) / 3.6e9
+
+
+def co_polarised(polarisation: str) -> Column:
+    """VV and HH are co-polarised; detection takes no other."""
+    return F.upper(F.col(polarisation)).isin("VV", "HH")
+
+
 def ring_valid(ring: str) -> Column:
     """At least four vertices, closed, in range."""
     r = F.col(ring)
@@ -81,6 +96,12 @@ def density_valid(values: str) -> Column:
     return F.forall(F.col(values), lambda v: v >= 0)
 
 
+def sums_to_one(values: str) -> Column:
+    """Whether weights that are all there sum to 1."""
+    total = F.aggregate(F.col(values), F.lit(0.0), lambda a, v: a + v)
+    return F.coalesce(F.abs(total - 1) <= SUM_TOLERANCE, F.lit(False))
+
+
 def interval_ordered(interval: str) -> Column:
     return F.col(f"{interval}.start") < F.col(f"{interval}.end")
 
@@ -107,6 +128,13 @@ def funnel_monotone(reported: str, prefiltered: str, window: str) -> Column:
     return (F.col(reported) <= F.col(prefiltered)) & (F.col(prefiltered) <= F.col(window))
 
 
+def seed_rules() -> dict[str, Column]:
+    """Seeds have a position, a time, an identifier and a source each, none of them missing or not a number."""
+    whole = F.col("particle_id").isNotNull() & F.col("origin").isNotNull()
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    return {"seed_identified": whole, "seed_placed": there("x") & there("y"), "seed_timed": there("seed_time")}
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, rows, violated), all rules in one pass; a rule that is null counts as violated."""
     counted = df.agg(F.count("*").alias("rows"), *[F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])

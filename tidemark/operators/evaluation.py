@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Credible levels, in percent.
+LEVELS = (50, 68, 90, 95)
+
 
 def trial_summary(trials: DataFrame) -> DataFrame:
     """Coverage by level, top-k recall, medians and the split of dark cases, in one row. Means are over the trials that a
@@ -14,13 +17,20 @@ def trial_summary(trials: DataFrame) -> DataFrame:
     named = done & ~F.col("dark_case")
     return trials.agg(
         F.count("*").alias("trials"), F.count_if("detected").alias("detected"), F.count_if(done).alias("attributed"),
-        share(F.col("inside_50"), F.col("inverted")).alias("coverage_50"), share(F.col("inside_95"), F.col("inverted")).alias("coverage_95"),
+        *[share(F.col(f"inside_{level}"), F.col("inverted")).alias(f"coverage_{level}") for level in LEVELS if f"inside_{level}" in trials.columns],
         share(F.coalesce(F.col("culprit_rank") <= 1, F.lit(False)), named).alias("top_1"), share(F.coalesce(F.col("culprit_rank") <= 3, F.lit(False)), named).alias("top_3"),
         F.median(F.when(done, F.col("reduction_factor"))).alias("median_reduction"), F.median(F.when(F.col("inverted"), F.col("area_95_km2"))).alias("median_area_95"),
         share(F.col("dark_is_top"), done & F.col("dark_case")).alias("dark_top_when_dark"), share(F.col("dark_is_top"), named).alias("dark_top_when_named"),
     )
 
 
+def calibration_table(trials: DataFrame, keys: list[str]) -> DataFrame:
+    """Coverage at each level, the median 95% area and the mean effective sample share of trials (inside_*, area_95_km2, ess_share),
+    by keys."""
+    levels = [F.avg(F.col(f"inside_{level}").cast("double")).alias(f"coverage_{level}") for level in LEVELS if f"inside_{level}" in trials.columns]
+    return trials.groupBy(*keys).agg(F.count("*").alias("trials"), *levels, F.median("area_95_km2").alias("median_area_95"), F.avg("ess_share").alias("mean_ess_share"))
+
+
 def by_lookback(trials: DataFrame) -> DataFrame:
     return trials.filter("inverted").groupBy("lookback_hours").agg(F.count("*").alias("trials"), F.median("area_95_km2").alias("median_area_95"), F.avg(F.col("inside_95").cast("double")).alias("coverage_95"))
 

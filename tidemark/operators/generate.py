@@ -25,6 +25,7 @@ class Box:
         return self.min_lon + lon_share * (self.max_lon - self.min_lon), self.min_lat + lat_share * (self.max_lat - self.min_lat)
 
 
+#: The defaults of currents, winds, coast and scene.
 @dataclass(frozen=True)
 class CurrentParams:
     background_u: float = 0.14

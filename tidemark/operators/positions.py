@@ -56,6 +56,11 @@ def sessionise(log: DataFrame, split_hours: float) -> DataFrame:
     return log.withColumn("_opens", opens).withColumn("track", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
+def without(log: DataFrame, vessels: DataFrame) -> DataFrame:
+    """log without the rows of vessels (mmsi), as where a trial hides the true source."""
+    return log.join(vessels.select("mmsi"), "mmsi", "left_anti")
+
+
 def at_least(log: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return log.withColumn("_rows", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("_rows") >= rows).drop("_rows")
 

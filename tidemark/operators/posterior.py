@@ -42,18 +42,25 @@ def effective_cells(n_cells: Column, cell_km2: Column, correlation_m: float) ->
     return F.least(F.greatest(area / max((correlation_m / 1000) ** 2, 1e-9), F.lit(1.0)), n_cells.cast("double"))
 
 
-def softmax(scores: DataFrame, value: str = "log_lik", prior: str | None = None) -> DataFrame:
-    """weight of each row, shifted by the maximum; the maximum and sum are one-row aggregates, so rows stay spread."""
+def _with_totals(rows: DataFrame, keys: list[str] | None, *totals: Column) -> DataFrame:
+    """rows with aggregates over each case, or over all of them: a hash aggregate joined back, so rows stay spread."""
+    if keys:
+        return rows.join(rows.groupBy(*keys).agg(*totals), keys)
+    return rows.crossJoin(F.broadcast(rows.agg(*totals)))  # one row
+
+
+def softmax(scores: DataFrame, value: str = "log_lik", prior: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """weight of each row within its case, shifted by the maximum."""
     finite = F.when(F.col(value) > float("-inf"), F.col(value))
-    top = scores.agg(F.max(finite).alias("_top"))
-    rows = scores.crossJoin(F.broadcast(top))
+    rows = _with_totals(scores, keys, F.max(finite).alias("_top"))
     rows = rows.withColumn("_e", F.coalesce(F.exp(finite - F.col("_top")), F.lit(0.0)) * (F.col(prior) if prior else F.lit(1.0)))
-    total = rows.agg(F.sum("_e").alias("_sum"))
-    return rows.crossJoin(F.broadcast(total)).withColumn("weight", F.try_divide("_e", "_sum")).drop("_top", "_e", "_sum")
+    out = _with_totals(rows, keys, F.sum("_e").alias("_sum")).withColumn("weight", F.try_divide("_e", "_sum"))
+    return out.select(*scores.columns, "weight")
 
 
-def effective_sample_size(weights: DataFrame, particles_per_hypothesis: float) -> DataFrame:
-    return weights.agg(F.coalesce(F.try_divide(F.lit(float(particles_per_hypothesis)), F.sum(F.col("weight") * F.col("weight"))), F.lit(0.0)).alias("ess"))
+def effective_sample_size(weights: DataFrame, particles_per_hypothesis: float, keys: list[str] | None = None) -> DataFrame:
+    share = F.coalesce(F.try_divide(F.lit(float(particles_per_hypothesis)), F.sum(F.col("weight") * F.col("weight"))), F.lit(0.0)).alias("ess")
+    return weights.groupBy(*keys).agg(share) if keys else weights.agg(share)
 
 
 def density(rows: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
@@ -76,28 +83,31 @@ def highest_density(cells: DataFrame, level: float, order: list[str], weight: st
     return marked.filter(F.col("_before") < level * F.col("_total")).drop("_before", "_total")
 
 
-def nested_levels(cells: DataFrame, inner: float, outer: float, order: list[str]) -> DataFrame:
-    """Outer set with in_inner, where the inner set has fewer cells than the outer one."""
-    out = highest_density(cells, outer, order)
-    small = highest_density(cells, inner, order).agg(F.count("*").alias("_k"))
-    large = out.agg(F.count("*").alias("_n"))
-    rows = out.crossJoin(F.broadcast(small)).crossJoin(F.broadcast(large))
+def nested_levels(cells: DataFrame, inner: float, outer: float, order: list[str], groups: list[str] | None = None) -> DataFrame:
+    """Outer set with in_inner, where the inner set has fewer cells than the outer one, case by case."""
+    out = highest_density(cells, outer, order, groups=groups)
+    small = highest_density(cells, inner, order, groups=groups)
+    small = small.groupBy(*groups).agg(F.count("*").alias("_k")) if groups else small.agg(F.count("*").alias("_k"))
+    rows = _with_totals(out, groups, F.count("*").alias("_n"))
+    rows = rows.join(small, groups) if groups else rows.crossJoin(F.broadcast(small))
     limit = F.when(F.col("_k") >= F.col("_n"), F.greatest(F.col("_n") - 1, F.lit(1))).otherwise(F.col("_k"))
     return rows.withColumn("in_inner", F.col("hd_rank") <= limit).drop("_k", "_n")
 
 
-def peak_normalised(cells: DataFrame, floor: float = 0.02, weight: str = "w") -> DataFrame:
-    """share of the largest weight, without shares below the floor."""
-    top = cells.agg(F.max(weight).alias("_top"))
-    out = cells.crossJoin(F.broadcast(top)).withColumn("share", F.try_divide(weight, "_top")).drop("_top")
-    return out.filter(F.col("share") >= floor)
+def peak_normalised(cells: DataFrame, floor: float = 0.02, weight: str = "w", keys: list[str] | None = None) -> DataFrame:
+    """share of the case's largest weight, without shares below the floor."""
+    out = _with_totals(cells, keys, F.max(weight).alias("_top")).withColumn("share", F.try_divide(weight, "_top"))
+    return out.select(*cells.columns, "share").filter(F.col("share") >= floor)
 
 
-def keep_best(scores: DataFrame, fraction: float, value: str, tie: str, least: int = 4) -> DataFrame:
-    """The best round(n * fraction) rows, at least `least`; half rounds to even, minus infinity goes last."""
-    count = scores.agg(F.count("*").alias("n")).select(F.greatest(F.lit(least), F.bround(F.col("n") * fraction).cast("int")).alias("_k"))
-    ranked = scores.withColumn("_nth", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(value), tie)))
-    return ranked.crossJoin(F.broadcast(count)).filter("_nth <= _k").drop("_nth", "_k")
+def keep_best(scores: DataFrame, fraction: float, value: str, tie: str, least: int = 4, keys: list[str] | None = None) -> DataFrame:
+    """The best round(n * fraction) rows of each case, at least `least`; half rounds to even, minus infinity goes last. Over one
+    case a limit by order, which takes the best of each task first; over several a window a case, which are thousands of rows."""
+    count = F.greatest(F.lit(least), F.bround(F.count("*") * fraction).cast("int"))
+    if not keys:
+        return scores.orderBy(F.desc(value), tie).limit(scores.agg(count.alias("k")).first()["k"])  # one scalar
+    ranked = scores.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), tie)))
+    return _with_totals(ranked, keys, count.alias("_k")).filter("_nth <= _k").select(*scores.columns)
 
 
 def refine(parents: DataFrame, cell: float) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,25 +89,29 @@ def gaussian_kernel(sigma: float) -> list[float]:
 
 
 def gaussian(raster: DataFrame, sigma: float, rows: int, cols: int, mode: str = "reflect", value: str = "value") -> DataFrame:
-    """Separable Gaussian filter, four deviations wide. mode: `reflect` mirrors beyond the edges, `nearest` repeats them."""
+    """Separable Gaussian filter, four deviations wide. mode: `reflect` mirrors beyond the edges, `nearest` repeats them.
+
+    Along each axis a task has bands of whole lines, of a bounded number of cells, and filters them as one matrix: two shuffles of
+    the raster at any width. A cell that is not there counts as 0.
+    """
     kernel = gaussian_kernel(sigma)
     radius = len(kernel) // 2
-    taps = F.explode(F.array(*[F.struct(F.lit(k - radius).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(kernel)]))
 
     def along(df: DataFrame, at: str, n: int) -> DataFrame:
-        # Every cell asks for its taps; folded indices meet the raster in one equi-join.
         other = "col" if at == "row" else "row"
-        asked = df.select("row", "col", taps.alias("t"))
-        where = F.col(at) + F.col("t.k")
-        if mode == "nearest":
-            folded = F.least(F.greatest(where, F.lit(0)), F.lit(n - 1))
-        else:
-            period = F.pmod(where, F.lit(2 * n))
-            folded = F.when(period >= n, 2 * n - 1 - period).otherwise(period)
-        asked = asked.select("row", "col", folded.alias("_at"), F.col("t.w").alias("_w"))
-        held = df.select(F.col(at).alias("_at"), F.col(other).alias("_other"), "v")
-        met = asked.join(held, (asked["_at"] == held["_at"]) & (asked[other] == held["_other"]))
-        return met.groupBy("row", "col").agg(F.sum(F.col("_w") * F.col("v")).alias("v"))
+        band = max(1, min(256, (1 << 22) // max(n, 1)))
+
+        def smooth(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            i, j = table[at].to_numpy().astype(np.int64), table[other].to_numpy().astype(np.int64) - key[0].as_py() * band
+            grid = np.zeros((n, band))
+            grid[i, j] = table["v"].to_numpy()
+            padded = np.pad(grid, ((radius, radius), (0, 0)), mode="edge" if mode == "nearest" else "symmetric")
+            out = sum(w * padded[k : k + n] for k, w in enumerate(kernel))
+            return table.set_column(table.schema.get_field_index("v"), "v", pa.array(out[i, j]))
+
+        rows_ = df.select("row", "col", F.col("v").cast("double").alias("v"))
+        kinds = {f.name: f.dataType.simpleString() for f in rows_.schema}
+        return rows_.groupBy(F.floor(F.col(other) / band).alias("band")).applyInArrow(smooth, f"row {kinds['row']}, col {kinds['col']}, v double")
 
     out = along(raster.select("row", "col", F.col(value).alias("v")), "row", rows)
     return along(out, "col", cols).select("row", "col", F.col("v").alias(value))
@@ -147,6 +154,8 @@ def label_components(cells: DataFrame, least: int = 1, diagonal: bool = True, ma
         state = following
         if changed:
             break
+    else:
+        raise RuntimeError(f"patches did not settle in {max_rounds} rounds")
     counted = state.withColumn("_n", F.count("*").over(Window.partitionBy("patch")))
     return counted.filter(F.col("_n") >= least).select("row", "col", "patch")
 
@@ -154,9 +163,14 @@ def label_components(cells: DataFrame, least: int = 1, diagonal: bool = True, ma
 def _checkpoint(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(found)
     return df.checkpoint()
 
 
@@ -191,9 +205,19 @@ def overlap_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return out.select(F.coalesce(F.try_divide("shared", "any"), F.lit(0.0)).alias("iou"), F.coalesce(F.try_divide("shared", "truth"), F.lit(0.0)).alias("recall"))
 
 
-def lane_distance(fixes: DataFrame, width: float, quantile: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Counts of fixes by coarse cell (cx, cy), and the busy cells: those at or above the quantile of non-empty ones."""
+def lane_distance(fixes: DataFrame, width: float, quantile: float = 0.7, sigma: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts of fixes by coarse cell (cx, cy), and the busy cells: those at or above the quantile of non-empty ones. With sigma the
+    counts are smoothed first, over the box of the cells that have any."""
     counts = fixes.groupBy(F.floor(F.col("lon") / width).alias("cx"), F.floor(F.col("lat") / width).alias("cy")).agg(F.count("*").alias("n"))
+    if sigma:
+        box = counts.agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1")).first()  # four scalars
+        if box["x0"] is not None:
+            rows, cols = box["y1"] - box["y0"] + 1, box["x1"] - box["x0"] + 1
+            grid = fixes.sparkSession.range(rows * cols).select(F.floor(F.col("id") / cols).alias("row"), (F.col("id") % cols).alias("col"))
+            at = counts.select((F.col("cy") - box["y0"]).alias("row"), (F.col("cx") - box["x0"]).alias("col"), "n")
+            dense = grid.join(at, ["row", "col"], "left").select("row", "col", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+            smooth = gaussian(dense, sigma, rows, cols).filter("value > 1e-12")
+            counts = smooth.select((F.col("col") + box["x0"]).alias("cx"), (F.col("row") + box["y0"]).alias("cy"), F.col("value").alias("n"))
     limit = counts.agg(F.percentile("n", quantile).alias("limit"))
     return counts, counts.crossJoin(F.broadcast(limit)).filter("n >= limit").select("cx", "cy")
 
@@ -281,3 +305,14 @@ def rasterise(ring_lonlat: list[tuple[float, float]], cells: DataFrame, x: Colum
     from tidemark.functions.geo import point_in_ring
 
     return cells.filter(point_in_ring(x, y, ring_lonlat))
+
+
+def longest_ring(rings: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each region (keys) the ring of most vertices; the larger area, then the smaller number, settles equals."""
+    order = F.struct(F.size("vertices"), F.abs("area"), -F.col("ring"))
+    return rings.groupBy(*keys).agg(F.max_by(F.struct("ring", "area", "vertices"), order).alias("r")).select(*keys, "r.*")
+
+
+def unit_scale(value: Column, low_db: float = -30.0, high_db: float = 0.0) -> Column:
+    """Decibels as 0 to 1 between two levels, clipped."""
+    return F.least(F.greatest((value - low_db) / (high_db - low_db), F.lit(0.0)), F.lit(1.0))

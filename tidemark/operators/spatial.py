@@ -16,14 +16,16 @@ def cell_of(c: Column, origin: float, step: float, n: int) -> Column:
     return F.least(F.greatest(((c - origin) / step).cast("int"), F.lit(0)), F.lit(n - 1))
 
 
-def corner_table(grid: DataFrame, values: list[str]) -> DataFrame:
-    """Each cell (iy, ix) with its values and those of the next column, the next row and both: one lookup then serves
-    a bilinear interpolation."""
-    out = grid.select("iy", "ix", *[F.col(v).alias(f"{v}00") for v in values])
-    for dy, dx in ((0, 1), (1, 0), (1, 1)):
-        shifted = grid.select((F.col("iy") - dy).alias("iy"), (F.col("ix") - dx).alias("ix"), *[F.col(v).alias(f"{v}{dy}{dx}") for v in values])
-        out = out.join(shifted, ["iy", "ix"])
-    return out
+def corner_table(grid: DataFrame, values: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Each cell (keys, iy, ix) with its values and those of the next column, the next row and both: one lookup then serves
+    a bilinear interpolation. Every node is dealt to the four cells it is a corner of, which one aggregate puts together."""
+    keys = keys or []
+    corners = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1)]))
+    dealt = grid.select(*keys, "iy", "ix", *values, corners.alias("_c"))
+    pick = lambda v, dy, dx: F.max(F.when((F.col("_c.dy") == dy) & (F.col("_c.dx") == dx), F.col(v))).alias(f"{v}{dy}{dx}")
+    out = dealt.groupBy(*keys, (F.col("iy") - F.col("_c.dy")).cast("int").alias("iy"), (F.col("ix") - F.col("_c.dx")).cast("int").alias("ix"))
+    out = out.agg(F.count("*").alias("_n"), *[pick(v, dy, dx) for v in values for dy in (0, 1) for dx in (0, 1)])
+    return out.filter("_n = 4").drop("_n")
 
 
 def bilinear(points: DataFrame, grid: DataFrame, values: list[str], x0: float, y0: float, dx: float, dy: float, nx: int, ny: int) -> DataFrame:
@@ -37,12 +39,13 @@ def bilinear(points: DataFrame, grid: DataFrame, values: list[str], x0: float, y
     return joined.select(*points.columns, *[mixed(v).alias(v) for v in values])
 
 
-def resample(points: DataFrame, grid: DataFrame, values: list[str], x0: float, y0: float, dx: float, dy: float, nx: int, ny: int) -> DataFrame:
-    """Like `bilinear`, but the outermost cells' planes go on beyond the grid."""
+def resample(points: DataFrame, grid: DataFrame, values: list[str], x0: float, y0: float, dx: float, dy: float, nx: int, ny: int, keys: list[str] | None = None) -> DataFrame:
+    """Like `bilinear`, but the outermost cells' planes go on beyond the grid. keys: what points and grid share besides, as times."""
+    keys = keys or []
     fx, fy = (F.col("x") - x0) / dx, (F.col("y") - y0) / dy
     edge = lambda f, n: F.least(F.greatest(F.floor(f), F.lit(0)), F.lit(n - 2)).cast("int")
     rows = points.withColumn("_fx", fx).withColumn("_fy", fy).withColumn("ix", edge(F.col("_fx"), nx)).withColumn("iy", edge(F.col("_fy"), ny))
-    joined = rows.join(corner_table(grid, values), ["iy", "ix"])
+    joined = rows.join(corner_table(grid, values, keys), [*keys, "iy", "ix"])
     a, b = F.col("_fx") - F.col("ix"), F.col("_fy") - F.col("iy")
     mixed = lambda v: (F.col(f"{v}00") * (1 - a) + F.col(f"{v}01") * a) * (1 - b) + (F.col(f"{v}10") * (1 - a) + F.col(f"{v}11") * a) * b
     return joined.select(*points.columns, *[mixed(v).alias(v) for v in values])

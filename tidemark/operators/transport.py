@@ -12,10 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.geo import grid_convergence, to_grid_vector, utm_inverse
 from tidemark.functions.rng import hash_uniform
+from tidemark.operators.spatial import resample
+from tidemark.sources.readers import axes_agree
 
 ACTIVE, BEACHED, EXITED, PENDING = 1, 2, 3, 0
 MAX_FIELD_BYTES = 512 << 20
@@ -113,13 +116,15 @@ def _normals(ids: np.ndarray, step: int, seed: int) -> tuple[np.ndarray, np.ndar
     return radius * np.cos(2 * np.pi * draws[1]), radius * np.sin(2 * np.pi * draws[1])
 
 
-def run_particles(field: Field, x, y, seed_time, alpha, kh, ids, t_start: float, t_end: float, params: TransportParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def run_particles(field: Field, x, y, seed_time, alpha, kh, ids, t_start: float, t_end: float, params: TransportParams, state=None, step: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions and states at t_end. RK4 advection, windage at the step's middle, Euler-Maruyama diffusion; a particle
-    that leaves the grid or meets land stays where it was before. The last step is cut to end on t_end."""
+    that leaves the grid or meets land stays where it was before. The last step is cut to end on t_end. state and step go on from
+    an earlier run of whole steps."""
     x, y = x.astype(float).copy(), y.astype(float).copy()
     sign = 1.0 if t_end >= t_start else -1.0
-    state = np.where((seed_time <= t_start) if sign > 0 else (seed_time >= t_start), ACTIVE, PENDING).astype(np.int8)
-    t, step = t_start, 0
+    if state is None:
+        state = np.where((seed_time <= t_start) if sign > 0 else (seed_time >= t_start), ACTIVE, PENDING).astype(np.int8)
+    state, t = state.copy(), t_start
     while sign * (t_end - t) > 1e-9:
         h = sign * min(params.step_s, abs(t_end - t))
         due = (seed_time <= t + h) if sign > 0 else (seed_time >= t + h)
@@ -194,6 +199,90 @@ def history(seeds: DataFrame, field: Field, t_start: float, times: list[float],
     return rows.mapInArrow(run, "x double, y double, t0 double")
 
 
+def trails(seeds: DataFrame, field: Field, t_start: float, times: list[float], params: TransportParams = TransportParams(), first: int | None = None) -> DataFrame:
+    """(particle_id, origin, t, x, y, status) at t_start and each of the times, of all seeds or of the `first` ones by id. Times are whole
+    steps apart and lead one way, so positions are those of one run to the last time; particles that wait, are ashore or have left
+    are told by their status."""
+    stops = [t_start, *times]
+    hops = np.diff(stops)
+    if not len(hops) or (hops > 0).any() and (hops < 0).any() or (hops == 0).any():
+        raise ValueError("times must lead one way")
+    if any(abs(h / params.step_s - round(h / params.step_s)) > 1e-9 for h in hops):
+        raise ValueError("times must be whole steps apart")
+    if hops[0] < 0 and params.diffusion:
+        raise ValueError("diffusion can't run backward")
+    if not all(field.covers(t) for t in stops):
+        raise ValueError("the window is outside the forcing")
+    held = seeds.sparkSession.sparkContext.broadcast(field)
+    chosen = seeds if first is None else seeds.orderBy("particle_id").limit(first)
+    rows = with_parameters(chosen, params).select("particle_id", "origin", "x", "y", "seed_time", "alpha", "kh")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, _, x, y, seed_time, alpha, kh = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            state, step = None, 0
+            for before, now in zip([None, *stops[:-1]], stops, strict=True):
+                if before is None:
+                    late = seed_time > t_start if hops[0] > 0 else seed_time < t_start
+                    shown = np.where(late, PENDING, ACTIVE).astype(np.int8)
+                else:
+                    x, y, state = run_particles(held.value, x, y, seed_time, alpha, kh, ids, before, now, params, state, step)
+                    shown, step = state, step + round(abs(now - before) / params.step_s)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(ids), float(now))), pa.array(x.astype(float)), pa.array(y.astype(float)), pa.array(shown)], names=["particle_id", "origin", "t", "x", "y", "status"])
+
+    return rows.mapInArrow(run, "particle_id long, origin long, t double, x double, y double, status byte")
+
+
+def field_from_grids(currents: DataFrame, winds: DataFrame, land: DataFrame | None, zone: int, x0: float, y0: float, cell_m: float, nx: int, ny: int) -> Field:
+    """Read grids as a field on a metric grid of nx x ny nodes.
+
+    currents and winds are (time, latitude, longitude, u, v) on regular axes of their own, true east and north, with the same times a
+    fixed step apart; missing values count as 0. Both are interpolated to the nodes (beyond the grids their outer planes go on) and turned
+    by the grid's convergence. land is (latitude, longitude) of land nodes of the currents' grid (null: none); a node takes its nearest. Sizes
+    are checked before anything reaches the driver.
+    """
+    if not axes_agree(currents, winds):
+        raise ValueError("currents and winds have different times")
+    times = sorted(r["t"] for r in currents.select(F.unix_micros("time").alias("t")).distinct().limit(1 << 16).collect())  # a bounded axis
+    steps = np.diff(times)
+    if len(times) < 2 or (steps != steps[0]).any():
+        raise ValueError("times must be a fixed step apart")
+    if nx * ny * (len(times) * 32 + 1) > MAX_FIELD_BYTES:
+        raise ValueError("the field is too large to broadcast; cut it by region or time first")
+    spark = currents.sparkSession
+    nodes = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("node_x"), F.floor(F.col("id") / nx).cast("int").alias("node_y"))
+    lon, lat = utm_inverse(x0 + F.col("node_x") * cell_m, y0 + F.col("node_y") * cell_m, F.lit(zone))
+    nodes = nodes.withColumn("lon", lon).withColumn("lat", lat).withColumn("convergence", grid_convergence(F.col("lon"), F.col("lat"), F.lit(zone)))
+
+    def cube(grid: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        axis = grid.agg(*[f(c).alias(f"{n}_{c}") for c in ("longitude", "latitude") for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count_distinct))]).first()  # six scalars
+        lon0, lat0, n_lon, n_lat = axis["lo_longitude"], axis["lo_latitude"], axis["n_longitude"], axis["n_latitude"]
+        if min(n_lon, n_lat) < 2:
+            raise ValueError("a grid needs two nodes on each axis")
+        d_lon, d_lat = (axis["hi_longitude"] - lon0) / (n_lon - 1), (axis["hi_latitude"] - lat0) / (n_lat - 1)
+        whole = lambda c: F.when(F.col(c).isNull() | F.isnan(c), 0.0).otherwise(F.col(c)).cast("double").alias(c)
+        placed = grid.select(F.unix_micros("time").alias("t_us"), F.round((F.col("latitude") - lat0) / d_lat).cast("int").alias("iy"), F.round((F.col("longitude") - lon0) / d_lon).cast("int").alias("ix"), whole("u"), whole("v"))
+        asked = nodes.select("node_x", "node_y", "convergence", F.col("lon").alias("x"), F.col("lat").alias("y")).crossJoin(F.broadcast(spark.createDataFrame([(t,) for t in times], "t_us long")))
+        found = resample(asked, placed, ["u", "v"], lon0, lat0, d_lon, d_lat, n_lon, n_lat, keys=["t_us"])
+        gx, gy = to_grid_vector(F.col("u"), F.col("v"), F.col("convergence"))
+        rows = found.select("t_us", "node_y", "node_x", gx.alias("u"), gy.alias("v")).toPandas().sort_values(["t_us", "node_y", "node_x"])
+        if len(rows) != len(times) * ny * nx:
+            raise ValueError("a grid has holes: every time needs every node")
+        return tuple(rows[c].to_numpy(float).reshape(len(times), ny, nx) for c in ("u", "v"))
+
+    shore = np.zeros((ny, nx), bool)
+    if land is not None:
+        marks = currents.select("latitude", "longitude").distinct().join(land.select("latitude", "longitude").distinct().withColumn("land", F.lit(True)), ["latitude", "longitude"], "left")
+        axis = marks.agg(F.min("longitude").alias("x"), F.min("latitude").alias("y"), F.max("longitude").alias("x1"), F.max("latitude").alias("y1"), F.count_distinct("longitude").alias("nx"), F.count_distinct("latitude").alias("ny")).first()
+        d_lon, d_lat = (axis["x1"] - axis["x"]) / (axis["nx"] - 1), (axis["y1"] - axis["y"]) / (axis["ny"] - 1)
+        near = lambda c, o, d, n: F.least(F.greatest(F.round((c - o) / d), F.lit(0)), F.lit(n - 1)).cast("int")
+        at = marks.filter("land").select(near(F.col("longitude"), axis["x"], d_lon, axis["nx"]).alias("ix"), near(F.col("latitude"), axis["y"], d_lat, axis["ny"]).alias("iy")).distinct()
+        hit = nodes.select("node_x", "node_y", near(F.col("lon"), axis["x"], d_lon, axis["nx"]).alias("ix"), near(F.col("lat"), axis["y"], d_lat, axis["ny"]).alias("iy")).join(at, ["ix", "iy"], "left_semi").toPandas()
+        shore[hit["node_y"], hit["node_x"]] = True
+    (u, v), (uw, vw) = cube(currents), cube(winds)
+    return Field(x0, y0, cell_m, cell_m, 0.0, float(steps[0]) / 1e6, u, v, uw, vw, shore)
+
+
 def outcomes(trajectories: DataFrame) -> DataFrame:
     return trajectories.groupBy("status").agg(F.count("*").alias("n"))
 
@@ -209,12 +298,15 @@ def hypothesis_seeds(grid: DataFrame, each: int, cell: float, seed: int = 0) ->
     return rows.select((F.col("hyp") * each + F.col("m")).alias("particle_id"), F.col("hyp").alias("origin"), (F.col("x") + jitter(11)).alias("x"), (F.col("y") + jitter(12)).alias("y"), F.col("t0").cast("double").alias("seed_time"))
 
 
-def release_seeds(positions: DataFrame, each: int, window_s: float, offset: int = 0, seed: int = 0) -> DataFrame:
-    """Seeds of movers by release window (mover, bin, w_from seconds, x, y): `each` particles over the window. origin counts
-    (mover, bin) from offset in their order, so groups of seeds can be put together by union."""
-    order = Window.orderBy("mover", "bin")
-    keyed = positions.select("mover", "bin").distinct().withColumn("origin", F.row_number().over(order) - 1 + offset)  # one row a hypothesis
-    rows = positions.join(F.broadcast(keyed), ["mover", "bin"]).select("*", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("m"))
+def release_origin(mover: Column, bin_: Column) -> Column:
+    """The source number of a mover's release window: 40 bits of a hash, the same wherever it is computed."""
+    return F.xxhash64(mover.cast("string"), bin_.cast("long")).bitwiseAND((1 << 40) - 1)
+
+
+def release_seeds(positions: DataFrame, each: int, window_s: float, seed: int = 0) -> DataFrame:
+    """Seeds of movers by release window (mover, bin, w_from seconds, x, y): `each` particles over the window. origin is
+    `release_origin`, so no order over all movers is needed and groups of seeds can be put together by union."""
+    rows = positions.withColumn("origin", release_origin(F.col("mover"), F.col("bin"))).select("*", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("m"))
     when = F.col("w_from") + hash_uniform(seed, 13, F.col("origin"), F.col("m")) * window_s
     return rows.select((F.col("origin") * each + F.col("m")).cast("long").alias("particle_id"), F.col("origin").cast("long"), "x", "y", when.alias("seed_time"))
 

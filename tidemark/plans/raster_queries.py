@@ -136,8 +136,8 @@ def region_outline(spark, sf_dir):
     return R.outlines(cells)
 
 
-@query(f"""WITH {RASTER_SQL}, {DARK_SQL} SELECT count(*) AS edges FROM (SELECT row, col - 1 AS c FROM dk) x, (SELECT 1) y WHERE FALSE UNION ALL
-    SELECT count(*) FROM (SELECT d.row, d.col, o.dr, o.dc FROM dk d, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dr, dc) WHERE NOT EXISTS (SELECT 1 FROM dk e WHERE e.row = d.row + o.dr AND e.col = d.col + o.dc)) z""".replace("SELECT count(*) AS edges FROM (SELECT row, col - 1 AS c FROM dk) x, (SELECT 1) y WHERE FALSE UNION ALL\n    SELECT count(*) FROM", "SELECT count(*) AS edges FROM"))
+@query(f"""WITH {RASTER_SQL}, {DARK_SQL} SELECT count(*) AS edges FROM (SELECT d.row, d.col, o.dr, o.dc FROM dk d, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dr, dc)
+    WHERE NOT EXISTS (SELECT 1 FROM dk e WHERE e.row = d.row + o.dr AND e.col = d.col + o.dc)) z""")
 def boundary_edges(spark, sf_dir):
     return R.region_edges(dark(spark)).agg(F.count("*").alias("edges"))
 
@@ -297,13 +297,15 @@ def hypothesis_seeds(spark, sf_dir):
     return X.hypothesis_seeds(grid, 5, 100.0).select("particle_id", "origin", "seed_time")
 
 
-@query("SELECT origin, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY s_suppkey, b) - 1) AS origin FROM supplier CROSS JOIN (SELECT range AS b FROM range(3)) r1) x, (SELECT range AS m FROM range(4)) r2 GROUP BY 1 UNION ALL SELECT 100000 + range, 1 FROM range(8)")
+@query("SELECT s_suppkey AS mover, b AS bin, 4 AS n FROM supplier CROSS JOIN (SELECT range AS b FROM range(3)) r UNION ALL SELECT -1, range, 1 FROM range(8)")
 def seed_union(spark, sf_dir):
-    """Seeds of movers by window, with those of a source that does not transmit behind them."""
-    movers = table(spark, sf_dir, "supplier").select(F.dense_rank().over(Window.orderBy("s_suppkey")).alias("mover"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    """Seeds of movers by window, with those of a source that does not transmit behind them, by what their origins stand for."""
+    movers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("mover"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     at = movers.crossJoin(F.broadcast(spark.range(3).select(F.col("id").alias("bin"), (F.col("id") * 7200.0).alias("w_from"))))
-    dark_seeds = spark.range(8).select(F.col("id").alias("particle_id"), (F.lit(100_000) + F.col("id")).alias("origin"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("seed_time"))
-    return X.release_seeds(at, 4, 7200.0).unionByName(dark_seeds).groupBy("origin").agg(F.count("*").alias("n"))
+    dark_at = spark.range(8).select(F.lit(-1).cast("long").alias("mover"), F.col("id").alias("bin"), F.lit(0.0).alias("w_from"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    seeds = X.release_seeds(at, 4, 7200.0).unionByName(X.release_seeds(dark_at, 1, 7200.0))
+    named = at.select("mover", "bin").unionByName(dark_at.select("mover", "bin")).withColumn("origin", X.release_origin(F.col("mover"), F.col("bin")))
+    return seeds.join(named, "origin").groupBy("mover", "bin").agg(F.count("*").cast("int").alias("n"))
 
 
 @query()

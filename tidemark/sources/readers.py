@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.contracts import FORCING, MANIFEST, REQUIRED_LOG, assert_schema, assert_utc
@@ -21,16 +21,18 @@ DAY_FIRST = "dd/MM/yyyy HH:mm:ss"
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet log with its required columns; mmsi is text, timestamps are instants, and t_us and ord are added."""
     log = assert_utc(assert_schema(spark.read.parquet(path), REQUIRED_LOG), "timestamp")
-    log = log.withColumn("mmsi", F.lpad(F.col("mmsi").cast("string"), 9, "0")).withColumn("t_us", F.unix_micros("timestamp"))
-    return log if "ord" in log.columns else log.withColumn("ord", F.xxhash64(*log.columns))
+    if "ord" not in log.columns:
+        log = log.withColumn("ord", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))  # the input's own order
+    return log.withColumn("mmsi", F.lpad(F.col("mmsi").cast("string"), 9, "0")).withColumn("t_us", F.unix_micros("timestamp"))
 
 
 def read_external_log(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, window_us: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept rows, counts by reason) of a CSV log with day-first times. Headers are matched without case; values that do not
-    parse, positions out of range and rows outside the box (lon, lat, lon, lat) or window are counted, not just dropped."""
+    parse, positions out of range and rows outside the box (lon, lat, lon, lat) or window are counted, not just dropped. ord counts rows
+    in the order of the scan, so kept rows enter `positions.reconstruct` as they are."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     renamed = raw.select(*[F.col(f"`{c}`").alias(HEADERS[c.strip().lower()]) for c in raw.columns if c.strip().lower() in HEADERS])
-    assert_schema(renamed, REQUIRED_LOG)
+    renamed = assert_schema(renamed, REQUIRED_LOG).withColumn("ord", F.monotonically_increasing_id())
     number = lambda c: F.expr(f"try_cast({c} AS DOUBLE)")
     rows = renamed.withColumns({c: number(c) for c in ("lat", "lon", "sog_kn", "cog_deg", "heading_deg", "length_m") if c in renamed.columns})
     rows = rows.withColumn("timestamp", F.try_to_timestamp("timestamp", F.lit(DAY_FIRST))).withColumn("t_us", F.unix_micros("timestamp")).withColumn("mmsi", F.lpad("mmsi", 9, "0"))
@@ -68,6 +70,19 @@ def normalise_grid(grid: DataFrame) -> DataFrame:
     return grid.withColumn("longitude", F.pmod(F.col("longitude") + 180, F.lit(360)) - 180)
 
 
+def assert_regular(grid: DataFrame) -> DataFrame:
+    """grid, or an error where a time has a node twice or an axis is not evenly spaced (to a thousandth of its step)."""
+    twice = grid.groupBy("time", "latitude", "longitude").agg(F.count("*").alias("n")).filter("n > 1")
+    if not twice.isEmpty():
+        raise ValueError("a node stands twice at one time")
+    for axis in ("latitude", "longitude"):
+        steps = grid.select(axis).distinct().select((F.col(axis) - F.lag(axis).over(Window.orderBy(axis))).alias("d"))  # one axis of a grid
+        found = steps.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).first()
+        if found["lo"] is not None and found["hi"] - found["lo"] > 1e-3 * found["hi"]:
+            raise ValueError(f"{axis} is not evenly spaced")
+    return grid
+
+
 def subset(grid: DataFrame, box: tuple[float, float, float, float], t_start, t_end, margin_deg: float = 0.5, margin_hours: int = 2) -> DataFrame:
     """Rows inside the box and window with margins, ends included; plain comparisons, so they reach the scan."""
     margin = F.expr(f"INTERVAL {margin_hours} HOURS")
@@ -88,6 +103,23 @@ def read_scene(spark: SparkSession, path: str, height: int) -> DataFrame:
     return spark.read.parquet(path).withColumn("row", F.lit(height - 1) - F.col("row"))
 
 
+def scene_axes(scene: DataFrame, affine: tuple[float, float, float, float, float, float], height: int) -> DataFrame:
+    """A scene whose rows count northward with x and y of the cells' centres, from the affine of its northward-up file: (width of a cell, row
+    turn, left edge, column turn, negative height of a cell, upper edge). A turned scene is refused."""
+    a, b, left, d, e, upper = affine
+    if b or d:
+        raise ValueError("a turned scene has no axes")
+    file_row = F.lit(height - 1) - F.col("row")
+    return scene.withColumn("x", left + a * (F.col("col") + 0.5)).withColumn("y", upper + e * (file_row + 0.5))
+
+
+def assert_georeferenced(crs: str | None) -> str:
+    """A scene's reference system, or an error where it has none."""
+    if not crs:
+        raise ValueError("the scene has no reference system")
+    return crs
+
+
 def scene_guards(scene: DataFrame, value: str = "value") -> DataFrame:
     """One row (p01, p50, p99, linear, out_of_range): a scene in linear units or with an odd median is to be refused."""
     out = scene.agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("p"))

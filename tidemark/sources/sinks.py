@@ -9,7 +9,7 @@ from tidemark.operators.posterior import peak_normalised
 
 
 def write_currents(grid: DataFrame, path: str, u: str = "u", v: str = "v") -> DataFrame:
-    """Write with missing values as 0, and give the share that was missing."""
+    """Write with missing values as 0, and give the share of nodes that missed the first component."""
     gone = lambda c: F.col(c).isNull() | F.isnan(c)
     note = grid.agg(F.avg(gone(u).cast("double")).alias("missing_share"))
     grid.withColumns({c: F.when(gone(c), 0.0).otherwise(F.col(c)) for c in (u, v)}).write.mode("overwrite").parquet(path)
