@@ -368,3 +368,39 @@ def test_pipeline(spark, sf):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_benchmark_paraphrases_and_text_keys(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    vocabulary = [word() for _ in range(400)]
+    text = lambda n: [str(w) for w in rng.choice(vocabulary, n)]
+    items = {f"item-{i}": [word() if rng.random() < 0.5 else w for w in text(30)] for i in range(20)}
+    rows, planted = [], set()
+    for i in range(120):
+        words = text(200)
+        if i < 60:
+            name = f"item-{i % 20}"
+            copy = [w if rng.random() > 0.2 else str(rng.choice(vocabulary)) for w in items[name][:22]] + items[name][22:]
+            at = int(rng.integers(0, 170))
+            words[at : at + 30] = copy
+            planted.add((f"doc {i}", name))
+        rows.append((f"doc {i}", " ".join(words)))
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id string, text string")
+    got = {(r[0], r[1]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id string, text string"), bench).select("doc_id", "item_id").collect()}
+    assert len(got & planted) >= 0.9 * len(planted) and got <= planted
+
+
+def test_closest_window_is_exact():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        item, text = tuple(rng.integers(0, 8, 7).tolist()), rng.integers(0, 12, 40).tolist()
+        size = -(-3 * len(item) // 2)
+        best = max(decontaminate.common_subsequence(text[a : a + size], item) for a in range(len(text)))
+        assert decontaminate.common_subsequence(decontaminate.closest(text, item), item) == best
+
+
+def test_line_dedup_identical_rows_and_nulls(spark):
+    rows = [(1, "one line of text\nanother line"), (1, "one line of text\nanother line"), (None, None), (2, "")]
+    got = [tuple(r) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [(None, None, 0, 0), (1, rows[0][1], 2, 2), (1, rows[0][1], 2, 2), (2, "", 0, 0)]

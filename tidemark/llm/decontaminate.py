@@ -2,8 +2,8 @@
 
 Documents are cut into passages of `SIZE` words, one every `STRIDE` words, over their whole length. TF-IDF vectors of the
 passages over the benchmark's words (document frequencies are counted over all passages) go through a distributed
-randomised SVD (every second passage: side by side they cover the texts); the latent space is spanned by the leading singular vectors and the items' own vectors, so that rare
-words of an item keep their weight. Passages of enough cosine to an item are candidates, which the longest common
+randomised SVD (every second passage: side by side they cover the texts); the latent space is spanned by the leading RANK singular
+vectors alone. Passages of enough cosine to an item in it are candidates, which the longest common
 subsequence with the item and a check of its answer (the last sentence) confirm on the text around the passage.
 
 Benchmarks are worked through in blocks of `block` items; a block's vectors are the only thing that is broadcast.
@@ -26,9 +26,10 @@ from tidemark.llm.scratch import remove, written
 from tidemark.llm.vectors import added
 
 SIZE, STRIDE = 64, 32
-RANK = 32
-#: Words in more than this share of passages (and in more than 50) have no weight, unless an item has too few others.
-COMMON_SHARE, COMMON_LEAST = 0.02, 50
+RANK = 64
+#: Words in more than this share of passages have no weight, but for items that have fewer than three others: those are searched by
+#: themselves, with all words weighed.
+COMMON_SHARE = 0.02
 
 
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
@@ -37,7 +38,7 @@ _SENTENCE = re.compile(r"[.?!]\s")
 
 @dataclass(frozen=True)
 class Item:
-    item_id: int
+    item_id: object
     words: tuple[int, ...]  # feature numbers in order
     answer: tuple[int, ...]  # those of the last sentence if it has five or more, else of the last quarter (five at least)
 
@@ -79,7 +80,7 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield begin, end, tb.span_hash(low, starts, ends), first
 
 
-def read_items(rows: list[tuple[int, str | None]]) -> tuple[Features, list[Item]]:
+def read_items(rows: list[tuple[object, str | None]]) -> tuple[Features, list[Item]]:
     """Features and items of (item_id, text); an item without words can't be found and is left out."""
     texts = pa.array([t for _, t in rows], pa.string())
     hashes: list[np.ndarray] = []
@@ -263,23 +264,35 @@ def common_subsequence(text: list[int], item: tuple[int, ...]) -> int:
 
 
 def closest(text: list[int], item: tuple[int, ...]) -> list[int]:
-    """The stretch of text, half as long again as the item, that has the longest common subsequence with it. Matches
-    strewn over a longer text say nothing."""
-    size, step = -(-3 * len(item) // 2), max(1, len(item) // 8)
-    starts = range(0, max(1, len(text) - size + step), step)
-    return max((text[a : a + size] for a in starts), key=lambda x: common_subsequence(x, item))
+    """The first stretch of text, half as long again as the item, of the longest common subsequence with it, over all starts. Matches
+    strewn over a longer text say nothing.
+
+    Only stretches that start at a word of the item can be longest, and those that hold no more of its words than the best
+    common subsequence so far can't be longer.
+    """
+    size = -(-3 * len(item) // 2)
+    held = [word in item_words for item_words in (set(item),) for word in text]
+    upto = [0, *itertools.accumulate(held)]
+    best, found = -1, text[:size]
+    for start, here in enumerate(held):
+        if here and upto[min(len(text), start + size)] - upto[start] > best:
+            length = common_subsequence(text[start : start + size], item)
+            if length > best:
+                best, found = length, text[start : start + size]
+    return found
 
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    cosine: float = 0.4, lcs: float = 0.6, answer: float = 0.5, block: int = 256,
+    cosine: float = 0.25, lcs: float = 0.6, answer: float = 0.5, block: int = 256,
 ) -> DataFrame:
     """(key, item, cosine, lcs_share, answer_share): documents that hold an item, with each item's best passage.
 
     A passage counts if its cosine to the item in the latent space is at least `cosine`, the longest common subsequence
     of the words around it with the item has at least `lcs` of the item's words, and that with the item's answer
     at least `answer` of the answer's. Words are runs of letters and digits, Latin capitals as small letters; null and empty texts
-    hold nothing, items without words are never found, and equal items are found alike. Rows that share a key share findings.
+    hold nothing, items without words are never found, and equal items are found alike. Rows that share a key share findings. Keys may be of
+    any type; an empty table gives no row.
     """
     spark = docs.sparkSession
     id_type = docs.schema[key].dataType.simpleString()
@@ -290,34 +303,22 @@ def leaks(
         rows = [tuple(r) for r in itertools.islice(source, block)]
         if not rows:
             return out
-        out = out.unionByName(_leaks_of(docs, rows, key, text, item_key, cosine, lcs, answer))
+        out = out.unionByName(_leaks_of(docs, rows, key, text, item_key, item_type, cosine, lcs, answer))
         if len(rows) < block:
             return out
 
 
-def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key: str, cosine: float, lcs: float, answer: float) -> DataFrame:
-    spark = docs.sparkSession
-    id_type = docs.schema[key].dataType.simpleString()
-    features, items = read_items(rows)
-    m = len(features.hashes)
-    hits, hits_path = written(find_words(docs, features, key, text), "benchmark-words")
-    totals = hits.filter("df is not null")
-    df = added(totals.select(F.lit(0).alias("part"), F.col("df").alias("value")), "<i8").astype(float) if m else np.zeros(0)
-    df = df if len(df) == m else np.zeros(m)
-    whole = totals.agg(F.sum("n_passages")).first()[0] or 0
-    weights = np.log((1 + whole) / (1 + df)) + 1
-    common = df > max(COMMON_LEAST, COMMON_SHARE * whole)
-    for item in items:
-        if len(set(item.words)) - len({w for w in item.words if common[w]}) < 3:
-            common[list(item.words)] = False
-    weights[common] = 0.0
+def _candidates(hits: DataFrame, weights: np.ndarray, items: list[Item], chosen: list[int], id_type: str, cosine: float, lcs: float, rank: int = RANK) -> DataFrame:
+    """(id, row_hash, start, item, cosine): passages close to one of the chosen items in the latent space, whose surroundings hold
+    enough of its words."""
+    spark = hits.sparkSession
+    m = len(weights)
+    numbers, items = np.array(chosen), [items[n] for n in chosen]
     queries = np.zeros((len(items), m), np.float64)
     for i, item in enumerate(items):
         queries[i, list(set(item.words))] = weights[list(set(item.words))]
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
-    latent = singular_vectors(hits, weights) if m else np.zeros((0, 0))
-    basis, upper = np.linalg.qr(np.concatenate((queries.T, latent), axis=1)) if m else (np.zeros((0, 0)), np.zeros((0, 0)))
-    basis = basis[:, np.abs(np.diag(upper)) > 1e-9].astype(np.float32)
+    basis = singular_vectors(hits, weights, rank).astype(np.float32)
     targets = (queries @ basis).astype(np.float32)
     targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-30)
     sizes = np.array([len(i.words) for i in items])
@@ -346,13 +347,6 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
             at = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(3)]
             words = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(4)]
             found: list[tuple[int, int, int, float]] = []
-            # The items' own vectors are in the basis, so a passage without a weighted word of an able item has cosine 0 to it.
-            shared = (able.astype(np.float32) @ (times.T > 0).astype(np.float32)) > 0
-            if len(passage):
-                flagged = shared[np.searchsorted(first, passage, side="right") - 1, feature]
-                opens = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-                keep = np.repeat(np.logical_or.reduceat(flagged, opens), np.diff(np.append(opens, len(passage))))
-                passage, feature, value = passage[keep], feature[keep], value[keep]
             for begin, end in _sliced(passage):
                 present, made = _project(passage[begin:end], feature[begin:end], value[begin:end], basis)
                 row = np.searchsorted(first, present, side="right") - 1
@@ -366,12 +360,31 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
             if found:
                 row, start, item, close = zip(*found, strict=True)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(item, pa.int32()), pa.array(close)], names=["id", "row_hash", "start", "item", "cosine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(numbers[list(item)], pa.int32()), pa.array(close)], names=["id", "row_hash", "start", "item", "cosine"])
+
+    return hits.filter("n_words is not null").mapInArrow(tb.lean(search), f"id {id_type}, row_hash long, start int, item int, cosine double")
+
 
-    empty = not items
-    candidates = hits.filter("n_words is not null").mapInArrow(tb.lean(search), f"id {id_type}, row_hash long, start int, item int, cosine double")
-    if empty:
-        candidates = candidates.limit(0)
+def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key: str, item_type: str, cosine: float, lcs: float, answer: float) -> DataFrame:
+    spark = docs.sparkSession
+    id_type = docs.schema[key].dataType.simpleString()
+    features, items = read_items(rows)
+    m = len(features.hashes)
+    hits, hits_path = written(find_words(docs, features, key, text), "benchmark-words")
+    totals = hits.filter("df is not null")
+    df = added(totals.select(F.lit(0).alias("part"), F.col("df").alias("value")), "<i8").astype(float) if m else np.zeros(0)
+    df = df if len(df) == m else np.zeros(m)
+    whole = totals.agg(F.sum("n_passages")).first()[0] or 0
+    plain = np.log((1 + whole) / (1 + df)) + 1
+    common = df > COMMON_SHARE * whole
+    poor = [len({w for w in item.words if not common[w]}) < 3 for item in items]
+    candidates = None
+    for weights, chosen in ((np.where(common, 0.0, plain), [n for n, p in enumerate(poor) if not p]), (plain, [n for n, p in enumerate(poor) if p])):
+        if chosen:
+            one = _candidates(hits, weights, items, chosen, id_type, cosine, lcs)
+            candidates = one if candidates is None else candidates.unionByName(one)
+    if candidates is None:
+        candidates = spark.createDataFrame([], f"id {id_type}, row_hash long, start int, item int, cosine double")
     candidates = candidates.groupBy("id", "row_hash").agg(F.collect_list(F.struct("start", "item", "cosine")).alias("found"))  # at most a passage's items a passage
     candidates, _ = written(candidates, "candidates")
     remove(spark, hits_path)
@@ -414,7 +427,7 @@ def _leaks_of(docs: DataFrame, rows: list[tuple], key: str, text: str, item_key:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=[key, "item", "cosine", "lcs_share", "answer_share"])
 
     confirmed = joined.mapInArrow(tb.lean(verify), f"{key} {id_type}, item int, cosine double, lcs_share double, answer_share double")
-    found_ids = spark.createDataFrame([(n, item.item_id) for n, item in enumerate(items)], "item int, item_id long") if items else spark.createDataFrame([], "item int, item_id long")
+    found_ids = spark.createDataFrame([(n, item.item_id) for n, item in enumerate(items)], f"item int, item_id {item_type}")
     out = confirmed.join(F.broadcast(found_ids), "item")
     out = out.groupBy(key, F.col("item_id").alias(item_key)).agg(F.max_by(F.struct("cosine", "lcs_share", "answer_share"), F.struct("lcs_share", "answer_share", "cosine")).alias("b"))
     return out.select(key, item_key, "b.*")
