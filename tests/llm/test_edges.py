@@ -404,3 +404,9 @@ def test_line_dedup_identical_rows_and_nulls(spark):
     rows = [(1, "one line of text\nanother line"), (1, "one line of text\nanother line"), (None, None), (2, "")]
     got = [tuple(r) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == [(None, None, 0, 0), (1, rows[0][1], 2, 2), (1, rows[0][1], 2, 2), (2, "", 0, 0)]
+
+
+def test_language_fit_takes_rows_without_keys(spark):
+    rows = [(None, "der hund und die katze", "de"), (None, "the dog and the cat", "en"), (None, "der hund und die katze", "de"), (1, None, "de")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ("de", "en")

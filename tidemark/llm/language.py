@@ -125,14 +125,20 @@ def fit(
     rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600,
     penalty: float = 8.0, min_script_share: float = 0.01,
 ) -> LanguageModel:
-    """Fit on at most `per_language` rows of each language, those of smallest key hash; rows without a label
-    or text are left out. No labelled row at all gives a model that knows no language."""
-    order = Window.partitionBy("_lang").orderBy("_hash", "_key")
-    named = rows.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    """Fit on at most `per_language` distinct rows of each language, those of smallest hash of key and text (a null key is a value like others);
+    rows without a label or text are left out. No labelled row at all gives a model that knows no language.
+
+    A language's rows are thinned by a hash threshold from its count before any order is taken, so no task sees more than a few times
+    `per_language` hashes of one language, however many rows it has.
+    """
+    named = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(F.col(key), F.col(text)).alias("_hash"))
     named = named.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    named = named.withColumn("_hash", F.xxhash64("_key"))
-    chosen = named.select("_lang", "_hash", "_key").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
-    sample = named.join(F.broadcast(chosen.select("_hash", "_key", "_lang").distinct()), ["_hash", "_key", "_lang"], "left_semi")
+    counts = named.groupBy("_lang").agg(F.count("*").alias("_rows"))
+    even = F.pmod(F.xxhash64("_hash"), F.lit(1 << 30)) / float(1 << 30)
+    few = named.select("_lang", "_hash").join(F.broadcast(counts), "_lang").filter(even * F.col("_rows") < 6.0 * per_language)  # a row a language
+    order = Window.partitionBy("_lang").orderBy("_hash")
+    chosen = few.select("_lang", "_hash").distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).select("_lang", "_hash")
+    sample = named.join(F.broadcast(chosen), ["_hash", "_lang"], "left_semi").groupBy("_hash", "_lang").agg(F.first("_text").alias("_text"))
     schema = "lang string, two binary, three binary, script binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
