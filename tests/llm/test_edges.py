@@ -93,8 +93,8 @@ def test_one_word_edits_meet(spark):
             left, right = (" ".join(word(5) for _ in range(size // 6 + 1))[: (size - 7) // 2] for _ in range(2))
             rows += [f"{left} {word(5)} {right}", f"{left} {word(5)} {right}"]
             pairs += 1
-    sets = [{x[i : i + 9] for i in range(len(x) - 8)} for x in rows]
-    want = [len(p & q) >= 0.4 * len(p | q) for p, q in zip(sets[::2], sets[1::2], strict=True)]  # brute force
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in rows]
+    want = [len(p & q) >= 0.6 * len(p | q) for p, q in zip(sets[::2], sets[1::2], strict=True)]  # brute force
     got = by_id(linededup.dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
     met = [got[2 * i + 1]["n_kept"] == 0 for i in range(pairs)]
     assert sum(want) >= 0.95 * pairs and not any(m and not w for m, w in zip(met, want, strict=True))
@@ -112,7 +112,7 @@ def test_line_components_against_all_pairs(spark):
         lines.append(" ".join(line))
     texts = ["\n".join(lines[i : i + 3]) for i in range(0, len(lines), 3)]
     flat = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
-    sets = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for _, _, x in flat]
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for _, _, x in flat]
     parent = list(range(len(flat)))
 
     def find(x):
@@ -123,7 +123,7 @@ def test_line_components_against_all_pairs(spark):
     for a in range(len(flat)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if flat[a][2] == flat[b][2] or both >= 0.4 * (len(sets[a]) + len(sets[b]) - both):
+            if flat[a][2] == flat[b][2] or both >= 0.6 * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     got = by_id(linededup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chunk_bytes=2000))

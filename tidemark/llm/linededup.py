@@ -2,8 +2,9 @@
 
 Equal lines become one node by their hash first. Lines are alike where their sets of distinct shingles of `SHINGLE`
 characters have a Jaccard similarity of THRESHOLD: one replaced word of five letters keeps a line of 40 characters linked.
-Candidates agree in all ROWS minima of one of BANDS bands: a pair of similarity 0.42 (40 characters, one word) is met with
-probability 0.95, one of 0.5 with 0.995.
+Candidates agree in all ROWS minima of one of BANDS bands. The minima run over longer shingles of `PROBE` characters, of which
+unlike lines share few, so bands stay selective. An edited line shares fewer of them too: with one word of five letters replaced,
+0.42 at 40 characters and 0.5 at 50, where a pair is met with probability 0.95 and 0.995; more beyond.
 
 Most lines share no band with another. Which values are shared is found on packed arrays: texts are dealt into chunks of
 about `chunk_bytes`; each chunk asks for its distinct values in pieces of the hash range; one reduction a piece sorts a bounded
@@ -25,8 +26,8 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.neardup import fine_bits, pairs_apart
 from tidemark.llm.scratch import remove, written
 
-SHINGLE, BANDS, ROWS = 9, 40, 3
-THRESHOLD = 0.4
+SHINGLE, PROBE, BANDS, ROWS = 5, 9, 40, 3
+THRESHOLD = 0.6
 
 _rng = np.random.default_rng(20240301)
 _ODD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -36,12 +37,14 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 OWN, TWICE = 65534, 65535
 
 
-def character_shingles(points: np.ndarray) -> np.ndarray:
-    """At each code point the hash of the SHINGLE points from there on (0 beyond the end), by doubling."""
+def character_shingles(points: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """At each code point the hash of the `size` points (SHINGLE or PROBE) from there on (0 beyond the end), by doubling."""
     ahead = lambda x, n: np.concatenate((x[n:], np.zeros(min(n, len(x)), np.uint64)))
     one = tb.mix(points.astype(np.uint64) + np.uint64(1))
     two = one * _STEP + ahead(one, 1)
     four = two * _STEP * _STEP + ahead(two, 2)
+    if size == SHINGLE:
+        return four * _STEP + ahead(one, 4)
     eight = four * _STEP * _STEP * _STEP * _STEP + ahead(four, 4)
     return eight * _STEP + ahead(one, 8)
 
@@ -59,9 +62,9 @@ def _lines(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_values(points: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A row of BANDS 64-bit values for each line [first, last) of code points, none of which is shorter than a shingle."""
-    counts = last - first - SHINGLE + 1
-    low = (tb.mix(character_shingles(points)) >> np.uint64(32)).astype(np.uint32)[tb.ranges(first, counts)]
+    """A row of BANDS 64-bit values for each line [first, last) of code points, none of which is shorter than PROBE."""
+    counts = last - first - PROBE + 1
+    low = (tb.mix(character_shingles(points, PROBE)) >> np.uint64(32)).astype(np.uint32)[tb.ranges(first, counts)]
     at = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
     out, turned = np.empty((len(first), BANDS), np.uint64), np.empty_like(low)
     for k in range(BANDS if len(first) else 0):
@@ -85,7 +88,7 @@ def _read(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
         held = solid[last] > solid[first]
         number = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1])[row]
         starts, ends, first, last, row, number = (x[held] for x in (starts, ends, first, last, row, number))
-        long = np.flatnonzero(last - first >= SHINGLE)
+        long = np.flatnonzero(last - first >= PROBE)
         yield begin, np.bincount(row, minlength=end - begin), row, number, tb.span_hash(buf, starts, ends), long, band_values(points, first[long], last[long]), buf, np.stack((starts, ends))
 
 
@@ -398,7 +401,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
     Lines end at line feeds; those without a character other than white space are never dropped nor counted. Equal
     lines, and lines linked through similarities of at least `threshold`, keep one occurrence: that of the smallest key,
-    row hash and line number; a null key comes first. A line of fewer than SHINGLE characters is like its equals alone. n_lines
+    row hash and line number; a null key comes first. A line of fewer than PROBE characters is like its equals alone. n_lines
     counts a text's lines, n_kept those that stay. A null text stays null with 0 lines. Identical rows are one document and get
     the same text. Columns named like an output give way to it; any other name may stand in docs. Keys may be of any type
     that can be sorted.
