@@ -35,6 +35,8 @@ _TAG = _rng.integers(0, 2**63, BANDS + 1, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Notes on values, see `ask`.
 OWN, TWICE = 65534, 65535
+#: Bits of a line's marks, see `_bounded`.
+CORE, REST = 1024, 2048
 
 
 def character_shingles(points: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -334,12 +336,14 @@ def linked(lines: DataFrame, threshold: float) -> DataFrame:
 
 
 def _bounded(open_: DataFrame, texts: DataFrame, threshold: float, small: int = 32) -> DataFrame:
-    """(token, id, label, core, rest) of the postings that can be alike with one of another label.
-
-    In a band of more than `small` lines, core is how much of a line's set the set of the band's hub (the line of most copies)
-    has, and rest how many of its other shingles stand in another line around that hub. An overlap with another line of the band
-    is at most core + rest, which bounds the size of the partner; a line for which the band has none so short, and of another
-    label, has no partner there. Bands of up to `small` lines have no bounds (null): their pairs are a fixed number a posting.
+    """(token, id, label, size, marks, more) of the postings that can be alike with one of another label.
+
+    In a band of more than `small` lines, a line is marked against the set of the band's hub (the line of most copies): a bit for
+    each of the hub's first CORE shingles that it has, and one for each of REST buckets that hold others of its shingles which stand
+    in another line around that hub. `more` counts what has no bit of its own: further shingles of the hub and second ones of a
+    bucket. Lines overlap by at most the bits that both have and the lesser `more`. An overlap with any line of the band is at most
+    a line's bits and `more`, which bounds the size of the partner; a line for which the band has none so short, and of another
+    label, has no partner there. Bands of up to `small` lines have no marks (null): their pairs are a fixed number a posting.
     """
     bands = open_.groupBy("token").agg(F.max_by("id", F.struct("copies", "id")).alias("hub"), F.count("*").alias("n")).filter(F.col("n") > small).select("token", "hub")
     around = open_.join(bands, "token")
@@ -350,27 +354,35 @@ def _bounded(open_: DataFrame, texts: DataFrame, threshold: float, small: int =
         for batch in batches:
             for begin, end in tb.splits_by(batch.column(0), 256):
                 part = batch.slice(begin, end - begin)
+                bits = np.zeros((len(part), CORE), np.uint8)
                 core, size, rest = [], [], []
-                for hub, text, spelled in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True):
+                for n, (hub, text, spelled) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True)):
                     if hub not in known:
                         if len(known) > 2048:
                             known.clear()
                         known[hub] = line_sets(spelled.as_py())
                     mine = line_sets(text)
-                    other = mine[known[hub].take(np.searchsorted(known[hub], mine), mode="clip") != mine]
-                    core.append(len(mine) - len(other))
+                    at = np.searchsorted(known[hub], mine)
+                    held = known[hub].take(at, mode="clip") == mine
+                    bits[n, at[held & (at < CORE)]] = 1
+                    core.append(int(held.sum()))
                     size.append(len(mine))
-                    rest.append(other.view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rest)]).astype(np.int32)), pa.array(np.concatenate(rest)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(core, pa.int64()), lists], names=["id", "hub", "size", "core", "others"])
+                    rest.append(mine[~held])
+                listed = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64)))
+                marks = listed(list(np.packbits(bits, axis=1, bitorder="little").view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(core, pa.int64()), marks, listed(rest)], names=["id", "hub", "size", "core", "marks", "others"])
 
     spark = open_.sparkSession
-    members, path = written(members.select("id", "hub", "text", "core").mapInArrow(tb.lean(split), "id long, hub long, size long, core long, others array<long>"), "cores")
+    members, path = written(members.select("id", "hub", "text", "core").mapInArrow(tb.lean(split), "id long, hub long, size long, core long, marks array<long>, others array<long>"), "cores")
     each = members.select("id", "hub", F.explode("others").alias("shingle"))
     common = each.groupBy("hub", "shingle").agg(F.count("*").alias("n")).filter("n > 1").select("hub", "shingle")
-    rest = each.join(common, ["hub", "shingle"]).groupBy("id", "hub").agg(F.count("*").alias("rest"))
-    known = members.select("id", "hub", "size", "core").join(rest, ["id", "hub"], "left").withColumn("rest", F.coalesce("rest", F.lit(0)))
-    rows = around.join(known, ["id", "hub"]).withColumn("most", (F.col("core") + F.col("rest")) * (1 + threshold) / threshold - F.col("size"))
+    place = F.pmod("shingle", F.lit(REST))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = [F.bit_or(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(REST // 64)]
+    rest = each.join(common, ["hub", "shingle"]).groupBy("id", "hub").agg(F.count("*").alias("rest"), F.array(*words).alias("others"))
+    known = members.select("id", "hub", "size", "core", "marks").join(rest, ["id", "hub"], "left")
+    known = known.select("id", "hub", "size", (F.col("core") + F.coalesce("rest", F.lit(0))).alias("held"), F.concat("marks", F.coalesce("others", F.array_repeat(F.lit(0).cast("long"), REST // 64))).alias("marks"))
+    rows = around.join(known, ["id", "hub"]).withColumn("most", F.col("held") * (1 + threshold) / threshold - F.col("size"))
     # The two shortest sizes of different labels tell whether a posting has a partner of another label that is short enough.
     shortest = rows.groupBy("token", "label").agg(F.min("size").alias("size")).groupBy("token").agg(F.min(F.struct("size", "label")).alias("one"))
     rows = rows.join(shortest, "token")
@@ -378,10 +390,10 @@ def _bounded(open_: DataFrame, texts: DataFrame, threshold: float, small: int =
     rows = rows.join(others, "token").filter(F.col("most") >= F.when(F.col("label") == F.col("one.label"), F.col("two")).otherwise(F.col("one.size")))
     # Both of a pair must be left, and of different labels.
     left = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    large, large_path = written(rows.join(left, "token").select("token", "id", "label", "core", "rest"), "open")
+    more = F.col("held") - F.aggregate("marks", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+    large, large_path = written(rows.join(left, "token").select("token", "id", "label", "marks", more.alias("more")), "open")
     remove(spark, path)
-    none = F.lit(None).cast("long")
-    return open_.join(bands.select("token"), "token", "left_anti").select("token", "id", "label", none.alias("core"), none.alias("rest")).union(large)
+    return open_.join(bands.select("token"), "token", "left_anti").select("token", "id", "label", F.lit(None).cast("array<long>").alias("marks"), F.lit(None).cast("long").alias("more")).union(large)
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
