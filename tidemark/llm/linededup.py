@@ -35,7 +35,7 @@ _TAG = _rng.integers(0, 2**63, BANDS + 1, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Notes on values, see `ask`.
 OWN, TWICE = 65534, 65535
-#: Bits of a line's marks, see `_bounded`.
+#: Bits of a line's marks, see `_marked`.
 CORE, REST = 1024, 2048
 
 
@@ -326,36 +326,38 @@ def linked(lines: DataFrame, threshold: float) -> DataFrame:
         labels, path = written(_joined(labels, found), "labels")
         paths += [more_path, found_path, path]
     open_ = still_open(posted, labels).select(F.col("band").alias("token"), F.col("line").alias("id"), "label", "copies")
-    open_, core_path = written(_bounded(open_, texts, threshold), "open")
+    marked, marks_path = _marked(open_, texts)
+    open_, core_path = written(marked, "open")
     fine, fine_path = written(fine_bits(_sets(texts.join(open_.select(F.col("id").alias("line")).distinct(), "line", "left_semi"))), "bits")
     met = pairs_apart(open_, fine, round(threshold * 1000), 1000).join(seen, ["a", "b"], "left_anti")
     last, last_path = written(confirm(met, texts, threshold), "links")
     out, _ = written(_joined(labels, last), "line-components")
-    remove(spark, *paths, core_path, fine_path, last_path)
+    remove(spark, *paths, marks_path, core_path, fine_path, last_path)
     return out
 
 
-def _bounded(open_: DataFrame, texts: DataFrame, threshold: float, small: int = 32) -> DataFrame:
-    """(token, id, label, size, marks, more) of the postings that can be alike with one of another label.
+def _marked(open_: DataFrame, texts: DataFrame, small: int = 32) -> tuple[DataFrame, str]:
+    """(token, id, label, marks, more) of the postings, which bound how far two lines of a band overlap, and a path that it reads.
 
     In a band of more than `small` lines, a line is marked against the set of the band's hub (the line of most copies): a bit for
     each of the hub's first CORE shingles that it has, and one for each of REST buckets that hold others of its shingles which stand
     in another line around that hub. `more` counts what has no bit of its own: further shingles of the hub and second ones of a
-    bucket. Lines overlap by at most the bits that both have and the lesser `more`. An overlap with any line of the band is at most
-    a line's bits and `more`, which bounds the size of the partner; a line for which the band has none so short, and of another
-    label, has no partner there. Bands of up to `small` lines have no marks (null): their pairs are a fixed number a posting.
+    bucket. Lines overlap by at most the bits that both have and the lesser `more`. Bands of up to `small` lines have no marks
+    (null): their pairs are a fixed number a posting.
     """
     bands = open_.groupBy("token").agg(F.max_by("id", F.struct("copies", "id")).alias("hub"), F.count("*").alias("n")).filter(F.col("n") > small).select("token", "hub")
     around = open_.join(bands, "token")
     members = around.select("id", "hub").distinct().join(texts.select(F.col("line").alias("id"), "text"), "id").join(texts.select(F.col("line").alias("hub"), F.col("text").alias("core")), "hub")
+    listed = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64)))
+    packed = lambda bits: listed(list(np.packbits(bits, axis=1, bitorder="little").view(np.int64)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles outside the hub's set are told apart by hub, too."""
         known: dict[int, np.ndarray] = {}
         for batch in batches:
             for begin, end in tb.splits_by(batch.column(0), 256):
                 part = batch.slice(begin, end - begin)
-                bits = np.zeros((len(part), CORE), np.uint8)
-                core, size, rest = [], [], []
+                bits, more, others = np.zeros((len(part), CORE), np.uint8), np.zeros(len(part), np.int64), []
                 for n, (hub, text, spelled) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True)):
                     if hub not in known:
                         if len(known) > 2048:
@@ -365,35 +367,33 @@ def _bounded(open_: DataFrame, texts: DataFrame, threshold: float, small: int =
                     at = np.searchsorted(known[hub], mine)
                     held = known[hub].take(at, mode="clip") == mine
                     bits[n, at[held & (at < CORE)]] = 1
-                    core.append(int(held.sum()))
-                    size.append(len(mine))
-                    rest.append(mine[~held])
-                listed = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64)))
-                marks = listed(list(np.packbits(bits, axis=1, bitorder="little").view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(core, pa.int64()), marks, listed(rest)], names=["id", "hub", "size", "core", "marks", "others"])
+                    more[n] = np.count_nonzero(held & (at >= CORE))
+                    others.append(tb.mix(mine[~held] ^ np.array([hub], np.int64).view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed(bits), pa.array(more), listed(others)], names=["id", "hub", "marks", "more", "others"])
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in tb.splits_by(batch.column(0), 256):
+                part = batch.slice(begin, end - begin)
+                bits, more = np.zeros((len(part), REST), np.uint8), part.column(3).to_numpy().copy()
+                for n, (others, alone) in enumerate(zip(part.column(4), part.column(5), strict=True)):
+                    held = others.values.to_numpy()
+                    if alone.is_valid:
+                        held = np.setdiff1d(held, alone.values.to_numpy(), assume_unique=True)
+                    bits[n, held % REST] = 1
+                    more[n] += len(held) - np.count_nonzero(bits[n])
+                marks = np.concatenate((part.column(2).flatten().to_numpy().reshape(len(part), CORE // 64), np.packbits(bits, axis=1, bitorder="little").view(np.int64)), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), listed(list(marks)), pa.array(more)], names=["id", "hub", "marks", "more"])
 
     spark = open_.sparkSession
-    members, path = written(members.select("id", "hub", "text", "core").mapInArrow(tb.lean(split), "id long, hub long, size long, core long, marks array<long>, others array<long>"), "cores")
-    each = members.select("id", "hub", F.explode("others").alias("shingle"))
-    common = each.groupBy("hub", "shingle").agg(F.count("*").alias("n")).filter("n > 1").select("hub", "shingle")
-    place = F.pmod("shingle", F.lit(REST))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    words = [F.bit_or(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(REST // 64)]
-    rest = each.join(common, ["hub", "shingle"]).groupBy("id", "hub").agg(F.count("*").alias("rest"), F.array(*words).alias("others"))
-    known = members.select("id", "hub", "size", "core", "marks").join(rest, ["id", "hub"], "left")
-    known = known.select("id", "hub", "size", (F.col("core") + F.coalesce("rest", F.lit(0))).alias("held"), F.concat("marks", F.coalesce("others", F.array_repeat(F.lit(0).cast("long"), REST // 64))).alias("marks"))
-    rows = around.join(known, ["id", "hub"]).withColumn("most", F.col("held") * (1 + threshold) / threshold - F.col("size"))
-    # The two shortest sizes of different labels tell whether a posting has a partner of another label that is short enough.
-    shortest = rows.groupBy("token", "label").agg(F.min("size").alias("size")).groupBy("token").agg(F.min(F.struct("size", "label")).alias("one"))
-    rows = rows.join(shortest, "token")
-    others = rows.filter(F.col("label") != F.col("one.label")).groupBy("token").agg(F.min("size").alias("two"))
-    rows = rows.join(others, "token").filter(F.col("most") >= F.when(F.col("label") == F.col("one.label"), F.col("two")).otherwise(F.col("one.size")))
-    # Both of a pair must be left, and of different labels.
-    left = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    more = F.col("held") - F.aggregate("marks", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
-    large, large_path = written(rows.join(left, "token").select("token", "id", "label", "marks", more.alias("more")), "open")
+    members, path = written(members.select("id", "hub", "text", "core").mapInArrow(tb.lean(split), "id long, hub long, marks array<long>, more long, others array<long>").withColumn("nth", F.monotonically_increasing_id()), "cores")
+    alone = members.select("nth", F.explode("others").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("nth").alias("nth")).filter("n = 1")
+    alone = alone.groupBy("nth").agg(F.collect_list("shingle").alias("alone"))  # a line's own
+    known = members.join(alone, "nth", "left").select("id", "hub", "marks", "more", "others", "alone")
+    known, known_path = written(known.mapInArrow(tb.lean(bucketed), "id long, hub long, marks array<long>, more long"), "marks")
     remove(spark, path)
-    return open_.join(bands.select("token"), "token", "left_anti").select("token", "id", "label", F.lit(None).cast("array<long>").alias("marks"), F.lit(None).cast("long").alias("more")).union(large)
+    large = around.join(known, ["id", "hub"]).select("token", "id", "label", "marks", "more")
+    return open_.join(bands.select("token"), "token", "left_anti").select("token", "id", "label", F.lit(None).cast("array<long>").alias("marks"), F.lit(None).cast("long").alias("more")).union(large), known_path
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
