@@ -36,7 +36,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Notes on values, see `ask`.
 OWN, TWICE = 65534, 65535
 #: Bits of a line's marks, see `_marked`.
-CORE, REST = 1024, 2048
+CORE, REST = 1024, 1024
 
 
 def character_shingles(points: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -339,13 +339,15 @@ def linked(lines: DataFrame, threshold: float) -> DataFrame:
 def _marked(open_: DataFrame, texts: DataFrame, small: int = 32) -> tuple[DataFrame, str]:
     """(token, id, label, marks, more) of the postings, which bound how far two lines of a band overlap, and a path that it reads.
 
-    In a band of more than `small` lines, a line is marked against the set of the band's hub (the line of most copies): a bit for
-    each of the hub's first CORE shingles that it has, and one for each of REST buckets that hold others of its shingles which stand
-    in another line around that hub. `more` counts what has no bit of its own: further shingles of the hub and second ones of a
-    bucket. Lines overlap by at most the bits that both have and the lesser `more`. Bands of up to `small` lines have no marks
+    In a band of more than `small` lines, a line is marked against the set of the band's hub (the line that stands in most
+    bands): a bit for each of the hub's first CORE shingles that it has, and one for each of REST buckets that hold others of its
+    shingles which stand in another line around that hub. `more` counts what has no bit of its own: further shingles of the hub
+    and second ones of a bucket. Lines overlap by at most the bits that both have and the lesser `more`. Bands of up to `small` lines have no marks
     (null): their pairs are a fixed number a posting.
     """
-    bands = open_.groupBy("token").agg(F.max_by("id", F.struct("copies", "id")).alias("hub"), F.count("*").alias("n")).filter(F.col("n") > small).select("token", "hub")
+    # Hubs that stand in many bands serve most of them, so a line is marked against few.
+    degrees = open_.groupBy("id").agg(F.count("*").alias("degree"))
+    bands = open_.join(degrees, "id").groupBy("token").agg(F.max_by("id", F.struct("degree", "copies", "id")).alias("hub"), F.count("*").alias("n")).filter(F.col("n") > small).select("token", "hub")
     around = open_.join(bands, "token")
     members = around.select("id", "hub").distinct().join(texts.select(F.col("line").alias("id"), "text"), "id").join(texts.select(F.col("line").alias("hub"), F.col("text").alias("core")), "hub")
     listed = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64)))
@@ -400,9 +402,13 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, component) after further links (a, b), of which only those between labels matter."""
     of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"{side}_label"))
     bridges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).filter("a <> b")
+    bridges, path = written(bridges, "bridges")
     if bridges.isEmpty():
+        remove(labels.sparkSession, path)
         return labels
-    joint = connected_components(bridges).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    joint = connected_components(bridges)
+    remove(labels.sparkSession, path)
+    joint = joint.select(F.col("id").alias("component"), F.col("component").alias("whole"))
     out = labels.join(joint, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
     alone = joint.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
     return out.union(alone)

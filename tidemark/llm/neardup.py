@@ -215,27 +215,29 @@ def pairs_apart(posted: DataFrame, fine: DataFrame, numerator: int, denominator:
 
     A pair comes from the first token that both have alone, so it is looked at, and made, once. Postings may have `marks`, bits in
     64-bit words, and `more`: no overlap exceeds the bits that both have and the lesser `more` together. Null marks bound nothing.
+    Few pairs pass that, so each token makes its own, which keeps the lists of tokens out of the join.
     """
     chance = (1 + numerator / denominator) / 2
     least = int(BITS * chance - 5.3 * (BITS * chance * (1 - chance)) ** 0.5)
-    tokens = posted.groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("tokens"))  # a bounded number a node
     words = [F.col("bits")[i].alias(f"w{i}") for i in range(BITS // 64)]
     bounds = [c for c in ("marks", "more") if c in posted.columns]
-    side = posted.select("id", "token", "label", *bounds).join(fine.join(tokens, "id").select("id", "n", "tokens", *words, *(["reach"] if "reach" in fine.columns else [])), "id")
+    if not bounds:
+        fine = fine.join(posted.groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("tokens")), "id")  # a bounded number a node
+    side = posted.select("id", "token", "label", *bounds).join(fine.select("id", "n", *words, *[c for c in ("reach", "tokens") if c in fine.columns]), "id")
     named = lambda x: side.select(*[F.col(c).alias(f"{x}_{c}") for c in side.columns])
     sizes = F.least("a_n", "b_n") * denominator >= F.greatest("a_n", "b_n") * numerator
     if "reach" in fine.columns:
         sizes &= F.least("a_reach", "b_reach") * (numerator + denominator) >= (F.col("a_n") + F.col("b_n")) * numerator
     differ = sum((F.bit_count(F.col(f"a_w{i}").bitwiseXOR(F.col(f"b_w{i}"))) for i in range(BITS // 64)), F.lit(0))
-    # Sorted arrays meet in order; a pair that one token's hub rules out is ruled out, so any one token may be the one.
-    once = F.array_intersect("a_tokens", "b_tokens")[0] == F.col("a_token")
     apart = (F.col("a_token") == F.col("b_token")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_label") != F.col("b_label"))
-    near = apart & sizes & (differ <= BITS - least) & once
+    near = apart & sizes & (differ <= BITS - least)
     if bounds:
         most = F.least("a_more", "b_more") + F.aggregate(F.zip_with("a_marks", "b_marks", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, w: n + w)
         near &= F.coalesce(most * (numerator + denominator) >= (F.col("a_n") + F.col("b_n")) * numerator, F.lit(True))
-    met = named("a").join(named("b"), near)
-    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    else:
+        near &= F.array_intersect("a_tokens", "b_tokens")[0] == F.col("a_token")  # sorted arrays meet in order
+    met = named("a").join(named("b"), near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return met.distinct() if bounds else met
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = 75, denominator: int = 100) -> DataFrame:
