@@ -335,3 +335,24 @@ def test_dark_sources_keep_away_from_tracks(spark):
     for r in got:
         at = 56.0 + 0.2 * r["t"] / 36_000
         assert not (abs(r["lon"] - 10.2) < wide and abs(r["lat"] - at) < wide)
+
+
+def test_speed_notes_round_as_sql_does(spark, tmp_path):
+    """Medians such as 6.949999999999999, which times ten is 69.5."""
+    import duckdb
+
+    from tidemark.plans import catalog
+
+    pairs = [(a, 13900 - a) for a in range(6500, 6950) if (m := 0.5 * (a / 100 / 10) + 0.5 * ((13900 - a) / 100 / 10)) < 6.95 and m * 10 == 69.5][:5]
+    assert pairs
+    path = str(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute("create table e (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    for user, (a, b) in enumerate(pairs):
+        for i, v in enumerate((a, b, a - 100, b + 100)):
+            con.execute("insert into e values (?, timestamp '2024-01-02' + to_hours(?), ?, 'x', ?, '{}')", [1 + user * 4 + i, 3 * i, user, v / 100])
+    con.execute(f"copy e to '{path}' (format parquet)")
+    con.execute(f"create view events as select * from '{path}'")
+    want = con.execute(catalog.ORACLE_SQL["speed_notes"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["speed_notes"](spark, str(tmp_path)).select("mmsi", "track", "note").collect()]
+    assert len(got) == len(pairs) and sorted(got) == sorted(want)

@@ -122,7 +122,9 @@ def speed_notes(spark, sf_dir):
 
     tracks = tracks_of(spark, sf_dir)
     rows = T.window_speed(tracks, windows_of(tracks)).join(tracks.groupBy("mmsi", "track").agg(F.median("sog_kn").alias("transit_kn")), ["mmsi", "track"])
-    return rows.select("mmsi", "track", E.speed_note(F.round("speed_kn", 1), F.round("transit_kn", 1)).alias("note"))
+    # In binary, as in SQL: a median of 6.95 that is held as 6.949... is shown as 7.0, where a decimal round gives 6.9.
+    shown = lambda c: F.round(F.col(c) * 10) / 10
+    return rows.select("mmsi", "track", E.speed_note(shown("speed_kn"), shown("transit_kn")).alias("note"))
 
 
 _TYPES = "CASE ship_type " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in E.TYPE_PRIOR.items()) + " ELSE 1e0 END"
