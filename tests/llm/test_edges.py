@@ -410,3 +410,29 @@ def test_language_fit_takes_rows_without_keys(spark):
     rows = [(None, "der hund und die katze", "de"), (None, "the dog and the cat", "en"), (None, "der hund und die katze", "de"), (1, None, "de")]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.languages == ("de", "en")
+
+
+def test_words_held_near_a_passage_are_those_of_the_plain_count():
+    """Pairs of passages and items are bounded together, in blocks, as each would be alone."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([7, 20, 3])
+    times = rng.integers(0, 3, (30, 3)).astype(np.uint8)
+    rows = [np.sort(rng.choice(400, n, replace=False)) for n in (90, 0, 150)]
+    words = [rng.integers(0, 30, len(r)) for r in rows]
+    opens = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    row, start, item = rng.integers(0, 3, 200), 32 * rng.integers(0, 12, 200), rng.integers(0, 3, 200)
+    got = decontaminate._held_near(np.concatenate(rows), np.concatenate(words), opens, row, start, item, times, sizes, most=64)
+    for r, s, i, n in zip(row, start, item, got, strict=True):
+        near = words[r][(rows[r] >= s - sizes[i]) & (rows[r] < s + decontaminate.SIZE + sizes[i])]
+        assert n == times[np.unique(near), i].sum()
+
+
+def test_sparse_products_are_those_of_sums():
+    rng = np.random.default_rng(6)
+    opens = np.array([0, 3, 3, 10, 11])
+    feature = np.concatenate([rng.choice(12, n, replace=False) for n in np.diff(opens)])
+    value, table = rng.random(11).astype(np.float32), rng.random((12, 5)).astype(np.float32)
+    want = [sum((value[i] * table[feature[i]] for i in range(a, b)), np.zeros(5)) for a, b in zip(opens[:-1], opens[1:], strict=True)]
+    for widest, most in ((0, 1), (12, 1), (12, 24), (12, 1 << 20)):
+        assert np.allclose(decontaminate._product(opens, feature, value, table, widest, most), want)
+    assert decontaminate._product(np.zeros(1, np.int64), feature[:0], value[:0], table).shape == (0, 5)

@@ -106,7 +106,8 @@ def _distinct(rows: np.ndarray, columns: np.ndarray, width: int) -> tuple[np.nda
     keys = rows.astype(np.int64) * width + columns
     if len(keys) and keys.max() < 2**31:
         keys = keys.astype(np.int32)
-    row, column = np.divmod(np.unique(keys), max(width, 1))
+    keys.sort()
+    row, column = np.divmod(keys[np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]))], max(width, 1))
     return row.astype(np.int64), column.astype(np.int64)
 
 
@@ -196,11 +197,31 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.R
             yield batch.slice(begin, rows)
 
 
+def _product(opens: np.ndarray, feature: np.ndarray, value: np.ndarray, table: np.ndarray, widest: int = 1 << 13, most: int = 1 << 21) -> np.ndarray:
+    """Sparse rows times a float table. Row r holds the entries from opens[r] to opens[r + 1], a feature once. Up to `widest` features, dense
+    blocks of at most `most` values are several times quicker than sums over entries."""
+    out = np.zeros((len(opens) - 1, table.shape[1]), table.dtype)
+    m = len(table)
+    if m > widest:
+        some = np.flatnonzero(np.diff(opens))
+        if len(some):
+            out[some] = np.add.reduceat(table[feature] * value[:, None].astype(table.dtype), opens[:-1][some], axis=0)
+        return out
+    row = np.repeat(np.arange(len(out)), np.diff(opens))
+    step = max(1, most // max(m, 1))
+    for begin in range(0, len(out), step):
+        end = min(len(out), begin + step)
+        part = slice(int(opens[begin]), int(opens[end]))
+        dense = np.zeros((end - begin, m), table.dtype)
+        dense[row[part] - begin, feature[part]] = value[part]
+        np.matmul(dense, table, out=out[begin:end])
+    return out
+
+
 def _project(passage: np.ndarray, feature: np.ndarray, value: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Passages that have entries, and their rows times the basis."""
-    opens = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-    out = np.add.reduceat(basis[feature] * value[:, None].astype(basis.dtype), opens, axis=0)
-    return passage[opens], out
+    opens = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1], [True])))
+    return passage[opens[:-1]], _product(opens, feature, value, basis)
 
 
 def _sliced(passage: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[int, int]]:
@@ -308,6 +329,30 @@ def leaks(
             return out
 
 
+def _occurrences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and features of a batch's occurrences, one row after another, and each row's first."""
+    at, feature = (np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in batch.column(c)), "<i4") for c in (3, 4))
+    return at, feature, np.concatenate(([0], np.cumsum([len(x.as_buffer()) // 4 for x in batch.column(3)], dtype=np.int64)))
+
+
+def _held_near(at: np.ndarray, feature: np.ndarray, opens: np.ndarray, row: np.ndarray, start: np.ndarray, item: np.ndarray, times: np.ndarray, sizes: np.ndarray, most: int = 1 << 13) -> np.ndarray:
+    """How many of its words each item (repeated ones each) has among those that stand around a passage (row, start): as many
+    words before it and after it as the item has. No more can be in common."""
+    wide = int(at.max(initial=0)) + SIZE + 2 * int(sizes.max(initial=0)) + 2
+    key = np.repeat(np.arange(len(opens) - 1), np.diff(opens)) * wide + at
+    out = np.zeros(len(row), np.int64)
+    for begin in range(0, len(row), most):
+        r, s, i = row[begin : begin + most], start[begin : begin + most], item[begin : begin + most]
+        low = np.searchsorted(key, r * wide + np.maximum(s - sizes[i], 0))
+        many = np.searchsorted(key, r * wide + np.minimum(s + SIZE + sizes[i], wide - 1)) - low
+        pair = np.repeat(np.arange(len(r)), many)
+        word = feature[tb.ranges(low, many)]
+        held = np.flatnonzero(times[word, i[pair]])
+        pair, word = _distinct(pair[held], word[held], len(times))
+        out[begin : begin + most] = np.bincount(pair, weights=times[word, i[pair]], minlength=len(r))
+    return out
+
+
 def _candidates(hits: DataFrame, weights: np.ndarray, items: list[Item], chosen: list[int], id_type: str, cosine: float, lcs: float, rank: int = RANK) -> DataFrame:
     """(id, row_hash, start, item, cosine): passages close to one of the chosen items in the latent space, whose surroundings hold
     enough of its words."""
@@ -336,31 +381,26 @@ def _candidates(hits: DataFrame, weights: np.ndarray, items: list[Item], chosen:
             row = np.repeat(np.arange(len(batch)), [len(x.as_buffer()) // 4 for x in batch.column(4)])
             row, words = _distinct(row, words, len(weights))
             opens = np.searchsorted(row, np.arange(len(batch) + 1))
-            able = np.zeros((len(batch), len(sizes)), bool)
-            for a in range(0, len(batch), 256):
-                b = min(a + 256, len(batch))
-                able[a:b] = np.add.reduceat(times[words[opens[a] : opens[b]]], opens[a:b] - opens[a], axis=0) >= least
+            able = _product(opens, words, np.ones(len(words), np.float32), times.astype(np.float32)) >= least
             batch, able = batch.filter(pa.array(able.any(1))), able[able.any(1)]
             if not len(batch):
                 continue
             passage, feature, value, first = _weigh(batch, weights)
-            at = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(3)]
-            words = [np.frombuffer(x.as_buffer(), "<i4") for x in batch.column(4)]
-            found: list[tuple[int, int, int, float]] = []
+            held_at, held_words, opens = _occurrences(batch)
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
             for begin, end in _sliced(passage):
                 present, made = _project(passage[begin:end], feature[begin:end], value[begin:end], basis)
                 row = np.searchsorted(first, present, side="right") - 1
                 norm = np.linalg.norm(made, axis=1)
                 close = (made @ targets.T) / np.maximum(norm, 1e-30)[:, None]
-                for p, i in zip(*np.nonzero((close >= cosine) & able[row]), strict=True):
-                    start = int(present[p] - first[row[p]]) * STRIDE
-                    near = slice(*np.searchsorted(at[row[p]], (start - sizes[i], start + SIZE + sizes[i])))
-                    if times[np.unique(words[row[p]][near]), i].sum() >= least[i]:
-                        found.append((int(row[p]), start, int(i), float(close[p, i])))
+                p, i = np.nonzero((close >= cosine) & able[row])
+                start = (present[p] - first[row[p]]) * STRIDE
+                good = _held_near(held_at, held_words, opens, row[p], start, i, times, sizes) >= least[i]
+                found.append((row[p][good], start[good], i[good], close[p, i][good]))
             if found:
-                row, start, item, close = zip(*found, strict=True)
+                row, start, item, close = map(np.concatenate, zip(*found, strict=True))
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(numbers[list(item)], pa.int32()), pa.array(close)], names=["id", "row_hash", "start", "item", "cosine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(numbers[item], pa.int32()), pa.array(close, pa.float64())], names=["id", "row_hash", "start", "item", "cosine"])
 
     return hits.filter("n_words is not null").mapInArrow(tb.lean(search), f"id {id_type}, row_hash long, start int, item int, cosine double")
 
