@@ -436,3 +436,18 @@ def test_sparse_products_are_those_of_sums():
     for widest, most in ((0, 1), (12, 1), (12, 24), (12, 1 << 20)):
         assert np.allclose(decontaminate._product(opens, feature, value, table, widest, most), want)
     assert decontaminate._product(np.zeros(1, np.int64), feature[:0], value[:0], table).shape == (0, 5)
+
+
+def test_every_training_row_and_window_is_learned_from(docs, monkeypatch):
+    seen, averaged = [], lmscore._averaged
+    monkeypatch.setattr(lmscore, "_averaged", lambda rows, *rest: seen.append(rows.count()) or averaged(rows, *rest))
+    assert lmscore.score(docs, F.lit(True), steps=2).count() == len(ROWS)
+    assert seen == [sum(r[1] is not None for r in ROWS)]
+    from tidemark.llm import attention
+
+    n = 300
+    x = np.repeat(np.arange(n), attention.WINDOW).reshape(n, -1)
+    target, scored = x % 5, np.ones(x.shape, bool)
+    start = attention.train(x[:0], target[:0], scored[:0], n, 5)
+    end = attention.train(x, target, scored, n, 5, steps=3, batch=128, start=start)
+    assert (start["E"] != end["E"]).any(1).all()

@@ -103,7 +103,8 @@ def windows(ids: np.ndarray, first: np.ndarray, places: np.ndarray, heads: int)
 def train(
     x: np.ndarray, target: np.ndarray, scored: np.ndarray, places: int, outputs: int, steps: int = 500, batch: int = 128, rate: float = 8e-3, seed: int = 3, start: dict[str, np.ndarray] | None = None,
 ) -> dict[str, np.ndarray]:
-    """Weights after `steps` of Adam on windows x (place ids), their targets and which of them count, from `start` or afresh."""
+    """Weights after `steps` of Adam on windows x (place ids), their targets and which of them count, from `start` or afresh. No window is
+    seen again before all were."""
     rng = np.random.default_rng(seed)
     new = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
     w = {"E": new(places, WIDTH), "P": new(WINDOW, WIDTH), "Wq": new(WIDTH, WIDTH), "Wk": new(WIDTH, WIDTH), "Wv": new(WIDTH, WIDTH), "Wo": new(WIDTH, WIDTH), "U": new(WIDTH, outputs), "b": np.zeros(outputs, np.float32)}
@@ -116,44 +117,61 @@ def train(
         w["b"] += np.log(share / share.sum()).astype(np.float32)
     mean = {k: np.zeros_like(v) for k, v in w.items()}
     square = {k: np.zeros_like(v) for k, v in w.items()}
-    mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+    causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
     scale = np.float32(1 / np.sqrt(WIDTH))
+    ones = np.ones(outputs, np.float32)
+    cube = lambda m: m.reshape(-1, WINDOW, WIDTH)
+    flat = lambda m: m.reshape(-1, WIDTH)
+    order, at = np.zeros(0, np.int64), 0
     for step in range(1, steps + 1):
-        chosen = rng.integers(0, len(x), batch)
-        part, goal, count = x[chosen], target[chosen], scored[chosen]
-        e = w["E"][part] + w["P"]
-        q, k, v = e @ w["Wq"], e @ w["Wk"], e @ w["Wv"]
-        a = np.matmul(q, k.transpose(0, 2, 1)) * scale + mask
-        a = np.exp(a - a.max(2, keepdims=True))
+        # Each round goes over all windows once, in an order of its own.
+        if at >= len(order):
+            order, at = rng.permutation(len(x)), 0
+        chosen = order[at : at + batch]
+        at += batch
+        part, count = x[chosen].ravel(), np.flatnonzero(scored[chosen])
+        goal = target[chosen].ravel()[count]
+        e = flat(cube(w["E"][part]) + w["P"])
+        q, k, v = (cube(e @ w[n]) for n in ("Wq", "Wk", "Wv"))
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a *= scale
+        if max(a.max(initial=0), -a.min(initial=0)) > 60:  # else exp is in range without a shift
+            a -= np.where(causal > 0, a, -np.inf).max(2, keepdims=True)
+            np.minimum(a, 0, out=a)
+        np.exp(a, out=a)
+        a *= causal
         a /= a.sum(2, keepdims=True)
-        mixed = np.matmul(a, v)
-        h = e + mixed @ w["Wo"]
-        z = h @ w["U"] + w["b"]
-        z = np.exp(z - z.max(2, keepdims=True))
-        z /= z.sum(2, keepdims=True)
-        np.put_along_axis(z, goal[..., None], np.take_along_axis(z, goal[..., None], 2) - 1, 2)
-        z *= (count / max(1, count.sum()))[..., None].astype(np.float32)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"U": flat(h).T @ flat(z), "b": flat(z).sum(0)}
-        dh = z @ w["U"].T
-        g["Wo"] = flat(mixed).T @ flat(dh)
-        d_mixed = dh @ w["Wo"].T
-        d_a = np.matmul(d_mixed, v.transpose(0, 2, 1))
-        d_v = np.matmul(a.transpose(0, 2, 1), d_mixed)
-        d_s = a * (d_a - (d_a * a).sum(2, keepdims=True)) * scale
-        d_q, d_k = np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q)
+        mixed = flat(np.matmul(a, v))
+        h = (e + mixed @ w["Wo"])[count]
+        z = h @ w["U"]
+        z += w["b"]
+        if z.max(initial=0) > 60 or z.min(initial=0) < -60:
+            z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= (z @ ones)[:, None]
+        z[np.arange(len(z)), goal] -= 1
+        z *= np.float32(1 / max(1, len(count)))
+        g = {"U": h.T @ z, "b": np.ones(len(z), np.float32) @ z}
+        dh = np.zeros_like(e)
+        dh[count] = z @ w["U"].T
+        g["Wo"] = mixed.T @ dh
+        d_mixed = cube(dh @ w["Wo"].T)
+        d_s = np.matmul(d_mixed, v.transpose(0, 2, 1))
+        # The rows' sums of a * d_a are those of the mixed values.
+        d_s -= (flat(d_mixed) * mixed).sum(1).reshape(-1, WINDOW, 1)
+        d_s *= a
+        d_s *= scale
+        d_q, d_k, d_v = flat(np.matmul(d_s, k)), flat(np.matmul(d_s.transpose(0, 2, 1), q)), flat(np.matmul(a.transpose(0, 2, 1), d_mixed))
         de = dh + d_q @ w["Wq"].T + d_k @ w["Wk"].T + d_v @ w["Wv"].T
         for name, d in (("Wq", d_q), ("Wk", d_k), ("Wv", d_v)):
-            g[name] = flat(e).T @ flat(d)
-        g["P"] = de.sum(0)
-        order = np.argsort(part.ravel(), kind="stable")
-        sorted_places = part.ravel()[order]
-        opens = np.flatnonzero(np.concatenate(([True], sorted_places[1:] != sorted_places[:-1])))
-        g["E"] = np.zeros_like(w["E"])
-        g["E"][sorted_places[opens]] = np.add.reduceat(flat(de)[order], opens, axis=0)
+            g[name] = e.T @ d
+        g["P"] = cube(de).sum(0)
+        g["E"] = np.empty_like(w["E"])
+        for c in range(WIDTH):
+            g["E"][:, c] = np.bincount(part, de[:, c], places)
         pace = rate * min(1.0, step / 20) * (1 - 0.9 * step / steps)
         for name, grad in g.items():
-            mean[name] += 0.1 * (grad - mean[name])
-            square[name] += 0.01 * (grad**2 - square[name])
-            w[name] -= (pace * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            mean[name] += np.float32(0.1) * (grad - mean[name])
+            square[name] += np.float32(0.01) * (grad * grad - square[name])
+            w[name] -= np.float32(pace / (1 - 0.9**step)) * mean[name] / (np.sqrt(square[name] * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
     return w

@@ -7,9 +7,9 @@ and holds one chunk's words. Words are known by 64-bit hashes.
 
 The model's probability of a word mixes the unigram share with that of its subwords under the attention model:
 `mixture` and 1 - `mixture`. Subword counts (all training rows) choose its vocabulary and the shares of rare subwords. Its
-weights start from a fit on `sample_docs` training documents, at most `sample_windows` windows of each, and then learn from one in
-`every` of all training documents, with all their windows: each task takes steps over its own, and the tasks' weights are averaged
-by their windows. What is learned from grows with the input; a task holds one batch of windows and one set of weights.
+weights start from a fit on `sample_docs` training documents, at most `sample_windows` windows of each, and then learn from every window of
+every training document: each task takes steps over its own, and the tasks' weights are averaged by their windows. A task holds one batch of
+windows and one set of weights.
 """
 
 from __future__ import annotations
@@ -157,8 +157,8 @@ def answer(asked: DataFrame) -> DataFrame:
     return asked.filter("chunk is not null").select("piece", "chunk", "words", "counts").groupBy("piece").applyInArrow(run, "chunk long, piece int, words binary, counts binary, tokens long, types long")
 
 
-def fit(rows: DataFrame, ranks, subwords: np.ndarray, sample_docs: int, sample_windows: int, steps: int, every: int, rate: float) -> attention.AttentionModel:
-    """Fit on (key, text): first on the rows of smallest hash, then on one in `every` of all rows."""
+def fit(rows: DataFrame, ranks, subwords: np.ndarray, sample_docs: int, sample_windows: int, steps: int, rate: float) -> attention.AttentionModel:
+    """Fit on (key, text): first on the rows of smallest hash, as a start, then on all rows."""
     # A row goes by its own hash, so rows without a key, and many rows of one key, are chosen like others.
     named = rows.filter(F.col("text").isNotNull()).select("text", F.xxhash64("key", "text").alias("_hash"))
     sample = named.orderBy("_hash", "text").limit(sample_docs).select("text").repartition(4)
@@ -188,7 +188,7 @@ def fit(rows: DataFrame, ranks, subwords: np.ndarray, sample_docs: int, sample_w
     table = lambda n: np.array([np.frombuffer(r[n], np.int32) for r in found], np.int64).reshape(-1, attention.WINDOW)
     weights = attention.train(table("x"), table("target"), table("scored") > 0, EMBEDDED + 2, HEADS + 1, steps)
     start = attention.AttentionModel(places, HEADS, tail, weights)
-    return _averaged(named.filter(F.pmod(F.xxhash64("_hash"), F.lit(every)) == 0).select("text"), ranks, start, rate)
+    return _averaged(named.select("text"), ranks, start, rate)
 
 
 def _averaged(rows: DataFrame, ranks, model: attention.AttentionModel, rate: float, batch: int = 128) -> attention.AttentionModel:
@@ -237,7 +237,7 @@ def _laid_out(reader: Subwords, ids: np.ndarray, begins: np.ndarray, which: np.n
 def score(
     docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", ranks: str | None = None, chunk_bytes: int = 16 << 20,
     piece_bytes: int = 512 << 20, mixture: float = 0.5, sample_docs: int = 1500, sample_windows: int = 16, steps: int = 500,
-    every: int = 8, rate: float = 3e-3,
+    rate: float = 3e-3,
 ) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
@@ -263,7 +263,7 @@ def score(
     n_total, types = sums["n"] or 0, sums["v"] or 0
     remove(spark, asked_path)
     size = _reader(held_ranks.value).size
-    model = fit(rows.filter("training"), held_ranks, subwords if len(subwords) else np.zeros(size, np.int64), sample_docs, sample_windows, steps, every, rate)
+    model = fit(rows.filter("training"), held_ranks, subwords if len(subwords) else np.zeros(size, np.int64), sample_docs, sample_windows, steps, rate)
     held = spark.sparkContext.broadcast(model)
     none = lambda kind: F.lit(None).cast(kind)
     left = answers.select("chunk", F.col("piece").alias("kind"), "words", "counts", none(key_type).alias("key"), none("string").alias("text"))
