@@ -451,3 +451,20 @@ def test_every_training_row_and_window_is_learned_from(docs, monkeypatch):
     start = attention.train(x[:0], target[:0], scored[:0], n, 5)
     end = attention.train(x, target, scored, n, 5, steps=3, batch=128, start=start)
     assert (start["E"] != end["E"]).any(1).all()
+
+
+def test_payloads_are_written_with_copies_and_transforms():
+    """Repeated runs become back-references, few colours a palette; all come back as they were."""
+    rng = np.random.default_rng(8)
+    noise = rng.integers(0, 256, 4096, np.uint8).tobytes()
+    grey = np.repeat(rng.integers(0, 256, (1024, 1), np.uint8), 4, 1).tobytes()
+    payloads = [noise, noise * 2, noise + noise[256:1280] + noise[:64] * 9, bytes(64), bytes(1 << 15), b"abcd" * 1600, grey, (b"one line of a text\n" * 700)[:12800], noise * 300]
+    files = [webp.encode_payload(x) for x in payloads]
+    for x, stored in zip(payloads, files, strict=True):
+        assert webp.payload_of(webp.decode(list(webp.files(stored)))) == x
+    at_once = iter(webp.decode([f for stored in files for f in webp.files(stored)]))
+    assert [webp.payload_of([next(at_once) for _ in webp.files(stored)]) for stored in files] == payloads
+    assert len(files[1]) < 1.1 * len(files[0]) and len(files[7]) < 500 and len(files[5]) < 200
+    kinds = [[t[0] for t in webp.read_header(webp.chunk(f)).transforms] for f in files]
+    assert kinds[5] == [webp.PALETTE] and kinds[6] == [webp.SUBTRACT_GREEN] and kinds[0] == []
+    assert webp.back_references(np.frombuffer(noise * 2, ">u4").astype(np.uint32)) == [(1024, 1024, 1024)]

@@ -2,16 +2,18 @@
 
 The decoder reads prefix codes, back-references, the colour cache and meta prefix images, and inverts the predictor,
 cross-colour, subtract-green and palette transforms. All images of a batch advance together, one pixel a step, so its
-inner loop is numpy over images. The encoder writes literals and colour-cache hits under per-image prefix codes; on
-request also back-references and any of the transforms.
+inner loop is numpy over images. The encoder writes literals, back-references to earlier equal runs and colour-cache hits
+under per-image prefix codes, after any of the transforms. For a payload it takes subtract-green or a palette where these
+are estimated to save bits; the predictor and cross-colour, which are made for neighbouring tones, on request alone.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -25,6 +27,7 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 _NEAR = np.array(NEAR, np.int64)
 
 WIDTH, MAX_HEIGHT = 16, 16384
+SHORTEST, LONGEST_COPY = 3, 4096
 _LONGEST = 11  # of the encoder's codes; it keeps the decoder's tables small
 
 
@@ -294,9 +297,10 @@ def _pixels(data: np.ndarray, streams: list[Stream]) -> tuple[list[np.ndarray],
         else:
             index = np.arange(k)[rows]
             literal = index[green < 256]
-            for i in ((green >= 256) & (green < 256 + LENGTH_CODES)).nonzero()[0]:
-                row = index[i : i + 1]
-                length, after = extra(where[i : i + 1] + n[i], green[i : i + 1].astype(np.int64) - 256)
+            copy = np.flatnonzero((green >= 256) & (green < 256 + LENGTH_CODES))
+            if len(copy):
+                row = index[copy]
+                length, after = extra(where[copy] + n[copy], green[copy].astype(np.int64) - 256)
                 prefix, n_distance = symbol(4, row, look(after))
                 code, after = extra(after + n_distance, prefix.astype(np.int64))
                 near = _NEAR[np.minimum(code, len(NEAR)) - 1]
@@ -511,7 +515,13 @@ def decode(images: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
         header.stream.bit += 8 * begin
     if not images:
         return []
-    pixels, ends = _pixels(data, [h.stream for h in headers])
+    # Images of literals alone take a quicker way, so they go by themselves.
+    plain = np.array([h.stream.cache_bits == 0 and all(int((g[0] & 0xFFF).max()) < 256 for g in h.stream.codes) for h in headers])
+    pixels, ends = [np.zeros(0, np.uint32)] * len(headers), [0] * len(headers)
+    for group in (np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()):
+        if group:
+            for i, found, end in zip(group, *_pixels(data, [headers[i].stream for i in group]), strict=True):
+                pixels[i], ends[i] = found, end
     if any(end > 8 * stop for end, stop in zip(ends, at[1:].tolist(), strict=True)):
         raise ValueError("a stream ends before its last pixel")
     return [(h.width, h.height, _invert(h, p)) for h, p in zip(headers, pixels, strict=True)]
@@ -522,11 +532,12 @@ def decode(images: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
 
 @dataclass
 class Options:
-    """What an image is written with beside literals. copies: (first pixel, length, distance in pixels)."""
+    """What an image is written with beside literals. copies: (first pixel, length, distance in pixels), or search: those found."""
 
     cache_bits: int = 0
     copies: list[tuple[int, int, int]] = field(default_factory=list)
     transforms: list[tuple] = field(default_factory=list)  # (PREDICTOR, size, modes), (CROSS_COLOUR, size, elements), (SUBTRACT_GREEN,), (PALETTE,)
+    search: bool = False
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -538,11 +549,69 @@ def _prefix(value: int) -> tuple[int, int, int]:
     return 2 * (n + 1) + (value >> n & 1), value & ((1 << n) - 1), n
 
 
+@functools.cache
+def _near_codes(width: int) -> dict[int, int]:
+    return {x + y * width: i + 1 for i, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
 def _near_code(distance: int, width: int) -> int:
-    for i, (x, y) in enumerate(NEAR):
-        if x + y * width == distance:
-            return i + 1
-    return distance + len(NEAR)
+    return _near_codes(width).get(distance, distance + len(NEAR))
+
+
+def _length_of_match(pixels: np.ndarray, at: int, before: int) -> int:
+    """How many pixels from `at` on equal those from `before` on, up to the longest copy."""
+    most, length, step = min(LONGEST_COPY, len(pixels) - at), 0, 64
+    while length < most:
+        end = min(length + step, most)
+        differs = np.flatnonzero(pixels[at + length : at + end] != pixels[before + length : before + end])
+        if len(differs):
+            return length + int(differs[0])
+        length, step = end, step * 4
+    return most
+
+
+def back_references(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first pixel, length, distance) of copies of SHORTEST pixels or more, from the start on: each from the nearest earlier place of the
+    same SHORTEST pixels. None if they save less than their codes cost."""
+    count = len(pixels) - SHORTEST + 1
+    if count < 2:
+        return []
+    wide = pixels.astype(np.uint64)
+    key = wide[:count]
+    for i in range(1, SHORTEST):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + wide[i : count + i]
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return []
+    at, before = order[same + 1], order[same]
+    turn = np.argsort(at)
+    found, free = [], 0
+    for here, there in zip(at[turn].tolist(), before[turn].tolist(), strict=True):
+        if here >= free:
+            length = _length_of_match(pixels, here, there)
+            if length >= SHORTEST:
+                found.append((here, length, here - there))
+                free = here + length
+    return found if 20 * sum(n for _, n, _ in found) > 30 * len(found) + 150 else []
+
+
+def _bits_of(*channels: np.ndarray) -> float:
+    """Entropy of what is coded together, in bits."""
+    counts = np.bincount(np.concatenate(channels), minlength=256)
+    counts = counts[counts > 0]
+    return float(counts.sum() * np.log2(counts.sum()) - (counts * np.log2(counts)).sum())
+
+
+def _transforms(pixels: np.ndarray) -> list[tuple]:
+    """A palette where each of its colours stands eight times or more; else subtract-green if it lowers the entropy."""
+    if len(pixels) >= 32:
+        some = np.unique(pixels)
+        if len(some) <= min(256, len(pixels) // 8):
+            return [(PALETTE,)]
+    blue, green, red, alpha = pixels.view(np.uint8).reshape(-1, 4).T
+    plain, less = _bits_of(blue, red, alpha), _bits_of(blue - green, red - green, alpha)
+    return [(SUBTRACT_GREEN,)] if less < plain else []
 
 
 def _slots(pixels: np.ndarray, bits: int) -> np.ndarray:
@@ -675,6 +744,8 @@ def encode(pixels: np.ndarray, width: int, options: Options | None = None) -> by
             _put_sub_image(out, table, -(-coded >> size))
             pixels = (_predict if kind == PREDICTOR else _cross)(pixels, coded, height, size, np.ascontiguousarray(table, np.uint32), -1)
     out.put(0, 1)
+    if options.search:
+        options = replace(options, copies=back_references(pixels))
     values, sizes = _put_image(out, np.ascontiguousarray(pixels), coded, options, True)
     data = _pack(out, values, sizes)
     padded = data + bytes(len(data) & 1)
@@ -683,12 +754,15 @@ def encode(pixels: np.ndarray, width: int, options: Options | None = None) -> by
 
 def encode_payload(payload: bytes) -> bytes:
     """A payload whose length is a multiple of 64 as images 16 pixels wide: pixel k holds bytes 4k to 4k + 3 as alpha,
-    red, green and blue. Beyond 1 MiB further files follow the first one. From 2,048 pixels on a colour cache is used."""
+    red, green and blue. Beyond 1 MiB further files follow the first one. From 2,048 pixels on a colour cache is used,
+    but for palettes. Repeated runs become back-references."""
     step = 4 * WIDTH * MAX_HEIGHT
     out = []
     for begin in range(0, len(payload), step):
         pixels = np.frombuffer(payload[begin : begin + step], ">u4").astype(np.uint32)
-        out.append(encode(pixels, WIDTH, Options(cache_bits=8 if len(pixels) >= 2048 else 0)))
+        transforms = _transforms(pixels)
+        cached = len(pixels) >= 2048 and (PALETTE,) not in transforms
+        out.append(encode(pixels, WIDTH, Options(8 if cached else 0, transforms=transforms, search=True)))
     return b"".join(out)
 
 
