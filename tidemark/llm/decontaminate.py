@@ -197,7 +197,7 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.R
             yield batch.slice(begin, rows)
 
 
-def _product(opens: np.ndarray, feature: np.ndarray, value: np.ndarray, table: np.ndarray, widest: int = 1 << 13, most: int = 1 << 21) -> np.ndarray:
+def _product(opens: np.ndarray, feature: np.ndarray, value: np.ndarray, table: np.ndarray, widest: int = 1 << 13, most: int = 1 << 19) -> np.ndarray:
     """Sparse rows times a float table. Row r holds the entries from opens[r] to opens[r + 1], a feature once. Up to `widest` features, dense
     blocks of at most `most` values are several times quicker than sums over entries."""
     out = np.zeros((len(opens) - 1, table.shape[1]), table.dtype)
