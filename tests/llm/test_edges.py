@@ -468,3 +468,27 @@ def test_payloads_are_written_with_copies_and_transforms():
     kinds = [[t[0] for t in webp.read_header(webp.chunk(f)).transforms] for f in files]
     assert kinds[5] == [webp.PALETTE] and kinds[6] == [webp.SUBTRACT_GREEN] and kinds[0] == []
     assert webp.back_references(np.frombuffer(noise * 2, ">u4").astype(np.uint32)) == [(1024, 1024, 1024)]
+
+
+def test_code_lengths_are_those_of_a_heap():
+    """The two queues join the same nodes as a heap of (count, node), ties included."""
+    import heapq
+
+    def heaped(counts):
+        used = sorted((c, s) for s, c in counts.items() if c)
+        heap = [(c, i) for i, (c, _) in enumerate(used)]
+        inside = {i: [i] for i in range(len(used))}
+        depth = [0] * len(used)
+        for node in range(len(used), 2 * len(used) - 1):
+            (c, a), (d, b) = heapq.heappop(heap), heapq.heappop(heap)
+            inside[node] = inside[a] + inside[b]
+            for i in inside[node]:
+                depth[i] += 1
+            heapq.heappush(heap, (c + d, node))
+        return {s: depth[i] for i, (_, s) in enumerate(used)}
+
+    rng = np.random.default_rng(5)
+    for size in (2, 3, 40, 250):
+        for most in (1, 3, 30):
+            counts = dict(enumerate(rng.integers(1, most + 1, size).tolist()))
+            assert webp.code_lengths(counts, 64) == heaped(counts)

@@ -10,7 +10,6 @@ are estimated to save bits; the predictor and cross-colour, which are made for n
 from __future__ import annotations
 
 import functools
-import heapq
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -63,13 +62,23 @@ def code_lengths(counts: dict[int, int], longest: int = _LONGEST) -> dict[int, i
     if len(used) < 2:
         return {s: 0 for _, s in used}
     while True:
-        heap = [(c, i) for i, (c, _) in enumerate(used)]
-        parent: list[int] = [0] * (2 * len(used) - 1)
-        for node in range(len(used), 2 * len(used) - 1):
-            a = heapq.heappop(heap)
-            b = heap[0]
-            parent[a[1]] = parent[b[1]] = node
-            heapq.heapreplace(heap, (a[0] + b[0], node))
+        # Leaves are in order and joint nodes come in order, so the two least stand at the fronts of two queues; leaves go first.
+        n, limit = len(used), 1 << 62
+        weight = [c for c, _ in used] + [limit] * n
+        parent: list[int] = [0] * (2 * n - 1)
+        leaf, joint = 0, n
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and weight[leaf] <= weight[joint]:
+                    total += weight[leaf]
+                    parent[leaf] = node
+                    leaf += 1
+                else:
+                    total += weight[joint]
+                    parent[joint] = node
+                    joint += 1
+            weight[node] = total
         depth = [0] * len(parent)
         for node in range(len(parent) - 2, -1, -1):
             depth[node] = depth[parent[node]] + 1
@@ -78,6 +87,7 @@ def code_lengths(counts: dict[int, int], longest: int = _LONGEST) -> dict[int, i
         used = [((c + 1) // 2, s) for c, s in used]
 
 
+@functools.cache
 def _reverse(value: int, n: int) -> int:
     return int(f"{value:0{n}b}"[::-1], 2) if n else 0
 
@@ -125,6 +135,7 @@ def put_code(out: Writer, lengths: dict[int, int]) -> None:
     meta = code_lengths(counts, 7)
     codes = canonical(meta)
     last = max(i for i, s in enumerate(CODE_LENGTH_ORDER) if s in meta)
+    whole, out = out, Writer()  # a short number grows faster
     out.put(0, 1)
     out.put(max(last + 1, 4) - 4, 4)
     for s in CODE_LENGTH_ORDER[: max(last + 1, 4)]:
@@ -137,6 +148,7 @@ def put_code(out: Writer, lengths: dict[int, int]) -> None:
     for token, extra, n in tokens:
         code, size = codes[token]
         out.put(code | extra << size, size + n)
+    whole.put(out.value, out.size)
 
 
 def read_lengths(bits: Bits, alphabet: int) -> dict[int, int]:
@@ -230,7 +242,8 @@ def _pixels(data: np.ndarray, streams: list[Stream]) -> tuple[list[np.ndarray],
     order = sorted(range(len(streams)), key=lambda i: -streams[i].width * streams[i].height)
     held = [streams[i] for i in order]
     sizes = np.array([s.width * s.height for s in held], np.int64)
-    words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    # Signed like the places: the sign's bits come in from above, where no code reads.
+    words = np.ndarray((len(data) - 7,), "<i8", data, 0, (1,))
     bit = np.array([s.bit for s in held], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
     out = np.zeros(int(sizes.sum()), np.uint32)
@@ -251,7 +264,7 @@ def _pixels(data: np.ndarray, streams: list[Stream]) -> tuple[list[np.ndarray],
             base.append(row)
             mask.append([len(t) - 1 for t in group])
     table = np.concatenate(tables)
-    base_of, mask_of = np.array(base, np.int64).T.copy(), np.array(mask, np.uint64).T.copy()
+    base_of, mask_of = np.array(base, np.int64).T.copy(), np.array(mask, np.int64).T.copy()
     group = np.array(group_of, np.int64)
     any_meta = any(s.meta is not None for s in held)
     plain = all(s.cache_bits == 0 for s in held) and all(int((g[0] & 0xFFF).max()) < 256 for s in held for g in s.codes)
@@ -265,16 +278,18 @@ def _pixels(data: np.ndarray, streams: list[Stream]) -> tuple[list[np.ndarray],
     bases, masks = [b[group] for b in base_of], [m[group] for m in mask_of]
 
     def symbol(which: int, rows: np.ndarray | slice, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        entry = table[bases[which][rows] + (window & masks[which][rows]).astype(np.int64)]
-        return entry & 0xFFF, (entry >> 12).astype(np.int64)
+        at = window & masks[which][rows]
+        at += bases[which][rows]
+        entry = table.take(at)
+        return entry & 0xFFF, entry >> 12
 
     def look(where: np.ndarray) -> np.ndarray:
-        return words[where >> 3] >> (where & 7).astype(np.uint64)
+        return words[where >> 3] >> (where & 7)
 
     def extra(where: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A value of the length and distance prefix coding, and the bit after it."""
         n = np.where(prefix < 4, 0, (prefix - 2) >> 1)
-        low = (look(where) & ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        low = look(where) & ((1 << n) - 1)
         return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << n) + low) + 1, where + n
 
     active = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")
@@ -312,12 +327,12 @@ def _pixels(data: np.ndarray, streams: list[Stream]) -> tuple[list[np.ndarray],
             bit[some] = where[hit] + n[hit]
             keep = green < 256
             where, window, values, n = where[keep], window[keep], green[keep], n[keep]
-        window = window >> n.astype(np.uint64)
+        window = window >> n
         red, n_red = symbol(1, literal, window)
         n = n + n_red
-        window = look(where + n) if deepest > 56 else window >> n_red.astype(np.uint64)
+        window = look(where + n) if deepest > 56 else window >> n_red
         blue, n_blue = symbol(2, literal, window)
-        alpha, n_alpha = symbol(3, literal, window >> n_blue.astype(np.uint64))
+        alpha, n_alpha = symbol(3, literal, window >> n_blue)
         bit[literal] = where + n + n_blue + n_alpha
         out[starts[literal] + t] = alpha.astype(np.uint32) << 24 | red.astype(np.uint32) << 16 | values.astype(np.uint32) << 8 | blue
         if not plain and left[:k].any():
@@ -634,8 +649,10 @@ def _hits(pixels: np.ndarray, bits: int) -> np.ndarray:
 
 def _lookup(lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
     codes, sizes = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-    for symbol, (code, n) in canonical(lengths).items():
-        codes[symbol], sizes[symbol] = code, n
+    found = canonical(lengths)
+    if found:
+        at = np.fromiter(found, np.int64, len(found))
+        codes[at], sizes[at] = np.array(list(found.values()), np.uint64).T
     return codes, sizes
 
 
