@@ -492,3 +492,17 @@ def test_code_lengths_are_those_of_a_heap():
         for most in (1, 3, 30):
             counts = dict(enumerate(rng.integers(1, most + 1, size).tolist()))
             assert webp.code_lengths(counts, 64) == heaped(counts)
+
+
+def test_band_values_do_not_depend_on_blocks(monkeypatch):
+    """Lines are taken in blocks of about BLOCK shingles; a longer line is a block of its own."""
+    rng = np.random.default_rng(6)
+    points = rng.integers(32, 3000, 4000).astype(np.uint32)
+    cuts = np.concatenate(([0], np.sort(rng.choice(np.arange(1, 3000), 60, replace=False)), [4000]))
+    first, last = (x[np.diff(cuts) >= linededup.PROBE] for x in (cuts[:-1], cuts[1:]))
+    whole = linededup.band_values(points, first, last)
+    alone = np.concatenate([linededup.band_values(points[a:b], np.array([0]), np.array([b - a])) for a, b in zip(first, last, strict=True)])
+    assert (whole == alone).all()
+    for block in (1, 100):
+        monkeypatch.setattr(linededup, "BLOCK", block)
+        assert (linededup.band_values(points, first, last) == whole).all()

@@ -37,18 +37,29 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 OWN, TWICE = 65534, 65535
 #: Bits of a line's marks, see `_marked`.
 CORE, REST = 1024, 1024
+#: Shingles whose minima are taken at once.
+BLOCK = 1 << 16
 
 
 def character_shingles(points: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """At each code point the hash of the `size` points (SHINGLE or PROBE) from there on (0 beyond the end), by doubling."""
-    ahead = lambda x, n: np.concatenate((x[n:], np.zeros(min(n, len(x)), np.uint64)))
+
+    def followed(head: np.ndarray, tail: np.ndarray, at: int) -> np.ndarray:
+        """The hashes of `head`, each with that of `tail` from `at` points on behind it."""
+        factor = _STEP
+        for _ in range(1, at if tail is head else 1):
+            factor = np.multiply(factor, _STEP)
+        out = head * factor
+        out[: max(0, len(out) - at)] += tail[at:]
+        return out
+
     one = tb.mix(points.astype(np.uint64) + np.uint64(1))
-    two = one * _STEP + ahead(one, 1)
-    four = two * _STEP * _STEP + ahead(two, 2)
+    two = followed(one, one, 1)
+    four = followed(two, two, 2)
     if size == SHINGLE:
-        return four * _STEP + ahead(one, 4)
-    eight = four * _STEP * _STEP * _STEP * _STEP + ahead(four, 4)
-    return eight * _STEP + ahead(one, 8)
+        return followed(four, one, 4)
+    eight = followed(four, four, 4)
+    return followed(eight, one, 8)
 
 
 def line_sets(text: str) -> np.ndarray:
@@ -66,16 +77,26 @@ def _lines(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def band_values(points: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A row of BANDS 64-bit values for each line [first, last) of code points, none of which is shorter than PROBE."""
     counts = last - first - PROBE + 1
-    low = (tb.mix(character_shingles(points, PROBE)) >> np.uint64(32)).astype(np.uint32)[tb.ranges(first, counts)]
-    at = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
-    out, turned = np.empty((len(first), BANDS), np.uint64), np.empty_like(low)
-    for k in range(BANDS if len(first) else 0):
-        joint = np.full(len(first), _TAG[k])
-        for r in range(ROWS * k, ROWS * (k + 1)):
-            np.multiply(low, _ODD[r], out=turned)  # multiplication by an odd number permutes the hashes
-            joint = tb.mix(joint * _STEP + np.minimum.reduceat(turned, at))
-        out[:, k] = joint
-    return out
+    hashes = (tb.mix(character_shingles(points, PROBE)) >> np.uint64(32)).astype(np.uint32)
+    least = np.empty((BANDS, ROWS, len(first)), np.uint32)
+    ends = np.cumsum(counts)
+    begin = 0
+    while begin < len(first):  # lines of about BLOCK shingles, which stay in a core's cache
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + BLOCK, side="right")))
+        low = hashes[tb.ranges(first[begin:end], counts[begin:end])]
+        at = ends[begin:end] - counts[begin:end] - (ends[begin - 1] if begin else 0)
+        turned = np.empty_like(low)
+        for k, rows in enumerate(least):
+            for r, row in enumerate(rows):
+                np.multiply(low, _ODD[ROWS * k + r], out=turned)  # multiplication by an odd number permutes the hashes
+                np.minimum.reduceat(turned, at, out=row[begin:end])
+        begin = end
+    joint = np.repeat(_TAG[:BANDS, None], len(first), axis=1)
+    for r in range(ROWS):
+        joint *= _STEP
+        joint += least[:, r]
+        joint = tb.mix(joint)
+    return np.ascontiguousarray(joint.T)
 
 
 def _read(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,7 +146,7 @@ def ask(chunks: DataFrame, pieces: int) -> DataFrame:
             held.clear()
             notes = np.concatenate((np.where(places > 1, TWICE, OWN), np.repeat((banded % np.uint64(OWN)).astype(np.uint16), BANDS))).astype("<u2")
             values = np.concatenate((own, values))
-            order = np.argsort(values, kind="stable")
+            order = np.argsort(values)  # values that stand twice get one note, whichever comes first
             values, notes = values[order], notes[order]
             opens = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
             notes[opens[:-1][np.diff(opens) > 1]] = TWICE
