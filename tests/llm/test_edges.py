@@ -506,3 +506,17 @@ def test_band_values_do_not_depend_on_blocks(monkeypatch):
     for block in (1, 100):
         monkeypatch.setattr(linededup, "BLOCK", block)
         assert (linededup.band_values(points, first, last) == whole).all()
+
+
+def test_training_does_not_depend_on_blocks(monkeypatch):
+    """Outputs are worked on in blocks of BLOCK rows; steps are those of all rows at once."""
+    from tidemark.llm import attention
+
+    rng = np.random.default_rng(7)
+    x, target = rng.integers(0, 12, (40, attention.WINDOW)), rng.integers(0, 6, (40, attention.WINDOW))
+    scored = rng.random(x.shape) < 0.7
+    got = []
+    for block in (5, 1 << 20):
+        monkeypatch.setattr(attention, "BLOCK", block)
+        got.append(attention.flat(attention.train(x, target, scored, 12, 6, steps=8, batch=16)))
+    np.testing.assert_allclose(*got, atol=1e-3)

@@ -15,6 +15,8 @@ import numpy as np
 from tidemark.llm import textbytes as tb
 
 WINDOW, OVERLAP, WIDTH = 32, 8, 16
+#: Rows of outputs that are worked on at once, so that they stay in a core's cache.
+BLOCK = 1024
 
 
 def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -48,10 +50,10 @@ class AttentionModel:
         tables = [(embed @ w[n], place @ w[n]) for n in ("Wq", "Wk", "Wv")]
         causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
         scale = np.float32(1 / np.sqrt(WIDTH))
-        ones = np.ones(self.heads + 1, np.float32)
+        ones = np.ones(max(self.heads + 1, WINDOW), np.float32)
         for begin in range(0, len(x), batch):
             part = x[begin : begin + batch]
-            q, k, v = (token[part] + position for token, position in tables)
+            q, k, v = (token.take(part, 0) + position for token, position in tables)
             q *= scale
             a = np.matmul(q, k.transpose(0, 2, 1))
             if max(a.max(initial=0), -a.min(initial=0)) > 60:  # else exp is in range without a shift
@@ -60,12 +62,12 @@ class AttentionModel:
             np.exp(a, out=a)
             a *= causal
             mixed = np.matmul(a, v)
-            mixed /= a.sum(2, keepdims=True)
+            mixed /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(-1, WINDOW, 1)
             goal = where[begin : begin + batch]
             scored = np.nonzero(goal >= 0)
             h = mixed[scored] @ w["Wo"]
-            h += embed[part[scored]]
-            h += place[scored[1]]
+            h += embed.take(part[scored], 0)
+            h += place.take(scored[1], 0)
             z = h @ w["U"]
             z += w["b"]
             wanted = z[np.arange(len(z)), target[begin : begin + batch][scored]]
@@ -74,7 +76,7 @@ class AttentionModel:
                 z -= top[:, None]
                 wanted = wanted - top
             np.exp(z, out=z)
-            out[goal[scored]] = wanted - np.log(z @ ones)
+            out[goal[scored]] = wanted - np.log(z @ ones[: self.heads + 1])
         outside = np.minimum(self.places[ids], self.heads) == self.heads
         out[outside] += self.tail[ids[outside]]
         return out
@@ -119,8 +121,9 @@ def train(
     square = {k: np.zeros_like(v) for k, v in w.items()}
     causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
     scale = np.float32(1 / np.sqrt(WIDTH))
-    ones = np.ones(outputs, np.float32)
+    ones = np.ones(max(outputs, WINDOW), np.float32)
     cube = lambda m: m.reshape(-1, WINDOW, WIDTH)
+    cube3 = lambda m: m.reshape(-1, WINDOW, 3 * WIDTH)
     flat = lambda m: m.reshape(-1, WIDTH)
     order, at = np.zeros(0, np.int64), 0
     for step in range(1, steps + 1):
@@ -131,44 +134,54 @@ def train(
         at += batch
         part, count = x[chosen].ravel(), np.flatnonzero(scored[chosen])
         goal = target[chosen].ravel()[count]
-        e = flat(cube(w["E"][part]) + w["P"])
-        q, k, v = (cube(e @ w[n]) for n in ("Wq", "Wk", "Wv"))
+        e = flat(cube(w["E"].take(part, 0)) + w["P"])
+        into = np.concatenate((w["Wq"] * scale, w["Wk"], w["Wv"]), axis=1)
+        all_ = e @ into
+        q, k, v = (cube3(all_)[:, :, c : c + WIDTH] for c in (0, WIDTH, 2 * WIDTH))
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= scale
         if max(a.max(initial=0), -a.min(initial=0)) > 60:  # else exp is in range without a shift
             a -= np.where(causal > 0, a, -np.inf).max(2, keepdims=True)
             np.minimum(a, 0, out=a)
         np.exp(a, out=a)
         a *= causal
-        a /= a.sum(2, keepdims=True)
+        a /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(-1, WINDOW, 1)
         mixed = flat(np.matmul(a, v))
-        h = (e + mixed @ w["Wo"])[count]
-        z = h @ w["U"]
-        z += w["b"]
-        if z.max(initial=0) > 60 or z.min(initial=0) < -60:
-            z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= (z @ ones)[:, None]
-        z[np.arange(len(z)), goal] -= 1
-        z *= np.float32(1 / max(1, len(count)))
-        g = {"U": h.T @ z, "b": np.ones(len(z), np.float32) @ z}
-        dh = np.zeros_like(e)
-        dh[count] = z @ w["U"].T
+        # The last column makes the bias a row of the output weights.
+        h = np.ones((len(count), WIDTH + 1), np.float32)
+        h[:, :WIDTH] = (e + mixed @ w["Wo"]).take(count, 0)
+        upper = np.concatenate((w["U"], w["b"][None, :]))
+        back = np.ascontiguousarray(w["U"].T)
+        dh, g_upper = np.zeros_like(e), np.zeros_like(upper)
+        share_of = np.float32(1 / max(1, len(count)))
+        for begin in range(0, len(count), BLOCK):
+            # The block's exponentials stay as they are: their sums divide what is taken from them.
+            some = h[begin : begin + BLOCK]
+            z = some @ upper
+            if z.max(initial=0) > 60 or z.min(initial=0) < -60:
+                z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            total = z @ ones[:outputs]
+            z[np.arange(len(z)), goal[begin : begin + BLOCK]] -= total
+            by = (share_of / total)[:, None]
+            g_upper += (some * by).T @ z
+            dh[count[begin : begin + BLOCK]] = (z @ back) * by
+        g = {"U": g_upper[:WIDTH], "b": g_upper[WIDTH]}
         g["Wo"] = mixed.T @ dh
         d_mixed = cube(dh @ w["Wo"].T)
         d_s = np.matmul(d_mixed, v.transpose(0, 2, 1))
         # The rows' sums of a * d_a are those of the mixed values.
-        d_s -= (flat(d_mixed) * mixed).sum(1).reshape(-1, WINDOW, 1)
+        d_s -= ((flat(d_mixed) * mixed) @ ones[:WIDTH]).reshape(-1, WINDOW, 1)
         d_s *= a
-        d_s *= scale
-        d_q, d_k, d_v = flat(np.matmul(d_s, k)), flat(np.matmul(d_s.transpose(0, 2, 1), q)), flat(np.matmul(a.transpose(0, 2, 1), d_mixed))
-        de = dh + d_q @ w["Wq"].T + d_k @ w["Wk"].T + d_v @ w["Wv"].T
-        for name, d in (("Wq", d_q), ("Wk", d_k), ("Wv", d_v)):
-            g[name] = e.T @ d
+        d_all = np.empty_like(all_)
+        d_q, d_k, d_v = (cube3(d_all)[:, :, c : c + WIDTH] for c in (0, WIDTH, 2 * WIDTH))
+        np.matmul(d_s, k, out=d_q)
+        np.matmul(d_s.transpose(0, 2, 1), q, out=d_k)
+        np.matmul(a.transpose(0, 2, 1), d_mixed, out=d_v)
+        de = dh + d_all @ into.T
+        g_into = e.T @ d_all
+        g["Wq"], g["Wk"], g["Wv"] = g_into[:, :WIDTH] * scale, g_into[:, WIDTH : 2 * WIDTH], g_into[:, 2 * WIDTH :]
         g["P"] = cube(de).sum(0)
-        g["E"] = np.empty_like(w["E"])
-        for c in range(WIDTH):
-            g["E"][:, c] = np.bincount(part, de[:, c], places)
+        g["E"] = np.bincount((part[:, None] * WIDTH + np.arange(WIDTH)).ravel(), de.ravel(), places * WIDTH).reshape(places, WIDTH).astype(np.float32)
         pace = rate * min(1.0, step / 20) * (1 - 0.9 * step / steps)
         for name, grad in g.items():
             mean[name] += np.float32(0.1) * (grad - mean[name])
