@@ -520,3 +520,54 @@ def test_training_does_not_depend_on_blocks(monkeypatch):
         monkeypatch.setattr(attention, "BLOCK", block)
         got.append(attention.flat(attention.train(x, target, scored, 12, 6, steps=8, batch=16)))
     np.testing.assert_allclose(*got, atol=1e-3)
+
+
+def test_words_met_before_are_not_split_again(monkeypatch):
+    """The kept ids are those of a fresh split, with one word a slot, with all words in few slots, and after the pool was full."""
+    import pyarrow as pa
+
+    from tidemark.llm import textbytes as tb
+
+    with open(lmscore.default_ranks(), "rb") as file:
+        ranks = file.read()
+    texts = ["Some words, some WORDS again", None, "", "\u3000 \u00a0x\u00a0 \u2028 1234567 don't", "\ud55c\uad6d\uc5b4 e\u0301 " + "z" * 5000, *(f"w{i} x{i % 7}" for i in range(300))]
+    (_, _, buf, offsets), *_ = tb.runs(pa.array(texts, pa.string()))
+    words = lmscore._words(buf, offsets)
+    low, starts, ends, hashes, first = words
+    alone = lmscore.Subwords(ranks)
+    want = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        for s, e in zip(starts[a:b], ends[a:b], strict=True):
+            want += alone.split(low[s:e].tobytes(), np.array([0, e - s]))[0].tolist()
+        want.append(alone.size - 1)
+    for kept, pool in ((lmscore.KEPT, lmscore.POOL), (2, lmscore.POOL), (lmscore.KEPT, 0)):
+        monkeypatch.setattr(lmscore, "KEPT", kept)
+        monkeypatch.setattr(lmscore, "POOL", pool)
+        reader, split = lmscore.Subwords(ranks), []
+        fresh = reader.split
+        monkeypatch.setattr(reader, "split", lambda body, at, fresh=fresh, split=split: split.append(len(at) - 1) or fresh(body, at))
+        for _ in range(2):
+            ids, row_first, begins = lmscore._text_ids(reader, *words)
+            assert ids.tolist() == want and len(begins) == len(starts) + len(texts) and row_first[-1] == len(ids)
+        assert split[0] == len(np.unique(hashes)) and sum(split[1:]) < split[0] or kept == 2 or pool == 0
+    assert len(lmscore.Places(np.unique(hashes)).of(hashes)) == len(hashes)
+    assert (np.unique(hashes)[lmscore.Places(np.unique(hashes)).of(hashes)] == hashes).all()
+
+
+def test_overlaps_of_windows_do_not_change_scores(monkeypatch):
+    """Queries are left out where a window overlaps the one before: each id has the score that its window gives it alone."""
+    from tidemark.llm import attention
+
+    rng = np.random.default_rng(8)
+    n = 3 * attention.WINDOW
+    ids, places = rng.integers(0, 9, n), np.arange(10)
+    x, target, where = attention.windows(ids, np.array([0, n]), places, 5)
+    model = attention.AttentionModel(places, 5, np.zeros(10, np.float32), attention.train(x, target, where >= 0, 11, 6, steps=20))
+    got, w = model.log_probabilities(ids, np.array([0, n])), model.weights
+    for row in range(len(x)):
+        e = w["E"][x[row]] + w["P"]
+        a = np.exp((e @ w["Wq"]) @ (e @ w["Wk"]).T / 4) * np.tril(np.ones((attention.WINDOW, attention.WINDOW)))
+        z = (e + (a / a.sum(1, keepdims=True)) @ (e @ w["Wv"]) @ w["Wo"]) @ w["U"] + w["b"]
+        all_ = z - np.log(np.exp(z).sum(1, keepdims=True))
+        held = where[row] >= 0
+        np.testing.assert_allclose(got[where[row][held]], all_[held, target[row][held]], atol=1e-4)

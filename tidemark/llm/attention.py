@@ -39,44 +39,51 @@ class AttentionModel:
     tail: np.ndarray
     weights: dict[str, np.ndarray]
 
-    def log_probabilities(self, ids: np.ndarray, first: np.ndarray, batch: int = 96) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, first: np.ndarray, batch: int = 48) -> np.ndarray:
         """The natural log-probability of every id given those before it in its row. Row r holds ids[first[r]:first[r + 1]]."""
         out = np.zeros(len(ids), np.float32)
         if not len(ids):
             return out
         x, target, where = windows(ids, first, self.places, self.heads)
         w = self.weights
-        embed, place = w["E"], w["P"]
-        tables = [(embed @ w[n], place @ w[n]) for n in ("Wq", "Wk", "Wv")]
+        # Queries against embeddings, and values as outputs, are one product each, looked up by place.
+        into = np.concatenate((w["Wq"] @ w["Wk"].T * np.float32(1 / np.sqrt(WIDTH)), w["Wv"] @ w["Wo"]), axis=1)
+        tokens, positions = (np.concatenate((w[n], w[n] @ into), axis=1) for n in ("E", "P"))
+        upper = np.concatenate((w["U"], w["b"][None, :]))
         causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-        scale = np.float32(1 / np.sqrt(WIDTH))
         ones = np.ones(max(self.heads + 1, WINDOW), np.float32)
-        for begin in range(0, len(x), batch):
-            part = x[begin : begin + batch]
-            q, k, v = (token.take(part, 0) + position for token, position in tables)
-            q *= scale
-            a = np.matmul(q, k.transpose(0, 2, 1))
-            if max(a.max(initial=0), -a.min(initial=0)) > 60:  # else exp is in range without a shift
-                a -= np.where(causal > 0, a, -np.inf).max(2, keepdims=True)
-                np.minimum(a, 0, out=a)
-            np.exp(a, out=a)
-            a *= causal
-            mixed = np.matmul(a, v)
-            mixed /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(-1, WINDOW, 1)
-            goal = where[begin : begin + batch]
-            scored = np.nonzero(goal >= 0)
-            h = mixed[scored] @ w["Wo"]
-            h += embed.take(part[scored], 0)
-            h += place.take(scored[1], 0)
-            z = h @ w["U"]
-            z += w["b"]
-            wanted = z[np.arange(len(z)), target[begin : begin + batch][scored]]
-            if z.max(initial=0) > 60 or z.min(initial=0) < -60:
-                top = z.max(1)
-                z -= top[:, None]
-                wanted = wanted - top
-            np.exp(z, out=z)
-            out[goal[scored]] = wanted - np.log(z @ ones[: self.heads + 1])
+        later = (where[:, :OVERLAP] < 0).all(1)  # these need no outputs where they overlap
+        for of, skip in ((np.flatnonzero(later), OVERLAP), (np.flatnonzero(~later), 0)):
+            mask = causal[skip:]
+            for begin in range(0, len(of), batch):
+                some = of[begin : begin + batch]
+                all_ = tokens.take(x[some], 0)
+                all_ += positions
+                e, q, v = all_[:, :, :WIDTH], all_[:, skip:, WIDTH : 2 * WIDTH], all_[:, :, 2 * WIDTH :]
+                a = np.matmul(q, e.transpose(0, 2, 1))
+                if max(a.max(initial=0), -a.min(initial=0)) > 60:  # else exp is in range without a shift
+                    a -= np.where(mask > 0, a, -np.inf).max(2, keepdims=True)
+                    np.minimum(a, 0, out=a)
+                np.exp(a, out=a)
+                a *= mask
+                mixed = np.matmul(a, v)
+                mixed /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(len(some), -1, 1)
+                mixed += e[:, skip:]
+                goal = where[some, skip:].ravel()
+                scored = np.flatnonzero(goal >= 0)
+                goal, wants = goal[scored], target[some, skip:].ravel()[scored]
+                # The last column makes the bias a row of the output weights.
+                h = np.ones((len(scored), WIDTH + 1), np.float32)
+                h[:, :WIDTH] = mixed.reshape(-1, WIDTH).take(scored, 0)
+                for at in range(0, len(h), BLOCK):
+                    z = h[at : at + BLOCK] @ upper
+                    wanted = z[np.arange(len(z)), wants[at : at + BLOCK]]
+                    if z.max(initial=0) > 60 or z.min(initial=0) < -60:
+                        top = z.max(1)
+                        z -= top[:, None]
+                        wanted = wanted - top
+                    np.exp(z, out=z)
+                    out[goal[at : at + BLOCK]] = wanted - np.log(z @ ones[: self.heads + 1])
         outside = np.minimum(self.places[ids], self.heads) == self.heads
         out[outside] += self.tail[ids[outside]]
         return out

@@ -28,6 +28,8 @@ from tidemark.llm.scratch import remove, written
 from tidemark.llm.vectors import added
 
 EMBEDDED, HEADS = 1023, 127
+#: Bits of the number of words whose subwords a worker keeps, and the most ids that it keeps for them.
+KEPT, POOL = 21, 1 << 22
 #: The end of a text, as a word hash of its own.
 END = int(tb.mix(np.array([0x454E44], np.uint64))[0])
 SMOOTHING = 0.1
@@ -40,7 +42,10 @@ def default_ranks() -> str:
 
 
 class Subwords:
-    """Subword ids of words, each read with a space before it. The end of a text has an id of its own."""
+    """Subword ids of words, each read with a space before it. The end of a text has an id of its own.
+
+    A word's ids don't depend on the words around it, so those met before are kept by their hash, one word a slot: `pool` holds
+    ids, the end's first. What has no slot is split again."""
 
     def __init__(self, ranks: bytes):
         import public_tokenizers
@@ -51,6 +56,39 @@ class Subwords:
         self.size = max(self.table.values()) + 2
         self.opens = np.zeros(self.size, bool)
         self.opens[[i for raw, i in self.table.items() if raw[:1] == b" "]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.pool, self.used = np.full(1 << 16, self.size - 1, np.int32), 1
+        self.words = np.zeros(1 << KEPT, np.uint64)
+        self.words[0] = ~np.uint64(0)  # as no word stands in another's slot, these are in none
+        self.begins, self.sizes = np.zeros(1 << KEPT, np.int32), np.zeros(1 << KEPT, np.int32)
+
+    def find(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `pool` the ids of each word [start, end) of buf begin, and their number; until the next call."""
+        if self.used > POOL:
+            self.forget()
+        slots = (hashes >> np.uint64(64 - KEPT)).astype(np.int64)
+        begins, sizes = self.begins[slots].astype(np.int64), self.sizes[slots].astype(np.int64)
+        fresh = np.flatnonzero(self.words[slots] != hashes)
+        if not len(fresh):
+            return begins, sizes
+        words, sample, which = np.unique(hashes[fresh], return_index=True, return_inverse=True)
+        body, at = tb.span_bytes(buf, starts[fresh[sample]], ends[fresh[sample]])
+        ids, cuts = self.split(body.tobytes(), at)
+        if self.used + len(ids) > len(self.pool):
+            grown = np.empty(max(2 * len(self.pool), self.used + len(ids)), np.int32)
+            grown[: self.used] = self.pool[: self.used]
+            self.pool = grown
+        self.pool[self.used : self.used + len(ids)] = ids
+        new, size = self.used + cuts[:-1], np.diff(cuts)
+        self.used += len(ids)
+        begins[fresh], sizes[fresh] = new[which], size[which]
+        slots = (words >> np.uint64(64 - KEPT)).astype(np.int64)
+        last = np.append(slots[1:] != slots[:-1], True)  # of words that want the same slot
+        slots = slots[last]
+        self.words[slots], self.begins[slots], self.sizes[slots] = words[last], new[last], size[last]
+        return begins, sizes
 
     def split(self, body: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and each word's first (n + 1 values). body has no ASCII white space, so an id
@@ -73,14 +111,11 @@ def _reader(ranks: bytes) -> Subwords:
     return _subwords[key]
 
 
-def _distinct(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
-    """Distinct word hashes (sorted), which of them each word is, each row's first word, and the distinct words' bytes
-    with their offsets."""
+def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The buffer in lower case, the words' starts, ends and hashes, and each row's first word."""
     low = tb.lower_ascii(buf)
     starts, ends, first = tb.spans(low, offsets)
-    hashes, sample, which = np.unique(tb.span_hash(low, starts, ends), return_index=True, return_inverse=True)
-    body, at = tb.span_bytes(low, starts[sample], ends[sample])
-    return hashes, which, first, body.tobytes(), at
+    return low, starts, ends, tb.span_hash(low, starts, ends), first
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,16 +142,14 @@ def ask(dealt: DataFrame, ranks, pieces: int) -> DataFrame:
                 mine = pa.array(chunks == chunk)
                 texts, training = batch.column(1).filter(mine), batch.column(2).filter(mine).to_numpy(zero_copy_only=False)
                 for begin, end, buf, offsets in tb.runs(texts, 1 << 20):
-                    hashes, which, first, body, at = _distinct(buf, offsets)
-                    count = np.diff(first)
-                    counted = np.repeat(training[begin:end], count)
-                    counts = np.bincount(which[counted], minlength=len(hashes))
-                    ids, begins = reader.split(body, at)
-                    subwords += np.bincount(ids, weights=np.repeat(counts, np.diff(begins)), minlength=reader.size).astype(np.int64)
-                    ends = int(training[begin:end].sum())
-                    subwords[-1] += ends
-                    parts = held.setdefault(chunk, [])
-                    parts += [(hashes, counts), (np.array([END], np.uint64), np.array([ends]))]
+                    low, starts, ends, hashes, first = _words(buf, offsets)
+                    counted = np.repeat(training[begin:end], np.diff(first))
+                    at, sizes = reader.find(hashes[counted], low, starts[counted], ends[counted])
+                    subwords += np.bincount(reader.pool[tb.ranges(at, sizes)], minlength=reader.size)
+                    rows = int(training[begin:end].sum())
+                    subwords[-1] += rows
+                    parts, others = held.setdefault(chunk, []), np.unique(hashes[~counted])
+                    parts += [np.unique(hashes[counted], return_counts=True), (np.append(others, np.uint64(END)), np.append(np.zeros(len(others), np.int64), rows))]
                     if len(parts) > 16:
                         held[chunk] = [_merged(parts)]
         width = -(-(1 << 64) // pieces)  # a chunk asks only in pieces where it has words, so rows are never more than words
@@ -172,7 +205,7 @@ def fit(rows: DataFrame, ranks, subwords: np.ndarray, sample_docs: int, sample_w
         reader = _reader(ranks.value)
         for batch in batches:
             for _, _, buf, offsets in tb.runs(batch.column(0)):
-                ids, first = _text_ids(reader, *_distinct(buf, offsets))
+                ids, first, _ = _text_ids(reader, *_words(buf, offsets))
                 x, target, where = attention.windows(ids, first, places, HEADS)
                 row = np.searchsorted(first, where.max(1), side="right")
                 rng = np.random.default_rng(int(first[-1]))
@@ -200,7 +233,7 @@ def _averaged(rows: DataFrame, ranks, model: attention.AttentionModel, rate: flo
         weights, seen = model.weights, 0
         for part in batches:
             for _, _, buf, offsets in tb.runs(part.column(0), 1 << 18):
-                ids, first = _text_ids(reader, *_distinct(buf, offsets))
+                ids, first, _ = _text_ids(reader, *_words(buf, offsets))
                 x, target, where = attention.windows(ids, first, model.places, model.heads)
                 if len(x):
                     weights = attention.train(x, target, where >= 0, EMBEDDED + 2, HEADS + 1, max(1, -(-len(x) // batch)), batch, rate, seed=seen + 1, start=weights)
@@ -216,24 +249,36 @@ def _averaged(rows: DataFrame, ranks, model: attention.AttentionModel, rate: flo
     return attention.AttentionModel(model.places, model.heads, model.tail, weights)
 
 
-def _text_ids(reader: Subwords, hashes: np.ndarray, which: np.ndarray, first: np.ndarray, body: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Subword ids of the rows, each with its end, and each row's first."""
-    ids, begins = reader.split(body, at)
-    return _laid_out(reader, ids, begins, which, first)[:2]
-
-
-def _laid_out(reader: Subwords, ids: np.ndarray, begins: np.ndarray, which: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Also where each token (a row's words, then its end) begins."""
-    ids = np.append(ids, reader.size - 1)
-    begins = np.append(begins, len(ids))  # the end is one more word
-    tokens = np.insert(which, first[1:], len(begins) - 2)
-    sizes = np.diff(begins)[tokens]
-    whole = ids[tb.ranges(begins[:-1][tokens], sizes)]
+def _text_ids(reader: Subwords, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subword ids of the rows, each with its end, each row's first, and where each token (a row's words, then its end) begins."""
+    begins, sizes = reader.find(hashes, low, starts, ends)
+    begins, sizes = np.insert(begins, first[1:], 0), np.insert(sizes, first[1:], 1)
+    whole = reader.pool[tb.ranges(begins, sizes)]
     starts = np.concatenate(([0], np.cumsum(sizes)))
     rows = first + np.arange(len(first))  # a row has one token more than words
     return whole, starts[rows], starts[:-1]
 
 
+class Places:
+    """Where words stand among sorted distinct hashes, by their first bits."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.shift = words, np.uint64(64 - max(1, min(24, len(words).bit_length())))
+        self.heads = np.searchsorted(words, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
+        self.most = int(np.diff(np.append(self.heads, len(words))).max())
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each of `hashes`, all of which are among the words."""
+        at = np.minimum(self.heads[(hashes >> self.shift).astype(np.int64)], len(self.words) - 1)
+        late = np.arange(len(at))
+        for _ in range(self.most):
+            late = late[self.words[at[late]] != hashes[late]]
+            if not len(late):
+                break
+            at[late] += 1
+        return at
+
+
 def score(
     docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", ranks: str | None = None, chunk_bytes: int = 16 << 20,
     piece_bytes: int = 512 << 20, mixture: float = 0.5, sample_docs: int = 1500, sample_windows: int = 16, steps: int = 500,
@@ -274,7 +319,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, model = _reader(held_ranks.value), held.value
-        chunk, parts, words, base, known = None, [], None, None, None
+        chunk, parts, places, base, known = None, [], None, None, None
         for batch in batches:
             chunks, is_answer = batch.column(0).to_numpy(), np.asarray(batch.column(2).is_valid())
             begin = 0
@@ -284,31 +329,30 @@ def score(
                 end = begin + int(differs[0]) if len(differs) else len(batch)
                 part = batch.slice(begin, end - begin)
                 if chunks[begin] != chunk:
-                    chunk, parts, words = chunks[begin], [], None
+                    chunk, parts, places = chunks[begin], [], None
                 if is_answer[begin]:
                     parts += [(np.frombuffer(w.as_buffer().to_pybytes(), np.uint64), np.frombuffer(c.as_buffer().to_pybytes(), np.int64)) for w, c in zip(part.column(2), part.column(3), strict=True)]
                 else:
-                    if words is None:
+                    if places is None:
                         words, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-                        parts = []
+                        places, parts = Places(words), []
                         base, known = np.log(counts + SMOOTHING) - bottom, counts > 0
-                    yield from scored(part, reader, model, words, base, known)
+                    yield from scored(part, reader, model, places, base, known)
                 begin = end
 
-    def scored(part: pa.RecordBatch, reader: Subwords, model: attention.AttentionModel, words: np.ndarray, base: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-        end_at = np.searchsorted(words, np.uint64(END))
+    def scored(part: pa.RecordBatch, reader: Subwords, model: attention.AttentionModel, places: Places, base: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+        end_at = places.of(np.array([END], np.uint64))[0]
         for begin, end, buf, offsets in tb.runs(part.column(5), 1 << 20):
-            hashes, which, first, body, at = _distinct(buf, offsets)
-            place = np.append(np.searchsorted(words, hashes), end_at)
-            tokens = np.insert(which, first[1:], len(hashes))
+            low_case, *words, hashes, first = _words(buf, offsets)
+            place = np.insert(places.of(hashes), first[1:], end_at)
             rows = (first + np.arange(len(first)))[:-1]
-            token_base = base[place][tokens]
-            ids, row_first, starts = _laid_out(reader, *reader.split(body, at), which, first)
+            token_base = base[place]
+            ids, row_first, starts = _text_ids(reader, low_case, *words, hashes, first)
             token_model = np.add.reduceat(model.log_probabilities(ids, row_first).astype(np.float64), starts)
             mixed = np.logaddexp(low[0] + token_base, low[1] + token_model)
             count = np.diff(first) + 1
             yield pa.RecordBatch.from_arrays([
-                part.column(4).slice(begin, end - begin), pa.array(count, pa.int64()), pa.array(np.add.reduceat(known[place][tokens].astype(np.int64), rows)),
+                part.column(4).slice(begin, end - begin), pa.array(count, pa.int64()), pa.array(np.add.reduceat(known[place].astype(np.int64), rows)),
                 pa.array(np.full(end - begin, n_total), pa.int64()), pa.array(np.add.reduceat(token_base, rows) / np.log(10)), pa.array(np.add.reduceat(mixed, rows) / np.log(10)),
             ], names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
