@@ -571,3 +571,17 @@ def test_overlaps_of_windows_do_not_change_scores(monkeypatch):
         all_ = z - np.log(np.exp(z).sum(1, keepdims=True))
         held = where[row] >= 0
         np.testing.assert_allclose(got[where[row][held]], all_[held, target[row][held]], atol=1e-4)
+
+
+def test_probe_hashes_do_not_depend_on_pieces(monkeypatch):
+    """Shingles are hashed in pieces of POINTS code points; those that begin in one piece and end in the next are whole."""
+    rng = np.random.default_rng(9)
+    points = rng.integers(32, 3000, 500).astype(np.uint32)
+    whole = linededup.probe_hashes(points)
+    n = len(points) - linededup.PROBE + 1
+    alone = [linededup.probe_hashes(points[i : i + linededup.PROBE])[0] for i in range(n)]
+    assert len(whole) == len(points) and whole[:n].tolist() == alone
+    for piece in (1, 7, 100, 500):
+        monkeypatch.setattr(linededup, "POINTS", piece)
+        assert (linededup.probe_hashes(points) == whole).all()
+    assert len(linededup.probe_hashes(points[:0])) == 0

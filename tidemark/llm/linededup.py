@@ -37,8 +37,9 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 OWN, TWICE = 65534, 65535
 #: Bits of a line's marks, see `_marked`.
 CORE, REST = 1024, 1024
-#: Shingles whose minima are taken at once.
+#: Shingles whose minima are taken at once, and code points whose shingles are hashed at once.
 BLOCK = 1 << 16
+POINTS = 1 << 15
 
 
 def character_shingles(points: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -74,10 +75,20 @@ def _lines(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends, ends
 
 
+def probe_hashes(points: np.ndarray) -> np.ndarray:
+    """32 bits of the hash of the PROBE points from each code point on, worked out in pieces that stay in a core's cache."""
+    out = np.empty(len(points), np.uint32)
+    for at in range(0, len(points), POINTS):
+        hashes = tb.mix(character_shingles(points[at : at + POINTS + PROBE - 1], PROBE))
+        hashes >>= np.uint64(32)
+        out[at : at + POINTS] = hashes[:POINTS]
+    return out
+
+
 def band_values(points: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A row of BANDS 64-bit values for each line [first, last) of code points, none of which is shorter than PROBE."""
     counts = last - first - PROBE + 1
-    hashes = (tb.mix(character_shingles(points, PROBE)) >> np.uint64(32)).astype(np.uint32)
+    hashes = probe_hashes(points)
     least = np.empty((BANDS, ROWS, len(first)), np.uint32)
     ends = np.cumsum(counts)
     begin = 0
