@@ -69,6 +69,26 @@ def line_sets(text: str) -> np.ndarray:
     return np.unique(character_shingles(points)[: max(1, len(points) - SHINGLE + 1)])
 
 
+def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The `line_sets` of lines one after another, and their n + 1 offsets."""
+    buf, _ = tb.joined(texts)
+    points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+    first, last = _lines(points)
+    hashes = np.empty(len(points), np.uint64)
+    for at in range(0, len(points), POINTS):
+        hashes[at : at + POINTS] = character_shingles(points[at : at + POINTS + SHINGLE - 1])[:POINTS]
+    counts = np.maximum(1, last - first - SHINGLE + 1)
+    out = hashes[tb.ranges(first, counts)]
+    cuts = np.concatenate(([0], np.cumsum(counts)))
+    for n in np.flatnonzero(last - first < SHINGLE):
+        out[cuts[n]] = character_shingles(points[first[n] : last[n]])[0] if last[n] > first[n] else 0
+    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        out[begin:end].sort()
+    new = np.concatenate(([True], out[1:] != out[:-1])) if len(out) else np.zeros(0, bool)
+    new[cuts[:-1]] = True
+    return out[new], np.concatenate(([0], np.cumsum(new)))[cuts]
+
+
 def _lines(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the lines of joined texts, each of which ends with a line feed."""
     ends = np.flatnonzero(points == 10)
@@ -110,9 +130,15 @@ def band_values(points: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
     return np.ascontiguousarray(joint.T)
 
 
-def _read(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def note(lines: np.ndarray) -> np.ndarray:
+    """16 bits of each line's hash, none of them OWN or TWICE."""
+    return (lines % np.uint64(OWN)).astype(np.uint16)
+
+
+def _read(texts: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of rows: (first row, rows' line counts, row, number, hash of each counted line, which of them have bands, their
-    values, the buffer, the lines' starts and ends in it). A line counts if it has a character other than white space."""
+    values, the buffer, the lines' starts and ends in it). A line counts if it has a character other than white space. Of equal
+    lines of a run the first has bands, and only if wanted, where given, holds its note."""
     for begin, end, buf, offsets in tb.runs(texts):
         starts, ends = _lines(buf)  # in bytes
         row = np.searchsorted(offsets, starts, side="right") - 1
@@ -122,8 +148,15 @@ def _read(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
         held = solid[last] > solid[first]
         number = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1])[row]
         starts, ends, first, last, row, number = (x[held] for x in (starts, ends, first, last, row, number))
-        long = np.flatnonzero(last - first >= PROBE)
-        yield begin, np.bincount(row, minlength=end - begin), row, number, tb.span_hash(buf, starts, ends), long, band_values(points, first[long], last[long]), buf, np.stack((starts, ends))
+        hashes = tb.span_hash(buf, starts, ends)
+        long = np.sort(np.unique(hashes, return_index=True)[1])
+        long = long[last[long] - first[long] >= PROBE]
+        if wanted is not None:
+            long = long[wanted[note(hashes[long])]]
+        lengths = last[long] - first[long]
+        begins = np.cumsum(lengths) - lengths
+        values = band_values(points[tb.ranges(first[long], lengths)], begins, begins + lengths)
+        yield begin, np.bincount(row, minlength=end - begin), row, number, hashes, long, values, buf, np.stack((starts, ends))
 
 
 def dealt(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> tuple[DataFrame, str, int]:
@@ -141,9 +174,9 @@ def dealt(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> tuple[DataF
 
 
 def ask(chunks: DataFrame, pieces: int) -> DataFrame:
-    """(piece, chunk, words, notes) of (chunk, text): a chunk's distinct values in a piece of the hash range, sorted, and a note
-    on each: TWICE where the chunk has it on two lines that differ, or, for a line's own value, in two places; OWN for another
-    line's own value; else 16 bits of the hash of its only line."""
+    """(piece, chunk, words, notes, both) of (chunk, text): a chunk's distinct values in a piece of the hash range, sorted, and a
+    note on each: TWICE where the chunk has it on two lines that differ, or, for a line's own value, in two places; OWN for another
+    line's own value; else 16 bits of the hash of its only line. both holds these bits of the lines of values that two of them have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -155,11 +188,13 @@ def ask(chunks: DataFrame, pieces: int) -> DataFrame:
             banded, at = np.unique(np.concatenate([h[long] for h, long, _ in held]), return_index=True)
             values = np.concatenate([v for _, _, v in held])[at].ravel()
             held.clear()
-            notes = np.concatenate((np.where(places > 1, TWICE, OWN), np.repeat((banded % np.uint64(OWN)).astype(np.uint16), BANDS))).astype("<u2")
+            notes = np.concatenate((np.where(places > 1, TWICE, OWN), np.repeat(note(banded), BANDS))).astype("<u2")
             values = np.concatenate((own, values))
             order = np.argsort(values)  # values that stand twice get one note, whichever comes first
             values, notes = values[order], notes[order]
-            opens = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+            again = values[1:] == values[:-1]
+            both = np.unique(notes[np.concatenate((again, [False])) | np.concatenate(([False], again))])
+            opens = np.flatnonzero(np.concatenate(([True], ~again)))
             notes[opens[:-1][np.diff(opens) > 1]] = TWICE
             if len(opens) and opens[-1] < len(values) - 1:
                 notes[opens[-1]] = TWICE
@@ -167,7 +202,8 @@ def ask(chunks: DataFrame, pieces: int) -> DataFrame:
             cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
             some = [i for i in range(pieces) if cuts[i + 1] > cuts[i]]
             cut = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), cut(values), cut(notes)], names=["piece", "chunk", "words", "notes"])
+            told = pa.array([both.tobytes(), *[b""] * (len(some) - 1)], pa.binary())  # once a chunk
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), cut(values), cut(notes), told], names=["piece", "chunk", "words", "notes", "both"])
 
         chunk = None
         for batch in batches:
@@ -181,11 +217,12 @@ def ask(chunks: DataFrame, pieces: int) -> DataFrame:
         if held:
             yield packed(chunk)
 
-    return chunks.select("chunk", "text").mapInArrow(tb.lean(run), "piece int, chunk long, words binary, notes binary")
+    return chunks.select("chunk", "text").mapInArrow(tb.lean(run), "piece int, chunk long, words binary, notes binary, both binary")
 
 
 def answer(asked: DataFrame) -> DataFrame:
-    """(chunk, words): of each question the values of two lines that differ, and the own values of lines in two places."""
+    """(chunk, words, notes): of each question the values of two lines that differ, and the own values of lines in two places; and
+    the notes of these values and of `both`, among which are those of all lines of the chunk with a shared band."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         words = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["words"]]
@@ -200,13 +237,15 @@ def answer(asked: DataFrame) -> DataFrame:
             least[at[some]] = np.minimum(least[at[some]], n[some])  # a question has a value once
             most[at[some]] = np.maximum(most[at[some]], n[some])
         shared = np.unique(np.concatenate([again[(least < most) | (most >= OWN)], *[w[n == TWICE] for w, n in zip(words, notes, strict=True)]]))
-        found = []
-        for w in words:
-            at = np.searchsorted(shared, w)
-            found.append(w[shared[np.minimum(at, len(shared) - 1)] == w].tobytes() if len(shared) else b"")
-        return pa.table({"chunk": table["chunk"], "words": pa.array(found, pa.binary())}).filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
+        found, told = [], []
+        for w, n, both in zip(words, notes, table["both"], strict=True):
+            held = shared[np.minimum(np.searchsorted(shared, w), len(shared) - 1)] == w if len(shared) else np.zeros(len(w), bool)
+            found.append(w[held].tobytes())
+            told.append(np.unique(np.concatenate((n[held], np.frombuffer(both.as_buffer(), "<u2")))).tobytes())
+        some = pa.array([len(x) > 0 for x in told], pa.bool_())
+        return pa.table({"chunk": table["chunk"], "words": pa.array(found, pa.binary()), "notes": pa.array(told, pa.binary())}).filter(some)
 
-    return asked.groupBy("piece").applyInArrow(run, "chunk long, words binary")
+    return asked.groupBy("piece").applyInArrow(run, "chunk long, words binary, notes binary")
 
 
 def spots_of(chunks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
@@ -214,14 +253,14 @@ def spots_of(chunks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
     value. line is a 64-bit hash of its bytes; bands (its shared values) and text stand on a line's first place of a run."""
     id_type = chunks.schema["id"].dataType.simpleString()
     none = lambda kind: F.lit(None).cast(kind)
-    left = answers.select("chunk", F.lit(0).alias("kind"), "words", none(id_type).alias("id"), none("long").alias("row_hash"), none("string").alias("text"))
-    right = chunks.select("chunk", F.lit(1).alias("kind"), none("binary").alias("words"), "id", "row_hash", "text")
+    left = answers.select("chunk", F.lit(0).alias("kind"), "words", "notes", none(id_type).alias("id"), none("long").alias("row_hash"), none("string").alias("text"))
+    right = chunks.select("chunk", F.lit(1).alias("kind"), none("binary").alias("words"), none("binary").alias("notes"), "id", "row_hash", "text")
     both = left.union(right).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
     names = ["id", "row_hash", "n_lines", "line_no", "line", "bands", "text"]
 
-    def found(part: pa.RecordBatch, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def found(part: pa.RecordBatch, shared: np.ndarray, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
         is_shared = lambda v: shared[np.minimum(np.searchsorted(shared, v), len(shared) - 1)] == v if len(shared) else np.zeros(v.shape, bool)
-        for begin, counts, row, number, hashes, long, values, buf, spans in _read(part.column(4)):
+        for begin, counts, row, number, hashes, long, values, buf, spans in _read(part.column(4), wanted):
             rows = part.slice(begin, len(counts))
             yield pa.RecordBatch.from_arrays([
                 rows.column(2), rows.column(3), pa.array(counts.astype(np.int64)), pa.nulls(len(counts), pa.int32()), pa.nulls(len(counts), pa.int64()),
@@ -231,13 +270,10 @@ def spots_of(chunks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
             hit = is_shared(values.ravel()).reshape(values.shape)
             banded = np.zeros(len(hashes), bool)
             banded[long] = hit.any(1)
-            first = np.zeros(len(hashes), bool)
-            first[np.unique(hashes, return_index=True)[1]] = True
-            spelled = banded & first
-            chosen = np.flatnonzero(own | banded)
+            chosen = np.flatnonzero(own | banded)  # further places of a banded line are in own
             if not len(chosen):
                 continue
-            spells = spelled[chosen]
+            spells = banded[chosen]
             at_long = np.searchsorted(long, chosen[spells])
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum(np.bincount(np.flatnonzero(spells), weights=hit[at_long].sum(1), minlength=len(chosen))))).astype(np.int32)),
@@ -254,21 +290,23 @@ def spots_of(chunks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
             ], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, parts, shared = None, [], None
+        chunk, parts, shared, wanted = None, [], None, np.zeros(1 << 16, bool)
         for batch in batches:
             chunks, is_answer = batch.column(0).to_numpy(), batch.column(1).to_numpy() == 0
             cuts = [0, *(np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_answer[1:] != is_answer[:-1])) + 1).tolist(), len(chunks)]
             for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
                 if chunks[begin] != chunk:
-                    chunk, parts, shared = chunks[begin], [], None
+                    chunk, parts, shared, wanted = chunks[begin], [], None, np.zeros(1 << 16, bool)
                 part = batch.slice(begin, end - begin)
                 if is_answer[begin]:
                     parts += [np.frombuffer(w.as_buffer().to_pybytes(), np.uint64) for w in part.column(2)]
+                    for n in part.column(3):
+                        wanted[np.frombuffer(n.as_buffer(), "<u2")] = True
                     continue
                 if shared is None:
                     shared, parts = np.sort(np.concatenate([np.zeros(0, np.uint64), *parts])), []
-                part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), part.column(4), part.column(5)], names=["chunk", "kind", "id", "row_hash", "text"])
-                yield from found(part, shared)
+                part = pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), part.column(5), part.column(6)], names=["chunk", "kind", "id", "row_hash", "text"])
+                yield from found(part, shared, wanted)
 
     return both.mapInArrow(tb.lean(run), f"id {id_type}, row_hash long, n_lines long, line_no int, line long, bands array<long>, text string")
 
@@ -278,7 +316,10 @@ def _sets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([line_sets(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+            for begin, end in tb.splits_by(batch.column(0), 256):
+                values, cuts = sets_of(batch.column(1).slice(begin, end - begin))
+                sets = [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return texts.select("line", "text").mapInArrow(tb.lean(run), "id long, shingles binary")
 
@@ -289,25 +330,23 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     joined = joined.join(texts.select(F.col("line").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
         for batch in batches:
             keep = []
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for n, (x, y) in enumerate(zip(a, b, strict=True)):
-                if len(known) > 2048:
-                    known.clear()
-                for line, column in ((x, 2), (y, 3)):
-                    if line not in known:
-                        known[line] = line_sets(batch.column(column)[n].as_py())
-                p, q = known[x], known[y]
-                if len(p) > len(q):
-                    p, q = q, p
-                if len(p) < threshold * len(q):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(q, p)
-                shared = int(np.count_nonzero(q.take(at, mode="clip") == p))
-                keep.append(shared >= threshold * (len(p) + len(q) - shared))
+            for begin, end in tb.splits_by(batch.column(0), 256):
+                part = batch.slice(begin, end - begin)
+                lines = np.concatenate((part.column(0).to_numpy(), part.column(1).to_numpy()))
+                _, first, at = np.unique(lines, return_index=True, return_inverse=True)
+                values, cuts = sets_of(pa.concat_arrays([part.column(2), part.column(3)]).take(pa.array(first)))
+                sizes = np.diff(cuts)
+                for x, y in at.reshape(2, -1).T.tolist():
+                    both = sizes[x] + sizes[y]
+                    if min(sizes[x], sizes[y]) < threshold * max(sizes[x], sizes[y]):
+                        keep.append(False)
+                        continue
+                    joint = np.concatenate((values[cuts[x] : cuts[x + 1]], values[cuts[y] : cuts[y + 1]]))
+                    joint.sort()
+                    shared = int(np.count_nonzero(joint[1:] == joint[:-1]))
+                    keep.append(shared >= threshold * (both - shared))
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
 
@@ -337,14 +376,15 @@ def linked(lines: DataFrame, threshold: float) -> DataFrame:
 
     def still_open(posted: DataFrame, labels: DataFrame) -> DataFrame:
         """The postings of bands of three or more whose lines have several labels."""
-        labelled = posted.join(labels.withColumnRenamed("id", "line"), "line", "left").withColumn("label", F.coalesce("component", "line")).drop("component")
+        labelled = posted.select("line", "copies", "size", "band").join(labels.withColumnRenamed("id", "line"), "line", "left").withColumn("label", F.coalesce("component", "line")).drop("component")
         apart = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("band")
         found, path = written(labelled.join(apart, "band"), "open")
         paths.append(path)
         return found
 
+    open_ = posted
     for _ in range(2):
-        open_ = still_open(posted, labels)
+        open_ = still_open(open_, labels)  # a band of one label keeps one
         sizes = open_.groupBy("band", "label").agg(F.count("*").alias("n"), F.max(F.struct("copies", "line")).alias("most"))
         largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("largest")).select("band", F.col("largest.label").alias("main"))
         second = sizes.join(largest, "band").filter("label <> main").groupBy("band").agg(F.max("most").alias("most")).select("band", F.col("most.line").alias("hub"))
@@ -357,7 +397,7 @@ def linked(lines: DataFrame, threshold: float) -> DataFrame:
         seen = seen.union(more)
         labels, path = written(_joined(labels, found), "labels")
         paths += [more_path, found_path, path]
-    open_ = still_open(posted, labels).select(F.col("band").alias("token"), F.col("line").alias("id"), "label", "copies")
+    open_ = still_open(open_, labels).select(F.col("band").alias("token"), F.col("line").alias("id"), "label", "copies")
     marked, marks_path = _marked(open_, texts)
     open_, core_path = written(marked, "open")
     fine, fine_path = written(fine_bits(_sets(texts.join(open_.select(F.col("id").alias("line")).distinct(), "line", "left_semi"))), "bits")
@@ -485,11 +525,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
     # The columns of docs travel in a struct, so none of them can clash with one of these.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("id"), F.xxhash64(text).alias("row_hash"))
-    rows = rows.join(known.hint("shuffle_hash"), same(rows, known), "left").select("doc", "n_lines", "gone")
     body = F.col("doc")[text]
-    parts_ = F.split(body, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts_) - 1), F.col("gone"))
-    rest = F.array_join(F.transform(stay, lambda i: F.get(parts_, i)), "\n")
+    rows = rows.join(known.hint("shuffle_hash"), same(rows, known), "left").select("doc", "n_lines", "gone", F.when(F.col("gone").isNotNull(), F.split(body, "\n")).alias("parts"))
+    # A projection that is used twice stays one, so a text is split once, not once a line.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")
     columns = [F.when(F.col("gone").isNull(), body).otherwise(rest).alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns]
     n_kept = F.col("n_lines") - F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     return rows.select(*columns, "n_lines", n_kept.alias("n_kept"))
