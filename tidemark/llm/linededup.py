@@ -364,20 +364,25 @@ def linked(lines: DataFrame, threshold: float) -> DataFrame:
     spark = lines.sparkSession
     banded = lines.filter("bands is not null")
     texts = banded.select("line", "text")
-    posted, posted_path = written(banded.select("line", "copies", F.length("text").alias("size"), F.explode("bands").alias("band")), "bands")
-    hubs = posted.groupBy("band").agg(F.max_by("line", F.struct("copies", "line")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    star = posted.join(hubs, "band").filter("hub <> line").groupBy(F.col("line").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("met"), F.min("n").alias("n"))
-    star = star.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).filter("nth <= 3 or n = 2").select("a", "b")
-    star, star_path = written(star, "star")
+    each = banded.select("line", F.explode("bands").alias("band"))
+    shared, shared_path = written(each.groupBy("band").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("n")).filter("n > 1"), "shared-bands")
+    # Most bands have two lines. Only those of the others become postings.
+    wide = banded.select("line", "copies", F.length("text").alias("size"), F.explode("bands").alias("band")).join(shared.filter("n > 2").select("band"), "band")
+    posted, posted_path = written(wide.select("line", "copies", "size", "band"), "bands")
+    hubs = posted.groupBy("band").agg(F.max_by("line", F.struct("copies", "line")).alias("hub"))
+    star = posted.join(hubs, "band").filter("hub <> line").groupBy(F.col("line").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("met"))
+    star = star.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).filter("nth <= 3").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    star, star_path = written(star.union(shared.filter("n = 2").select("a", "b")).distinct(), "star")
+    remove(spark, shared_path)
     first, first_path = written(confirm(star, texts, threshold), "links")
     labels, labels_path = written(connected_components(first), "labels")
-    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    seen = star
     paths = [posted_path, star_path, first_path, labels_path]
 
     def still_open(posted: DataFrame, labels: DataFrame) -> DataFrame:
-        """The postings of bands of three or more whose lines have several labels."""
+        """The postings of bands whose lines have several labels."""
         labelled = posted.select("line", "copies", "size", "band").join(labels.withColumnRenamed("id", "line"), "line", "left").withColumn("label", F.coalesce("component", "line")).drop("component")
-        apart = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("band")
+        apart = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
         found, path = written(labelled.join(apart, "band"), "open")
         paths.append(path)
         return found
