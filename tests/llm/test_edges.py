@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeats, empty tables and clashing columns for every operator."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -585,3 +586,40 @@ def test_probe_hashes_do_not_depend_on_pieces(monkeypatch):
         monkeypatch.setattr(linededup, "POINTS", piece)
         assert (linededup.probe_hashes(points) == whole).all()
     assert len(linededup.probe_hashes(points[:0])) == 0
+
+
+def test_line_dedup_splits_a_text_once(spark):
+    out = linededup.dedup(spark.createDataFrame([(n, "one line that stands twice\nanother line of text %d" % n) for n in range(3)], "doc_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "lambdafunction(split(" not in plan  # else a text is split again for each of its lines
+
+
+def test_sets_of_lines_are_those_of_each():
+    lines = ["", "a", "abc", "zürich " * 40, "日本語のテキスト" * 9, "x" * 500, "hello world hello world", *["".join(chr(97 + (i * j * j + i) % 7) for j in range(i)) for i in range(60)]]
+    values, cuts = linededup.sets_of(pa.array(lines))
+    assert len(cuts) == len(lines) + 1
+    for n, line in enumerate(lines):
+        if line:
+            assert values[cuts[n] : cuts[n + 1]].tolist() == linededup.line_sets(line).tolist()
+
+
+def test_notes_name_every_line_with_a_shared_band(spark):
+    """Lines that the second reading leaves out share no band with another line, within a chunk or across chunks."""
+    base = [" ".join(f"w{(i * 37 + j * 11) % 101}x{j}" for j in range(12)) for i in range(40)]
+    texts = base + [x.replace("x5", "y5") for x in base[:10]] + ["\n".join((x, x.replace("x7", "z7"))) for x in base[20:25]]
+    rows = [(i // 9, x) for i, x in enumerate(texts)]
+    asked = linededup.ask(spark.createDataFrame(rows, "chunk long, text string").repartition(3, "chunk").sortWithinPartitions("chunk"), 4)
+    named: dict[int, set[int]] = {}
+    for row in linededup.answer(asked).collect():
+        named.setdefault(row["chunk"], set()).update(np.frombuffer(row["notes"], "<u2").tolist())
+    lines: dict[int, set[int]] = {}
+    held = []
+    for chunk, text in rows:
+        for _, _, _, _, hashes, long, values, _, _ in linededup._read(pa.array([text])):
+            held += [(chunk, int(hashes[n]), v) for n, v in zip(long, values, strict=True)]
+            for n, v in zip(long, values, strict=True):
+                for x in v.tolist():
+                    lines.setdefault(x, set()).add(int(hashes[n]))
+    shared = [(chunk, line) for chunk, line, v in held if any(len(lines[x]) > 1 for x in v.tolist())]
+    assert len(shared) > 20
+    assert all(int(linededup.note(np.array([line], np.uint64))[0]) in named[chunk] for chunk, line in shared)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
@@ -144,8 +144,7 @@ def _read(texts: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[i
         row = np.searchsorted(offsets, starts, side="right") - 1
         points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         first, last = _lines(points)  # the same lines in characters
-        solid = np.concatenate(([0], np.cumsum(points > 32)))
-        held = solid[last] > solid[first]
+        held = np.maximum.reduceat(buf, starts) > 32 if len(starts) else np.zeros(0, bool)
         number = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1])[row]
         starts, ends, first, last, row, number = (x[held] for x in (starts, ends, first, last, row, number))
         hashes = tb.span_hash(buf, starts, ends)
@@ -162,15 +161,14 @@ def _read(texts: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[i
 def dealt(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> tuple[DataFrame, str, int]:
     """(chunk, id, row_hash, text) as a table, its path, and the bytes of all texts. A chunk is a run of rows of one task, of
     about chunk_bytes at the mean length of a text."""
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("row_hash"), F.col(text).alias("text"))
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    total = size["bytes"] or 0
-    each = max(1, chunk_bytes * size["n"] // max(1, total))
-    number = F.monotonically_increasing_id()
-    inside = number.bitwiseAND((1 << 33) - 1)
-    chunk = (number - inside).bitwiseOR(F.floor(inside / each).cast("long"))
-    table, path = written(rows.withColumn("chunk", chunk), "dealt-lines")
-    return table, path, total
+    seen = Observation()
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("row_hash"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("number"))
+    table, path = written(rows.observe(seen, F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "dealt-lines")
+    total = seen.get["bytes"] or 0
+    each = max(1, chunk_bytes * seen.get["n"] // max(1, total))
+    inside = F.col("number").bitwiseAND((1 << 33) - 1)
+    chunk = (F.col("number") - inside).bitwiseOR(F.floor(inside / each).cast("long"))
+    return table.select("id", "row_hash", "text", chunk.alias("chunk")), path, total
 
 
 def ask(chunks: DataFrame, pieces: int) -> DataFrame:
